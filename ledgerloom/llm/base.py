@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+#: Where this package lies: Python workers on the same machine import it from there; a cluster gets it by --py-files.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def tune(spark: SparkSession) -> SparkSession:
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
