@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, langid, packing, quality, suffix_dedup, toxicity
+from . import bpe, digest, langid, ngram_join, packing, quality, suffix_dedup, toxicity
 from .base import table
 
 
@@ -38,6 +38,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 2048, 0)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_best_fit_packing, op5_language_id, op6_fingerprints, op8_suffix_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_best_fit_packing, op5_language_id, op6_fingerprints, op7_ngram_join, op8_suffix_dedup, op9_byte_bpe)}
 ORACLES: dict[str, str] = {}
