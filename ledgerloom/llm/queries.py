@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, langid, ngram_join, packing, quality, suffix_dedup, toxicity
+from . import ann, bpe, digest, langid, ngram_join, packing, quality, suffix_dedup, toxicity
 from .base import table
 
 
@@ -20,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts are sources; a source's paths are its sections by language."""
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
@@ -52,5 +56,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_quality, op4_best_fit_packing, op5_language_id, op6_fingerprints, op7_ngram_join, op8_suffix_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_hash_forest, op3_quality, op4_best_fit_packing, op5_language_id, op6_fingerprints, op7_ngram_join, op8_suffix_dedup, op9_byte_bpe)}
 ORACLES: dict[str, str] = {}
