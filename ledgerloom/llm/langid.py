@@ -12,9 +12,11 @@ text is `und`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,3 +205,16 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(label, PREDICTED)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float) -> DataFrame:
+    """The documents, with their own columns, whose main language has at least `least_share` of their words."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def main_share(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = Predictor(shared.value)
+        for text in texts:
+            yield pd.Series([score for _, score, _, _ in find(text.tolist())], dtype="float64")
+
+    return docs.filter(main_share(F.col("text").cast("string")) >= max(least_share, 1e-9))

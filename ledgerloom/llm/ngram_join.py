@@ -392,3 +392,23 @@ def near_classes(docs: DataFrame) -> DataFrame:
     joined = full.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rooted.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.unionByName(empty)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among `ids`."""
+    few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Of each class of near duplicates the document with the least id, with its own columns.
+
+    Rows that share a doc_id are one document: one of them stays if any of them leads its class.
+    """
+    classes = cut(near_classes(docs).filter(F.col("doc_id").isNotNull()), "classes")
+    per_id = cut(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays")), "per_id")
+    kept = without(docs, per_id.filter("stays = 0 or n > 1").select("doc_id"))
+    again = per_id.filter("stays = 1 and n > 1").select("doc_id")
+    if again.limit(1).count():
+        kept = kept.unionByName(docs.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    return kept

@@ -324,37 +324,75 @@ def repeated(docs: DataFrame) -> DataFrame:
     return found
 
 
-def deduplicate(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """What each document loses, and a digest of what it keeps (with texts: also the kept text, as `kept`).
+class Spans:
+    """Stretches of repeated strings of one home's documents."""
 
-    A kept text whose bytes are no whole characters any more gets U+FFFD for the broken ones; digests are of the bytes.
-    """
-    spark = docs.sparkSession
-    homes = 4 * partitions(spark)
-    found = repeated(docs)
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("home", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.crc32(F.col("doc_id").cast("string").cast("binary")) % homes).cast("int"))
-    schema = DEDUPED + (", kept string" if texts else "")
-    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * texts
-    out_schema = pa.schema(kinds)
-
-    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        got = [_unpack(b, _FOUND) for b in right["blob"].to_pylist()]
+    def __init__(self, blobs: list[bytes]):
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        got = [_unpack(b, _FOUND) for b in blobs]
         if got:
             doc = np.concatenate([np.cumsum(g[0]) for g in got])
             first, last = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
             order = np.argsort(doc, kind="stable")
             ids, edge = np.unique(doc[order], return_index=True)
             edge = np.append(edge, len(doc)).tolist()
-            spans = {x: (first[order[a:b]], last[order[a:b]]) for x, a, b in zip(ids.tolist(), edge, edge[1:], strict=False)}
-        none = np.zeros(0, np.int32)
-        rows = []
+            self.of = {x: (first[order[a:b]], last[order[a:b]]) for x, a, b in zip(ids.tolist(), edge, edge[1:], strict=False)}
+
+    def cut(self, doc_id: int | None, raw: bytes) -> tuple[int, int, bytes]:
+        return remove(raw, *self.of[doc_id]) if doc_id in self.of else (0, 0, raw)
+
+
+def _home(homes: int):
+    """Where a document's text and its stretches meet; documents without an id are dealt by their text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit(""))
+    return (F.crc32(key.cast("binary")) % homes).cast("int")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """What each document loses, and a digest of what it keeps."""
+    homes = 4 * partitions(docs.sparkSession)
+    found = repeated(docs)
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        spans, rows = Spans(right["blob"].to_pylist()), []
         for doc_id, text in zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            n_removed, n_spans, kept = remove(raw, *spans.get(doc_id, (none, none)))
-            rows.append((doc_id, len(raw), n_removed, n_spans, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] * texts)))
-        cols = list(zip(*rows, strict=True)) or [()] * len(out_schema)
-        return pa.table([pa.array(c, f.type) for c, f in zip(cols, out_schema, strict=True)], schema=out_schema)
+            n_removed, n_spans, kept = spans.cut(doc_id, raw)
+            rows.append((doc_id, len(raw), n_removed, n_spans, hashlib.sha256(kept).hexdigest()))
+        cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+        return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return base.withColumn("home", _home(homes)).groupBy("home").cogroup(found.groupBy("home")).applyInArrow(settle, DEDUPED)
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their own columns, repeated strings cut out of `text` and `n_chars` counted anew.
 
-    return base.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(settle, schema)
+    Bytes of a character that a cut has split go too. Documents that lose their whole text go; untouched ones stay.
+    """
+    homes = 4 * partitions(docs.sparkSession)
+    found = repeated(docs)
+    schema, names = docs.schema, docs.columns
+
+    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
+        spans = Spans(right["blob"].to_pylist())
+        texts, keep, cuts = [], [], []
+        for doc_id, text in zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True):
+            n_removed = 0
+            if text is not None and doc_id in spans.of:
+                n_removed, _, kept = spans.cut(doc_id, text.encode("utf-8", "surrogatepass"))
+                text = kept.decode("utf-8", "ignore")
+            texts.append(text)
+            cuts.append(n_removed > 0)
+            keep.append(bool(text) or not n_removed)
+        cols = {c: left[c] for c in names}
+        cols["text"] = pa.array(texts, left["text"].type)
+        if "n_chars" in cols:
+            new = [len(t) if c else n for t, c, n in zip(texts, cuts, left["n_chars"].to_pylist(), strict=True)]
+            cols["n_chars"] = pa.array(new, left["n_chars"].type)
+        return pa.table(cols).filter(pa.array(keep, pa.bool_()))
+
+    whole = docs.select(*names, _home(homes).alias("_home")).groupBy("_home")
+    return whole.cogroup(found.withColumnRenamed("home", "_home").groupBy("_home")).applyInArrow(settle, schema)
