@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Cut, WordCache, cut, partitions
+from .base import Cut, cut, partitions
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -31,26 +31,137 @@ _SPLITS_MORE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
+#: Below this character all libraries agree on letters, digits and lower case.
+_PLAIN = "\u0250"
+#: How the tokenizers file splits normalised text.
+_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+#: Stands for the end of a word behind its bytes; no UTF-8 text holds it.
+_END = b"\xff"
+
+
+def _byte_letters() -> dict[str, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def _piece_encoder(tokenizer):
+    """(function from a pre-token's bytes and _END to ranks, the ids of the ranks), by the same merges in tiktoken.
+
+    tiktoken merges two neighbours whenever they make a token, the file only by its list of pairs. The two agree if
+    every merge makes a token of its own and the file encodes every token's text as that token: two neighbours that
+    make a token, but not by its pair, would otherwise be how the file leaves that token's text. (None, None) if that
+    doesn't hold for the file.
+    """
+    import json
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    model = json.loads(tokenizer.to_str())["model"]
+    vocabulary, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    letters = _byte_letters()
+    joined = [a + b for a, b in merges]
+    base = [c for c in letters if c in vocabulary and c + "</w>" in vocabulary]
+    if len(base) != 256 or len(set(joined)) != len(joined) or any(t not in vocabulary for t in joined) or model.get("end_of_word_suffix") != "</w>":
+        return None, None
+    alone = Tokenizer(tokenizer.model)
+    if any(alone.encode(t.removesuffix("</w>")).ids != [vocabulary[t]] for t in joined if t.endswith("</w>")):
+        return None, None
+    # a token within a word can't be asked for alone: its merges must lead to it from its letters
+    rank = {pair: k for k, pair in enumerate(merges)}
+    for t in joined:
+        if not t.endswith("</w>"):
+            parts = list(t)
+            while len(parts) > 1:
+                k = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
+                if (parts[k], parts[k + 1]) not in rank:
+                    return None, None
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    def raw(token: str) -> bytes:
+        return bytes(letters[c] for c in token.removesuffix("</w>")) + (_END if token.endswith("</w>") else b"")
+
+    order = sorted(base, key=letters.get)
+    tokens = [*order, *(c + "</w>" for c in order), *joined]
+    ranks = {raw(t): k for k, t in enumerate(tokens)}
+    if len(ranks) != len(tokens):
+        return None, None
+    coder = tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    return coder._core_bpe.encode_single_piece, np.array([vocabulary[t] for t in tokens], "<u4")
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file whose pre-tokens never span white space, one cached word at a time."""
+    """Ids of whole texts by a tokenizers file whose pre-tokens never span white space.
 
-    def __init__(self, path: str):
+    The ids of words met at least twice are kept as bytes. New plain words are split as the file says and their
+    pre-tokens merged by the file's list; other words, and texts with special tokens, go through the file one by one.
+    """
+
+    def __init__(self, path: str, most: int = 400_000):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words = WordCache(self._ids, 300_000)
+        self.tokenizer, self.split, self.most = Tokenizer.from_file(path), regex.compile(_PRETOKEN), most
+        self.pieces, self.numbers = _piece_encoder(self.tokenizer)
+        self.words: dict[str, bytes] = {}
+        self.marks = {x: self.pieces(x.encode() + _END) for x in ".,;:!?"} if self.pieces else {}
+        self.met = bytearray(1 << 23)
 
-    def _ids(self, text: str) -> bytes:
+    def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(x in text for x in _SPLITS_MORE) or "<|" in text and any(x in text for x in _SPECIAL):
-            return self._ids(text)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        words = self.words
-        return b"".join([words[w] for w in text.split()])
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of new words; those met before are kept."""
+        out: dict[str, bytes] = {}
+        names, flat, ends = [], [], []
+        code, marks = self.pieces, self.marks
+        for w in new:
+            if code is None or not (w.isascii() or max(w) < _PLAIN):
+                out[w] = self.ids(w)
+                continue
+            low = w.lower()
+            if low.isalpha():
+                flat += code(low.encode() + _END)
+            elif low[-1] in marks and low[:-1].isalpha():
+                flat += code(low[:-1].encode() + _END)
+                flat += marks[low[-1]]
+            else:
+                for x in self.split.findall(low):
+                    flat += code(x.encode() + _END)
+            names.append(w)
+            ends.append(4 * len(flat))
+        if names:
+            raw = self.numbers[np.asarray(flat, np.int64)].tobytes()
+            out.update(zip(names, [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
+        words, met, mask = self.words, self.met, len(self.met) - 1
+        if len(words) > self.most:
+            words.clear()
+        for w, ids in out.items():
+            k = hash(w) & mask
+            if met[k]:
+                words[w] = ids
+            met[k] = 1
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split: list[list[str] | None] = []
+        for text in texts:
+            if any(x in text for x in _SPLITS_MORE) or "<|" in text and any(x in text for x in _SPECIAL):
+                split.append(None)
+            else:
+                split.append((text if text.isascii() else unicodedata.normalize("NFC", text)).split())
+        get = self.words.get
+        found = [None if words is None else list(map(get, words)) for words in split]
+        new = {w for words, got in zip(split, found, strict=True) if got for w, x in zip(words, got, strict=True) if x is None}
+        if new:
+            fresh = self._learn(new)
+            found = [None if got is None else [x if x is not None else fresh[w] for w, x in zip(words, got, strict=True)] for words, got in zip(split, found, strict=True)]
+        return [self.ids(text) if got is None else b"".join(got) for text, got in zip(texts, found, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -70,8 +181,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator
         encode = encoder(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            coded = encode([t or "" for t in batch.column(1).to_pylist()])
+            for doc_id, own in zip(batch.column(0).to_pylist(), coded, strict=True):
+                ids = own + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
