@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import Cut, cut, partitions
@@ -27,6 +27,10 @@ from .suffix_dedup import _pack, _unpack, free_shuffles
 SHINGLE = 5
 #: Tiles up to so many sets give all their pairs at once.
 SMALL = 32
+#: Members of a larger tile that meet others in one task.
+BLOCK = 512
+#: In larger ones a member gets neighbours only by the first so many of its common shingles.
+LEADS = 3
 #: A shingle in more documents than this comes last in the order; doubled until at most MOST_COMMON shingles do.
 COMMON, MOST_COMMON = 32, 1_000_000
 #: Documents at most that are fetched by a broadcast of their ids; beyond, by a shuffled join.
@@ -208,7 +212,7 @@ def common_shingles(counts: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, blob) rows of the sets' first shingles: shingle, set, its size, place in the order."""
+    """(bucket, blob) rows of the sets' first shingles: shingle, set, its size, place in the order, and among common ones."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def first_ones(batches):
@@ -219,7 +223,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                 items = shingles(text)
                 if len(items):
                     sets[set_id(items)] = items
-            tokens, sizes = [], []
+            tokens, sizes, nths = [], [], []
             for items in sets.values():
                 p = prefix_length(len(items))
                 if len(last):
@@ -227,8 +231,12 @@ def prefixes(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                     at = np.searchsorted(last, half)
                     late = last[np.minimum(at, len(last) - 1)] == half
                     items = np.concatenate([items[~late], items[late]])
+                    rare = int((~late).sum())
+                else:
+                    rare = len(items)
                 tokens.append(items[:p])
                 sizes.append(len(items))
+                nths.append(np.maximum(np.arange(p) - rare, 0))
             if not tokens:
                 continue
             lengths = np.array([len(t) for t in tokens])
@@ -236,6 +244,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
             sid = np.repeat(np.array(list(sets), np.int64), lengths)
             size = np.repeat(np.array(sizes, np.int32), lengths)
             place = (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+            nth = np.minimum(np.concatenate(nths), 255).astype(np.uint8)
             bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.lexsort((token, bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
@@ -243,7 +252,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
             for k in range(buckets):
                 own = order[edges[k] : edges[k + 1]]
                 if len(own):
-                    rows.append((k, _pack(np.diff(token[own], prepend=np.uint64(0)), sid[own], size[own], place[own])))
+                    rows.append((k, _pack(np.diff(token[own], prepend=np.uint64(0)), sid[own], size[own], place[own], nth[own])))
             yield from _rows(pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]), rows)
 
     return docs.mapInArrow(first_ones, "bucket int, blob binary")
@@ -258,13 +267,13 @@ def tiles(found: DataFrame) -> DataFrame:
 
     def pair_up(batches):
         for _, blobs in _by_bucket(batches):
-            got = [_unpack(b, (np.uint64, np.int64, np.int32, np.int32)) for b in blobs]
+            got = [_unpack(b, (np.uint64, np.int64, np.int32, np.int32, np.uint8)) for b in blobs]
             token = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
-            sid, size, place = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3))
+            sid, size, place, nth = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4))
             order = np.lexsort((sid, size, token))
-            token, sid, size, place = token[order], sid[order], size[order].astype(np.int64), place[order].astype(np.int64)
+            token, sid, size, place, nth = token[order], sid[order], size[order].astype(np.int64), place[order].astype(np.int64), nth[order]
             keep = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
-            token, sid, size, place = token[keep], sid[keep], size[keep], place[keep]
+            token, sid, size, place, nth = token[keep], sid[keep], size[keep], place[keep], nth[keep]
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             count = np.diff(np.append(first, len(token)))
             member = np.repeat(count, count)
@@ -277,11 +286,11 @@ def tiles(found: DataFrame) -> DataFrame:
                 pairs.append((left, left + d))
             big = np.flatnonzero(member > SMALL)
             if len(big):
-                token_b = token[big]
-                near = np.flatnonzero(token_b[:-1] == token_b[1:])
-                pairs.append((big[near], big[near + 1]))
-                mixed = sid[big].view(np.uint64) * _MIX
-                other = big[np.lexsort((mixed ^ (mixed >> np.uint64(29)), token_b))]
+                led = big[nth[big] < LEADS]
+                near = np.flatnonzero(token[led[:-1]] == token[led[1:]])
+                pairs.append((led[near], led[near + 1]))
+                mixed = sid[led].view(np.uint64) * _MIX
+                other = led[np.lexsort((mixed ^ (mixed >> np.uint64(29)), token[led]))]
                 near = np.flatnonzero(token[other[:-1]] == token[other[1:]])
                 pairs.append((other[near], other[near + 1]))
             if pairs:
@@ -323,44 +332,115 @@ def fetch_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut(made.join(wanted, "sid", "left_semi"), "sets")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
-    """The linked ones (u, v) among distinct pairs (a, b): first by bitmaps, then by the sets themselves."""
-    n_parts = partitions(pairs.sparkSession)
-    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def sides(what: str, rows: DataFrame) -> DataFrame:
-        left = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col(what).alias("x"))
-        right = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col(what).alias("y"))
-        return rows.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
 
-    def kept(batches, test):
+def _settled(pairs: DataFrame, sets: DataFrame, what: str, test) -> DataFrame:
+    """The pairs (a, b) that pass a test of both sides' `what` and sizes."""
+    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col(what).alias("x"))
+    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col(what).alias("y"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
+
+    def keep(batches):
         for batch in batches:
             a, b, n_a, n_b, x, y = (batch.column(i).to_pylist() for i in range(6))
             ok = [k for k in range(len(a)) if test(x[k], y[k], n_a[k], n_b[k])]
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in ok], pa.int64()), pa.array([b[k] for k in ok], pa.int64())], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in ok], pa.int64()), pa.array([b[k] for k in ok], pa.int64())], schema=_PAIR)
+
+    return rows.mapInArrow(keep, "a bigint, b bigint")
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+    """The pairs whose bitmaps allow a link."""
+    return _settled(pairs, sets, "bits", lambda x, y, n_a, n_b: overlap_bound(x, y, n_a, n_b) >= needed(n_a, n_b, percent))
+
 
-    def may(x, y, n_a, n_b):
-        return overlap_bound(x, y, n_a, n_b) >= needed(n_a, n_b, percent)
+def linked(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+    """The pairs whose sorted sets overlap enough."""
 
-    def do(x, y, n_a, n_b):
+    def test(x, y, n_a, n_b):
         common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
         return 100 * common >= percent * (n_a + n_b - common)
 
-    possible = cut(sides("bits", pairs).mapInArrow(lambda it: kept(it, may), "u bigint, v bigint"), "possible")
-    return cut(sides("items", possible.select(F.col("u").alias("a"), F.col("v").alias("b"))).repartition(n_parts).mapInArrow(lambda it: kept(it, do), "u bigint, v bigint"), "links")
+    return _settled(pairs, sets, "items", test)
 
 
-def across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of large tiles whose sets lie in two components, and whose sizes and places allow a link."""
-    with_root = members.join(roots, members["sid"] == roots["node"], "left").select("tile", "sid", "n", "place", F.coalesce("root", "sid").alias("root"))
+def _folded(bits: list[bytes], words: int) -> np.ndarray:
+    out = np.empty((len(bits), words), np.uint64)
+    for k, raw in enumerate(bits):
+        x = np.frombuffer(raw, np.uint64)
+        while len(x) > words:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[k] = x
+    return out
+
+
+def across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+    """Pairs of large tiles whose sets lie in two components and whose bitmaps allow a link, each from one tile.
+
+    A tile's members are banded by size (a linked pair's bands are the same or neighbours) and, within a band, dealt to
+    blocks of about BLOCK; a task meets two blocks. A pair comes out of the first tile that both sets are in.
+    """
+    with_root = members.join(roots, members["sid"] == roots["node"], "left").select("tile", "sid", F.coalesce("root", "sid").alias("root"))
     split = with_root.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("tile")
     open_ = with_root.join(split, "tile", "left_semi")
-    left = open_.select("tile", *(F.col(c).alias(f"{c}_a") for c in ("sid", "n", "place", "root")))
-    right = open_.select("tile", *(F.col(c).alias(f"{c}_b") for c in ("sid", "n", "place", "root")))
-    least = F.expr("(80 * (n_a + n_b) + 179) div 180")
-    fits = (F.col("root_a") < F.col("root_b")) & (F.col("n_a") - F.col("place_a") >= least) & (F.col("n_b") - F.col("place_b") >= least) & (F.least("n_a", "n_b") >= least)
-    both = left.join(right, "tile").filter(fits)
-    return both.select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct()
+    per_set = open_.groupBy("sid").agg(F.first("root").alias("root"), F.sort_array(F.collect_set("tile")).alias("tiles"))  # at most a prefix's tiles
+    full = per_set.join(sets.select("sid", "n", "bits"), "sid").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.25)))).cast("int"))
+    placed = cut(full.withColumn("tile", F.explode("tiles")), "placed")
+    sizes = placed.groupBy("tile", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = placed.join(sizes, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    above = sizes.select("tile", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
+    below = sizes.select("tile", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
+    own = own.join(above, ["tile", "band"], "left").join(below, ["tile", "band"], "left")
+    keys = ["tile", "band", "block", "other_band", "other_block"]
+    cols = ["sid", "n", "root", "bits", "tiles"]
+
+    def facing(shift: int, low: Column, high: Column) -> Column:
+        """(band, block) of the blocks that a member's block meets; none where there are none."""
+        none = F.array().cast("array<struct<band: int, block: int>>")
+        return F.when(high >= low, F.transform(F.sequence(low, F.greatest(high, low)), lambda k: F.struct((F.col("band") + shift).cast("int").alias("band"), k.cast("int").alias("block")))).otherwise(none)
+
+    right_of = F.concat(facing(0, F.col("block"), F.col("blocks") - 1), F.coalesce(facing(1, F.lit(0), F.col("blocks_above") - 1), F.array().cast("array<struct<band: int, block: int>>")))
+    left_of = F.concat(facing(0, F.lit(0), F.col("block")), F.coalesce(facing(-1, F.lit(0), F.col("blocks_below") - 1), F.array().cast("array<struct<band: int, block: int>>")))
+    left = own.withColumn("o", F.explode(right_of)).select("tile", "band", "block", F.col("o.band").alias("other_band"), F.col("o.block").alias("other_block"), *cols)
+    right = own.withColumn("o", F.explode(left_of)).select("tile", F.col("o.band").alias("band"), F.col("o.block").alias("block"), F.col("band").alias("other_band"), F.col("block").alias("other_block"), *cols)
+
+    right = right.toDF(*(f"{c}_y" for c in right.columns))  # columns of their own, so that no name is ambiguous
+
+    def meet(key, x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.rename_columns([c.removesuffix("_y") for c in y.column_names])
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not len(x) or not len(y):
+            return none
+        tile = key[0].as_py()
+        sid_x, n_x, root_x = (x[c].to_numpy() for c in ("sid", "n", "root"))
+        sid_y, n_y, root_y = (y[c].to_numpy() for c in ("sid", "n", "root"))
+        bits_x, bits_y = x["bits"].to_pylist(), y["bits"].to_pylist()
+        words = min(min(map(len, bits_x)), min(map(len, bits_y))) // 8
+        fold_x, fold_y = _folded(bits_x, words), _folded(bits_y, words)
+        before = [[t for t in r if t < tile] for r in x["tiles"].to_pylist()], [[t for t in r if t < tile] for r in y["tiles"].to_pylist()]
+        index = {t: k for k, t in enumerate(sorted({t for side in before for r in side for t in r}))}
+        had = [np.zeros((len(side), len(index) + 1), np.float32) for side in before]
+        for matrix, side in zip(had, before, strict=True):
+            for k, r in enumerate(side):
+                matrix[k, [index[t] for t in r]] = 1
+        same = tuple(k.as_py() for k in key[1:3]) == tuple(k.as_py() for k in key[3:5])
+        a, b = [], []
+        step = max(1, 2_000_000 // (len(sid_y) * words))
+        for i in range(0, len(sid_x), step):
+            apart = np.bitwise_count(fold_x[i : i + step, None, :] ^ fold_y[None]).sum(2, dtype=np.int64)
+            total = n_x[i : i + step, None] + n_y[None]
+            ok = (total - apart) // 2 >= needed(total, 0, percent)
+            ok &= (root_x[i : i + step, None] != root_y[None]) & (had[0][i : i + step] @ had[1].T == 0)
+            if same:
+                ok &= sid_x[i : i + step, None] < sid_y[None]
+            p, q = np.nonzero(ok)
+            a.append(sid_x[i + p])
+            b.append(sid_y[q])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*(f"{k}_y" for k in keys))).applyInArrow(meet, "a bigint, b bigint")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -378,13 +458,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     members = tiled.filter(F.col("b").isNull()).select("tile", F.col("a").alias("sid"), "n", "place")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
     sets = fetch_sets(base, ids.filter("n > 0"), wanted)
-    links = verify(pairs, sets)
+    links = cut(linked(cut(bounded(pairs, sets), "possible"), sets), "links")
     free_shuffles(spark)
-    roots = components(links)
-    more = cut(across(members, roots), "across")
+    roots = components(links.toDF("u", "v"))
+    more = cut(across(members, roots, sets), "across")
     if more.limit(1).count():
-        links = links.unionByName(verify(more, sets))
-        roots = components(links)
+        links = links.unionByName(cut(linked(more, sets), "more_links"))
+        roots = components(links.toDF("u", "v"))
     free_shuffles(spark)
     rooted = ids.join(roots, ids["sid"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     full = rooted.filter("n > 0")
