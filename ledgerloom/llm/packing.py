@@ -197,32 +197,29 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator
 # --- the plan -------------------------------------------------------------------------------------------------------
 
 
-def _exact(gap: int, most: int, have: np.ndarray) -> list[tuple[int, ...]]:
-    """One combination of up to three available lengths, longest first, that adds up to gap; [] if there is none.
+def _exact(gap: int, have: np.ndarray) -> tuple[int, ...]:
+    """Up to three available lengths, longest first, that add up to gap; () if there are none.
 
-    A combination may use a length as often as it is available.
+    Of several pairs or triples the most even one is taken: short lengths stay for gaps that nothing else fills. A
+    combination may use a length as often as it is available.
     """
     if have[gap] > 0:
-        return [(gap,)]
+        return (gap,)
     a = np.arange(gap // 2 + gap % 2, gap)
     b = gap - a
-    ok = (have[a] > 0) & (have[b] > (a == b))
-    if ok.any():
-        k = int(np.flatnonzero(ok)[-1])
-        return [(int(a[k]), int(b[k]))]
-    for first in range(gap - 2, (gap - 1) // 3, -1):
+    ok = np.flatnonzero((have[a] > 0) & (have[b] > (a == b)))
+    if len(ok):
+        return int(a[ok[0]]), int(b[ok[0]])
+    for first in range((gap + 2) // 3, gap - 1):
         if have[first] <= 0:
             continue
         rest = gap - first
         b = np.arange(rest // 2 + rest % 2, min(first, rest - 1) + 1)
-        if not len(b):
-            continue
         c = rest - b
-        ok = (have[b] > (b == first)) & (have[c] > (b == c).astype(int) + (c == first))
-        if ok.any():
-            k = int(np.flatnonzero(ok)[-1])
-            return [(first, int(b[k]), int(c[k]))]
-    return []
+        ok = np.flatnonzero((have[b] > (b == first)) & (have[c] > (b == c).astype(int) + (c == first)))
+        if len(ok):
+            return first, int(b[ok[0]]), int(c[ok[0]])
+    return ()
 
 
 def plan(counts: dict[int, int], capacity: int = 2048) -> list[tuple[int, tuple[int, ...]]]:
@@ -237,11 +234,11 @@ def plan(counts: dict[int, int], capacity: int = 2048) -> list[tuple[int, tuple[
     for length in range(capacity - 1, 0, -1):
         while have[length] > 0:
             have[length] -= 1  # the one whose gap is filled
-            found = _exact(capacity - length, length, have)
+            found = _exact(capacity - length, have)
             have[length] += 1
             if not found:
                 break
-            shape = (length, *found[0])
+            shape = (length, *found)
             need: dict[int, int] = defaultdict(int)
             for x in shape:
                 need[x] += 1
