@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding of whole texts, long ones chunk by chunk.
 
 A long text is dealt out as overlapping chunks. Each chunk is pre-tokenised on its own; two neighbours are stitched at
-the first pre-token boundary that both find in their overlap, and from there on the pattern, which looks at nothing
-before its match, splits both alike. The pieces between stitches are encoded wherever they lie, and a document's ids
+the first pre-token boundary behind a character other than white space that both find in their overlap, and from there
+on the pattern, which looks at nothing before its match, splits both alike. The pieces between stitches are encoded wherever they lie, and a document's ids
 are put together in order. A text in which some overlap has no common boundary (a run of one character class longer
 than the overlap) is encoded as one piece.
 
@@ -94,6 +94,8 @@ def encode_chunked(docs: DataFrame, ranks_path: str, pattern: str, chunk: int, o
             out = []
             for key, k, at, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 starts = np.array([m.start() for m in pat.finditer(body)], np.int64)
+                # a piece must not end in white space: how far the pattern takes a run of it depends on what follows
+                starts = np.array([s for s in starts[(starts < overlap) | (starts >= chunk)].tolist() if s and not body[s - 1].isspace()], np.int64)
                 tail = starts[(starts >= chunk) & (starts <= len(body) - MARGIN)] + at
                 out.append((key, k, (starts[starts < overlap] + at).tolist(), tail.tolist()))
             yield _batch(out, marks)
