@@ -133,8 +133,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 7, r
     y = y_doc[doc_of]
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
     attention = np.ones(len(y))
-    batch = 512
-    for epoch in range(epochs):
+    batch = min(512, max(16, len(y) // 24))  # two dozen steps an epoch at least
+    epochs = max(epochs, -(-300 * batch // len(y)))  # and 300 in all
+    for _ in range(epochs):
         scores = np.zeros(len(y))
         shuffled = rng.permutation(len(y))
         for i in range(0, len(y), batch):
