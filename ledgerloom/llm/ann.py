@@ -132,7 +132,9 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, id_column: str = "ve
     n = points.count()
     sample = _matrix(points.orderBy("home").limit(SAMPLE).select("v").toArrow()["v"], width)
     centre = sample.mean(0)
-    enough = fit_share(sample, k, centre) * n
+    share = fit_share(sample, k, centre)
+    # a point counts once a tree at most, so this many hold k others than the query's own
+    enough = float("inf") if share >= 1 else max(share * n, TREES * (k + 1))
     shards, asked = max(1, -(-n // SHARD_ROWS)), cut(base.filter("ask").select("id", "v"), "asked")
     blocks = max(1, -(-asked.count() // QUERIES))
     rows = points.select(F.pmod("home", F.lit(shards)).cast("int").alias("shard"), "ids", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
