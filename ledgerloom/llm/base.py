@@ -10,20 +10,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.workers import share_code
+
 #: Rows per Arrow batch: with a few KB of text a row this keeps a Python worker's batch to a few MB.
 BATCH_ROWS = 512
 
 
-#: Where this package lies: Python workers on the same machine import it from there; a cluster gets it by --py-files.
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
 def tune(spark: SparkSession) -> SparkSession:
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
+    share_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # a finished query's shuffle files go at once: what is read again has been written by cut()
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 

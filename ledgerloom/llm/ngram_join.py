@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .base import Cut, cut, partitions
 from .graph import components
-from .suffix_dedup import _pack, _unpack, free_shuffles
+from .suffix_dedup import _pack, _unpack
 
 SHINGLE = 5
 #: Tiles up to so many sets give all their pairs at once.
@@ -451,21 +451,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
     counted = cut(sets_and_counts(base, buckets), "counted")
     ids = counted.filter(F.col("sid").isNotNull()).select("doc_id", "n", "sid")
     common = common_shingles(counted.filter(F.col("blob").isNotNull()))
-    free_shuffles(spark)
     tiled = cut(tiles(prefixes(base, common, buckets)), "tiles")
-    free_shuffles(spark)
     pairs = cut(tiled.filter(F.col("b").isNotNull()).select("a", "b").distinct(), "pairs")
     members = tiled.filter(F.col("b").isNull()).select("tile", F.col("a").alias("sid"), "n", "place")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
     sets = fetch_sets(base, ids.filter("n > 0"), wanted)
     links = cut(linked(cut(bounded(pairs, sets), "possible"), sets), "links")
-    free_shuffles(spark)
     roots = components(links.toDF("u", "v"))
     more = cut(across(members, roots, sets), "across")
     if more.limit(1).count():
         links = links.unionByName(cut(linked(more, sets), "more_links"))
         roots = components(links.toDF("u", "v"))
-    free_shuffles(spark)
     rooted = ids.join(roots, ids["sid"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
     full = rooted.filter("n > 0")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -13,13 +13,12 @@ makes others lose any. Rows that share a doc_id don't make each other lose bytes
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import cut, partitions
@@ -40,7 +39,9 @@ def words8(raw: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as big-endian numbers."""
     x = raw.astype(np.uint64)
     for n in (1, 2, 4):
-        x = (x[:-n] << np.uint64(8 * n)) | x[n:]
+        wide = x[:-n] << np.uint64(8 * n)
+        wide |= x[n:]
+        x = wide
     return x
 
 
@@ -118,16 +119,15 @@ def send(docs: list[tuple[int, bytes]], buckets: int):
         own = text[base : base + len(raw)]
         if len(own) >= DEPTH:
             h, lo, n = runs(own)
-            cols.append((h, np.full(len(h), doc), lo, n, lo + base))
+            x = words8(own)
+            head, tail = fingerprints(x, lo)[1], fingerprints(x, lo + n - 1)[1]
+            same = (head * _K[0]) ^ (tail * _K[3]) ^ n.astype(np.uint64)
+            cols.append((h, np.full(len(h), doc), lo, n, lo + base, same))
         base += len(raw)
     if not cols:
         return
-    h, doc, lo, n, at = (np.concatenate(c) for c in zip(*cols, strict=True))
-    x = words8(text)
-    _, head = fingerprints(x, at)
-    _, tail = fingerprints(x, at + n - 1)
-    del x
-    same = (head * _K[0]) ^ (tail * _K[3]) ^ n.astype(np.uint64)
+    h, doc, lo, n, at, same = (np.concatenate(c) for c in zip(*cols, strict=True))
+    del cols
     _, first, content = np.unique(same, return_index=True, return_inverse=True)
     bucket = (h % np.uint32(buckets)).astype(np.int64)
     order = np.lexsort((lo, doc, bucket))
@@ -259,21 +259,15 @@ def remove(raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int, b
     return sum(ends) - sum(begins), len(begins), b"".join(kept)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Spark drops a shuffle's files once the driver has collected what refers to it."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _SENT = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 _FOUND = (np.int64, np.int32, np.int32)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(home, blob): stretches of repeated strings, dealt to 4 * partitions homes by a crc32 of the doc_id."""
+    """(home, blob): stretches of repeated strings, dealt to 2 * partitions homes by a crc32 of the doc_id."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = homes = 4 * n
+    buckets, homes = 4 * n, 2 * n
 
     def out(batches):
         held, size = [], 0
@@ -292,24 +286,25 @@ def repeated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some[i : i + 64]], pa.int32()), pa.array([b for _, b in some[i : i + 64]], pa.binary())], schema=_SENT)
 
     def scan(batches):
-        bucket, held = None, []
+        """One row a home and task, as a shuffle has one block: no more rows than the cluster has pairs of tasks."""
+        bucket, held, found = None, [], []
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if k != bucket and held:
-                    yield from rows(deal(held))
+                    found += scan_bucket(held)
                     held = []
                 bucket = k
                 held.append(blob)
         if held:
-            yield from rows(deal(held))
+            found += scan_bucket(held)
+        yield from rows(deal(found))
 
-    def deal(blobs):
-        found = list(scan_bucket(blobs))
+    def deal(found):
         if not found:
             return
         doc, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
         ids, back = np.unique(doc, return_inverse=True)
-        home = np.array([zlib.crc32(str(x).encode()) % homes for x in ids.tolist()], np.int64)[back] if len(ids) else np.zeros(0, np.int64)
+        home = np.array([zlib.crc32(str(x).encode()) % homes for x in ids.tolist()], np.int64)[back]
         order = np.lexsort((first, doc, home))
         edges = np.searchsorted(home[order], np.arange(homes + 1))
         for k in range(homes):
@@ -319,9 +314,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     base = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= DEPTH)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = base.mapInArrow(out, "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = cut(sent.mapInArrow(scan, "home int, blob binary"), "repeats")
-    free_shuffles(spark)
-    return found
+    return cut(sent.mapInArrow(scan, "home int, blob binary"), "repeats")
 
 
 class Spans:
@@ -350,7 +343,7 @@ def _home(homes: int):
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """What each document loses, and a digest of what it keeps."""
-    homes = 4 * partitions(docs.sparkSession)
+    homes = 2 * partitions(docs.sparkSession)
     found = repeated(docs)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -372,7 +365,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     Bytes of a character that a cut has split go too. Documents that lose their whole text go; untouched ones stay.
     """
-    homes = 4 * partitions(docs.sparkSession)
+    homes = 2 * partitions(docs.sparkSession)
     found = repeated(docs)
     schema, names = docs.schema, docs.columns
 
