@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, digest, langid, licenses, ngram_join, packing, quality, suffix_dedup, toxicity
 from .base import table
+from .oracles import ORACLES
 
 
 def tokenizer_path(name: str) -> str:
@@ -61,4 +62,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_hash_forest, op3_quality, op4_best_fit_packing, op5_language_id, op6_fingerprints, op7_ngram_join, op8_suffix_dedup, op9_byte_bpe, op10_license_scan)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
