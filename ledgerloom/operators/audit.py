@@ -56,7 +56,7 @@ def expectations(depth: int = DEPTH, tolerance: float = 1e-9) -> dict[str, Colum
 def audit(observations: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One row a session: rows, segments, clock range, source rows in order, and how many rows break each expectation."""
     w = Window.partitionBy("session", "segment").orderBy("source_row")
-    rows = observations.withColumn("before_ts", F.lag("ts").over(w)).withColumn("before_mid", F.lag("mid").over(w))
+    rows = observations.drop("before_ts", "before_mid").withColumn("before_ts", F.lag("ts").over(w)).withColumn("before_mid", F.lag("mid").over(w))
     broken = expectations(depth)
     return rows.groupBy("session").agg(
         F.count("*").alias("rows"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scalars import feature_row
 from ledgerloom.schema import DEPTH, LEVELS
 
-REPLAYED = f"session bigint, source_row bigint, ts bigint, segment bigint, initial boolean, mid double, bids {LEVELS}, asks {LEVELS}, n_bids int, n_asks int"
+REPLAYED = f"session bigint, source_row bigint, ts bigint, segment bigint, initial boolean, mid double, bids {LEVELS}, asks {LEVELS}, n_bids int, n_asks int, before_mid double, before_ts bigint"
 MUTATING = ("A", "C", "M", "R")
 #: Rows between checks of the incremental levels against the orders.
 CHECK_EVERY = 69_420
@@ -61,6 +61,7 @@ class Timeline:
         self.orders: dict[int, tuple[str, float, float]] = {}
         self.sides = {"BUY": Side(True), "SELL": Side(False)}
         self.segment, self.fresh, self.clock, self.rows, self.started, self.open, self.stopped = 0, True, None, 0, False, False, False
+        self.last = (None, None)
 
     def apply(self, action: str, side: str, price: float, size: float, order_id: int) -> None:
         if action not in MUTATING:
@@ -78,7 +79,7 @@ class Timeline:
             self.sides[side].add(price, size, 1)
 
     def brk(self) -> None:
-        self.segment, self.fresh = self.segment + 1, True
+        self.segment, self.fresh, self.last = self.segment + 1, True, (None, None)
 
     def check(self) -> None:
         """The incremental levels are those that the orders make."""
@@ -126,9 +127,11 @@ class Timeline:
             return None
         first, self.fresh = self.fresh, False
         bids, asks = self.sides["BUY"], self.sides["SELL"]
+        before, self.last = self.last, ((bid + ask) / 2, ts)
         return {
             "source_row": source_row, "ts": ts, "segment": self.segment, "initial": first, "mid": (bid + ask) / 2,
             "bids": bids.top(self.depth), "asks": asks.top(self.depth), "n_bids": len(bids.prices), "n_asks": len(asks.prices),
+            "before_mid": before[0], "before_ts": before[1],
         }
 
     def finish(self) -> None:
@@ -139,6 +142,14 @@ class Timeline:
 _INPUT = ["source_row", "ts", "action", "side", "price", "size", "order_id", "is_last", "is_snapshot"]
 
 
+_COLUMNS = ["session", "source_row", "ts", "segment", "initial", "mid", "bids", "asks", "n_bids", "n_asks", "before_mid", "before_ts"]
+
+
+def frame(rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=_COLUMNS)
+    return out.astype({"before_mid": "float64", "before_ts": "Int64"})
+
+
 def replay(events: DataFrame, mode: str = "replay", need_clear: bool = False, stop_ns: int | None = None, depth: int = DEPTH, strict_end: bool = False) -> DataFrame:
     """Observations of every session, batch after batch: a task holds one book, never a session's rows."""
     if "is_snapshot" not in events.columns:
@@ -156,7 +167,7 @@ def replay(events: DataFrame, mode: str = "replay", need_clear: bool = False, st
                 found = line.step(row)
                 if found:
                     out.append({"session": key, **found})
-            yield pd.DataFrame(out, columns=[c.split(" ")[0].rstrip(":") for c in ("session", "source_row", "ts", "segment", "initial", "mid", "bids", "asks", "n_bids", "n_asks")])
+            yield frame(out)
         if line is not None and strict_end:
             line.finish()
 
@@ -204,9 +215,8 @@ def book_summary(levels: DataFrame) -> DataFrame:
 
 
 def observations(replayed: DataFrame, tick: float = 0.25, clock: str = "simulation", depth: int = DEPTH) -> DataFrame:
-    """The replay with its feature arrays; lags stay within a segment."""
-    w = Window.partitionBy("session", "segment").orderBy("source_row")
-    x = feature_row(F.col("bids"), F.col("asks"), F.col("mid"), tick, F.col("ts"), F.lag("mid").over(w), F.lag("ts").over(w), depth, clock)
+    """The replay with its feature arrays; the row before in the segment comes with each row, so nothing is shuffled."""
+    x = feature_row(F.col("bids"), F.col("asks"), F.col("mid"), tick, F.col("ts"), F.col("before_mid"), F.col("before_ts"), depth, clock)
     return replayed.withColumn("x", x)
 
 

@@ -9,6 +9,25 @@ from ledgerloom.functions.scalars import log_path
 from ledgerloom.schema import HISTORY, HORIZON
 
 RUN = ["session", "run"]
+#: Rows of a run that one task's window takes, besides those at its edges.
+BLOCK = 1 << 16
+
+
+def blocks(ticks: DataFrame, before: int, after: int) -> DataFrame:
+    """The rows of runs dealt to blocks of BLOCK row ids; `_own` is false for the `before` and `after` rows at the edges.
+
+    Windows over (session, run, _block) then see all that frames of so many rows need, and no run is one task's.
+    """
+
+    def block(row: Column) -> Column:
+        return F.call_function("div", F.greatest(row, F.lit(0)), F.lit(BLOCK))
+
+    row = F.col("row_id")
+    return ticks.filter(~F.col("brk")).withColumn("_block", F.explode(F.sequence(block(row - after), block(row + before)))).withColumn("_own", F.col("_block") == block(row))
+
+
+def _order():
+    return Window.partitionBy(*RUN, "_block").orderBy("row_id")
 
 
 def run_ids(df: DataFrame, session: str, order: str, label: str) -> DataFrame:
@@ -51,15 +70,11 @@ def valid_anchors(ticks: DataFrame, history: int, horizon: int, start: int = 0,
     return anchors(anchor_ranges(runs(rows if stop is None else rows.filter(F.col("row_id") < stop)), history, horizon))
 
 
-def _frame(first: int, last: int):
-    return Window.partitionBy(*RUN).orderBy("row_id").rowsBetween(first, last)
-
-
 def futures(ticks: DataFrame, horizon: int = HORIZON, history: int = 1) -> DataFrame:
     """session, run, anchor, y: the log path of the next `horizon` mids, for every eligible anchor."""
-    order = Window.partitionBy(*RUN).orderBy("row_id")
-    rows = ticks.filter(~F.col("brk")).withColumn("later", F.collect_list("mid").over(_frame(1, horizon))).withColumn("rn", F.row_number().over(order))
-    rows = rows.filter((F.size("later") == horizon) & (F.col("rn") >= history))
+    rows = blocks(ticks, history - 1, horizon)
+    rows = rows.withColumn("later", F.collect_list("mid").over(_order().rowsBetween(1, horizon))).withColumn("had", F.count("*").over(_order().rowsBetween(1 - history, 0)))
+    rows = rows.filter(F.col("_own") & (F.size("later") == horizon) & (F.col("had") == history))
     return rows.select(*RUN, F.col("row_id").alias("anchor"), log_path(F.col("later"), F.col("mid")).alias("y"))
 
 
@@ -73,24 +88,22 @@ def histories(ticks: DataFrame, wanted: DataFrame, value: str, history: int = HI
 
 def step_returns(ticks: DataFrame) -> DataFrame:
     """Log return on the row before in the same run; 0 at its start."""
-    w = Window.partitionBy(*RUN).orderBy("row_id")
-    back = F.lag("mid").over(w)
-    return ticks.filter(~F.col("brk")).select("session", "row_id", "run", F.when(back.isNull(), 0.0).otherwise(F.log(F.col("mid") / back)).alias("step_return"))
+    rows = blocks(ticks, 1, 0).withColumn("_back", F.lag("mid").over(_order())).filter("_own")
+    return rows.select("session", "row_id", "run", F.when(F.col("_back").isNull(), 0.0).otherwise(F.log(F.col("mid") / F.col("_back"))).alias("step_return"))
 
 
 def future_spans(ticks: DataFrame, horizon: int, ns: Column) -> DataFrame:
     """Seconds until `horizon` rows later in the same run."""
-    w = Window.partitionBy(*RUN).orderBy("row_id")
-    rows = ticks.filter(~F.col("brk")).withColumn("_ns", ns)
-    return rows.select("session", "row_id", ((F.lead("_ns", horizon).over(w) - F.col("_ns")) / 1e9).alias("seconds")).filter(F.col("seconds").isNotNull())
+    rows = blocks(ticks, 0, horizon).withColumn("_ns", ns).withColumn("_then", F.lead("_ns", horizon).over(_order()))
+    return rows.filter(F.col("_own") & F.col("_then").isNotNull()).select("session", "row_id", ((F.col("_then") - F.col("_ns")) / 1e9).alias("seconds"))
 
 
 def zero_paths(ticks: DataFrame, horizon: int) -> DataFrame:
     """Whether the mid stays the same for `horizon` rows, by equal running counts of its changes."""
-    w = Window.partitionBy(*RUN).orderBy("row_id")
-    change = F.coalesce((F.col("mid") != F.lag("mid").over(w)).cast("int"), F.lit(0))
-    rows = ticks.filter(~F.col("brk")).withColumn("_c", change).withColumn("_n", F.sum("_c").over(w))
-    return rows.select("session", "row_id", (F.lead("_n", horizon).over(w) == F.col("_n")).alias("unchanged")).filter(F.col("unchanged").isNotNull())
+    change = F.coalesce((F.col("mid") != F.lag("mid").over(_order())).cast("int"), F.lit(0))
+    rows = blocks(ticks, 0, horizon).withColumn("_c", change).withColumn("_n", F.sum("_c").over(_order()))
+    rows = rows.withColumn("unchanged", F.lead("_n", horizon).over(_order()) == F.col("_n"))
+    return rows.filter(F.col("_own") & F.col("unchanged").isNotNull()).select("session", "row_id", "unchanged")
 
 
 def clock_regressions(df: DataFrame, session: str, order: str, ns: str) -> DataFrame:

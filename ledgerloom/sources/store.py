@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.pairs import fingerprint
 from ledgerloom.schema import FEATURE_VERSION
+from ledgerloom.sources.views import numbered
 
 CHUNK_ROWS = 65_536
 
@@ -105,12 +106,16 @@ def read_ranges(rows: DataFrame, ranges: DataFrame, columns: list[str]) -> DataF
     return ids.join(rows.select("session", "row_id", *columns), ["session", "row_id"]).select("session", "row_id", *columns)
 
 
-def ordered_parts(parts: list[DataFrame], order: str) -> DataFrame:
-    """Parts one after the other with a global ordinal `source_row`: each part's start is the sum of those before."""
+def ordered_parts(parts: list[DataFrame], order: str, block: int = 1 << 20) -> DataFrame:
+    """Parts one after the other with a global ordinal `source_row`: each part's start is the sum of those before.
+
+    Rows are numbered in blocks of the order column's values, so no part goes through one task.
+    """
     out, start = None, 0
     for k, part in enumerate(parts):
-        w = Window.orderBy(order) if "session" not in part.columns else Window.partitionBy("session").orderBy(order)
-        own = part.withColumn("part", F.lit(k)).withColumn("source_row", F.row_number().over(w) - 1 + F.lit(start))
+        bucket = F.floor(F.col(order) / block)
+        own = numbered(part.withColumn("part", F.lit(k)), "part", [order], bucket)
+        own = own.withColumn("source_row", F.col("row_id") + F.lit(start)).drop("row_id")
         out = own if out is None else out.unionByName(own)
         start += part.count()
     return out

@@ -27,7 +27,7 @@ def replay_stream(events: DataFrame, depth: int = book.DEPTH) -> DataFrame:
         rows = rows[book._INPUT].astype(object).where(rows[book._INPUT].notna(), None)
         out = [{"session": key[0], **found} for row in rows.itertuples(index=False, name=None) if (found := line.step(row))]
         state.update((book.dump(line),))
-        yield pd.DataFrame(out, columns=["session", "source_row", "ts", "segment", "initial", "mid", "bids", "asks", "n_bids", "n_asks"])
+        yield book.frame(out)
 
     return events.select("session", *book._INPUT).groupBy("session").applyInPandasWithState(step, book.REPLAYED, "line binary", "append", GroupStateTimeout.NoTimeout)
 

@@ -121,6 +121,25 @@ def test_runs_and_anchors(spark):
     assert {r["anchor"] for r in runs.valid_anchors(ticks, 10, 5, 100, 130).collect()} == set(range(109, 125))
 
 
+def test_blocks_change_nothing(spark, monkeypatch):
+    ticks = views.ticks(spark, "/root/testdata/sf0.001")
+    ns = views.nanoseconds()
+
+    def all_of():
+        return [runs.futures(ticks, 8, 16), runs.step_returns(ticks), runs.future_spans(ticks, 8, ns), runs.zero_paths(ticks, 8)]
+
+    want = [sorted(map(str, df.collect())) for df in all_of()]
+    for block in (1, 5, 16):
+        monkeypatch.setattr(runs, "BLOCK", block)
+        assert [sorted(map(str, df.collect())) for df in all_of()] == want
+
+
+def test_ordered_parts(spark):
+    parts = [spark.range(5, 12).repartition(3), spark.range(100, 104)]
+    got = store.ordered_parts(parts, "id", 3).orderBy("source_row").collect()
+    assert [(r["source_row"], r["id"], r["part"]) for r in got] == [(i, x, int(x >= 100)) for i, x in enumerate([*range(5, 12), *range(100, 104)])]
+
+
 LOG = [
     (0, 1, "R", "BUY", 0.0, 0.0, 0, False, True), (1, 1, "A", "BUY", 99.0, 5.0, 1, False, True), (2, 1, "A", "SELL", 101.0, 7.0, 2, True, True),
     (3, 2, "A", "BUY", 99.0, 2.0, 3, True, False), (4, 3, "M", "BUY", 99.5, 4.0, 1, True, False), (5, 4, "T", "BUY", 99.5, 1.0, 1, True, False),
