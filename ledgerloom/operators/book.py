@@ -147,7 +147,9 @@ _COLUMNS = ["session", "source_row", "ts", "segment", "initial", "mid", "bids",
 
 def frame(rows: list[dict]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=_COLUMNS)
-    return out.astype({"before_mid": "float64", "before_ts": "Int64"})
+    out["before_mid"] = out["before_mid"].astype("float64")
+    out["before_ts"] = pd.array([r["before_ts"] for r in rows], "Int64")  # never by way of a float
+    return out
 
 
 def replay(events: DataFrame, mode: str = "replay", need_clear: bool = False, stop_ns: int | None = None, depth: int = DEPTH, strict_end: bool = False) -> DataFrame:
