@@ -6,7 +6,7 @@ counts as the zero vector), and a linear softmax makes its class scores.
 A document is scored by its worst window, so a few toxic words in a long text aren't averaged away; in training, a
 toxic document's windows count by how toxic the model takes them to be. Document scores are calibrated on the same rows.
 
-Null and empty texts have no window and get the score of a neutral one. Repeated rows give repeated rows.
+Null texts and those without a word have no window and get 0. Repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordCache, held_out
+from .base import WordCache, held_out, lean
 
 SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
 BITS, WIDTH, WINDOW = 17, 8, 16
@@ -85,13 +85,14 @@ class ToxicModel:
     def worst(self, ids: np.ndarray, margins: np.ndarray) -> float:
         """The highest class score of any window; ids: of words, margins: of each id."""
         if not len(ids):
-            return self.bias
+            return -np.inf
         total = np.concatenate([[0.0], np.cumsum(margins[ids] * first_in_window(ids))])
         lo, hi = windows(len(ids))
         return float((total[hi] - total[lo]).max()) / WINDOW + self.bias
 
     def probability(self, worst):
-        return 1 / (1 + np.exp(-np.clip(self.scale * np.asarray(worst) + self.shift, -30, 30)))
+        worst = np.asarray(worst, float)
+        return np.where(np.isneginf(worst), 0.0, 1 / (1 + np.exp(-np.clip(self.scale * np.maximum(worst, -1e6) + self.shift, -30, 30))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
@@ -179,7 +180,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 7, r
     model = ToxicModel(emb @ (out[1] - out[0]), float(bias[1] - bias[0]))
     margins = np.add.reduceat(model.margin[rows], first[:-1]) / np.maximum(per_word, 1)
     worst = np.array([model.worst(d, margins) for d in docs])
-    model.scale, model.shift = _logistic(worst, y_doc)
+    some = ~np.isneginf(worst)
+    if len(set(y_doc[some])) == 2:
+        model.scale, model.shift = _logistic(worst[some], y_doc[some])
     return model
 
 
@@ -197,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> ToxicModel
 
 
 class Scorer:
-    def __init__(self, model: ToxicModel, most_words: int = 400_000):
+    def __init__(self, model: ToxicModel, most_words: int = 300_000):
         self.model, self.most = model, most_words
         self.index = WordCache(self._next, 1 << 62)
         self.margins = np.zeros(0)
@@ -214,7 +217,7 @@ class Scorer:
         index = self.index
         ids = [[index[w] for w in t.split()] if t else [] for t in texts]
         if self.new:
-            self.margins = np.concatenate([self.margins, self.model.word_margins(self.new)])
+            self.margins = np.concatenate([self.margins, *(self.model.word_margins(self.new[i : i + 8192]) for i in range(0, len(self.new), 8192))])
             self.new = []
         return self.model.probability([self.model.worst(np.asarray(x, np.int64), self.margins) for x in ids])
 
@@ -228,4 +231,4 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
             p = found(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(rate, SCORED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(lean(rate), SCORED)
