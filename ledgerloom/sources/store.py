@@ -75,7 +75,8 @@ def write_store(observations: DataFrame, path: str, chunk_rows: int = CHUNK_ROWS
     """A store partitioned by session, in files of at most chunk_rows, with a manifest; never over an existing one."""
     spark = observations.sparkSession
     rows = observations.withColumn("schema_version", F.lit(FEATURE_VERSION))
-    rows.repartition("session").sortWithinPartitions("session", "row_id").write.mode("errorifexists").option("maxRecordsPerFile", chunk_rows).partitionBy("session").parquet(path)
+    chunk = F.call_function("div", F.col("row_id"), F.lit(chunk_rows))  # a long session is written by many tasks
+    rows.repartition("session", chunk).sortWithinPartitions("session", "row_id").write.mode("errorifexists").option("maxRecordsPerFile", chunk_rows).partitionBy("session").parquet(path)
     stored = spark.read.parquet(path)
     sums = stored.groupBy("session").agg(F.count("*").alias("rows"), F.min("row_id").alias("first"), F.max("row_id").alias("last")).orderBy("session").collect()
     if not sums:
