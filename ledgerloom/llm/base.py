@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.workers import share_code
 
-#: Rows per Arrow batch: with a few KB of text a row this keeps a Python worker's batch to a few MB.
-BATCH_ROWS = 512
+#: Most rows and bytes of an Arrow batch: what a Python worker and the JVM's buffers hold at once.
+BATCH_ROWS, BATCH_BYTES = 256, "4m"
 
 
 def tune(spark: SparkSession) -> SparkSession:
     share_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # a finished query's shuffle files go at once: what is read again has been written by cut()
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
@@ -93,6 +97,26 @@ def hash_sample(df: DataFrame, at_most: int, key: Column, rows: int) -> DataFram
     return df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on, and other stages need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(f):
+    """f, a function from batches to batches, with trim() after the last."""
+
+    def run(batches):
+        yield from f(batches)
+        trim()
+
+    return run
+
+
 class WordCache(dict):
     """word -> value for words met before in this worker; emptied at `most` words to bound memory."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, partitions
+from .base import cut, lean, partitions
 
 CODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: Characters at a chunk's end that a match may still look at: the longest contraction.
@@ -71,7 +71,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 16_384,
                 out.append((doc_id, *digests(ids, enc.decode_bytes(ids))))
             yield _batch(out, _CODED)
 
-    short = base.filter(~long).mapInArrow(whole, CODED)
+    short = base.filter(~long).mapInArrow(lean(whole), CODED)
     return short.unionByName(encode_chunked(base.filter(long), ranks_path, pattern, chunk, overlap))
 
 
@@ -101,7 +101,7 @@ def encode_chunked(docs: DataFrame, ranks_path: str, pattern: str, chunk: int, o
             yield _batch(out, marks)
 
     n = partitions(spark)
-    found = chunks.select("key", "k", "start", "body").repartition(n, "key", "k").mapInArrow(mark, "key bigint, k int, head array<bigint>, tail array<bigint>")
+    found = chunks.select("key", "k", "start", "body").repartition(n, "key", "k").mapInArrow(lean(mark), "key bigint, k int, head array<bigint>, tail array<bigint>")
     order = Window.partitionBy("key").orderBy("k")  # a document's chunks: their marks only
     last = F.lead("k").over(order).isNull()
     stitch = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))
@@ -132,5 +132,5 @@ def encode_chunked(docs: DataFrame, ranks_path: str, pattern: str, chunk: int, o
         raw = b"".join(enc.decode_bytes(ids[i : i + 65_536]) for i in range(0, len(ids), 65_536))
         return pa.Table.from_batches([_batch([(group["doc_id"][0].as_py(), *digests(ids, raw))], _CODED)])
 
-    rows = pieces.mapInArrow(code, "key bigint, doc_id bigint, k int, start bigint, ids binary, body string")
+    rows = pieces.mapInArrow(lean(code), "key bigint, doc_id bigint, k int, start bigint, ids binary, body string")
     return rows.groupBy("key").applyInArrow(join, CODED)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import partitions
+from .base import lean, partitions
 
 BUCKETS = 256
 BOUND = 640
@@ -130,6 +130,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         new_digest = fingerprint(new)
         return doc_id, len(text), hashlib.sha256(new).hexdigest(), digest, new_digest, likeness(digest, new_digest), likeness(digest, after_digest)
 
-    rows = base.mapInArrow(spread, "bucket int, guest int, doc_id bigint, text string, fingerprint string")
+    rows = base.mapInArrow(lean(spread), "bucket int, guest int, doc_id bigint, text string, fingerprint string")
     dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_last(), "text")
-    return dealt.mapInArrow(follow, FINGERPRINTED)
+    return dealt.mapInArrow(lean(follow), FINGERPRINTED)

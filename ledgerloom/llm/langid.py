@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordCache, held_out
+from .base import WordCache, held_out, lean, trim
 
 PREDICTED = "doc_id bigint, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"
 #: Tables of n-gram likelihoods have 2 ** BITS rows, one column a language.
@@ -166,7 +166,7 @@ class Predictor:
         index = self.index
         ids = [[index[w] for w in words_of(texts[i])] for i in real]
         if self.new:
-            self.logs = np.concatenate([self.logs, self.model.word_logs(self.new)])
+            self.logs = np.concatenate([self.logs, *(self.model.word_logs(self.new[i : i + 8192]) for i in range(0, len(self.new), 8192))])
             self.new = []
         sizes = np.array([len(x) for x in ids])
         shares = infer(self.model, self.logs[np.concatenate([np.asarray(x, np.int64) for x in ids])], sizes)
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score", "languages", "proportions"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(label, PREDICTED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(lean(label), PREDICTED)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float) -> DataFrame:
@@ -216,5 +216,6 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float) -
         find = Predictor(shared.value)
         for text in texts:
             yield pd.Series([score for _, score, _, _ in find(text.tolist())], dtype="float64")
+        trim()
 
     return docs.filter(main_share(F.col("text").cast("string")) >= max(least_share, 1e-9))

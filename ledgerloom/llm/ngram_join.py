@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Cut, cut, partitions
+from .base import cut, lean, partitions
 from .graph import components
 from .suffix_dedup import _pack, _unpack
 
@@ -35,7 +35,7 @@ LEADS = 3
 COMMON, MOST_COMMON = 32, 1_000_000
 #: Documents at most that are fetched by a broadcast of their ids; beyond, by a shuffled join.
 MOST_BROADCAST = 1_000_000
-_GATHER = 16_000_000
+_GATHER = 8_000_000
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -184,7 +184,7 @@ def sets_and_counts(docs: DataFrame, buckets: int) -> DataFrame:
                         blobs.append((k, _pack(np.diff(own, prepend=np.uint64(0)).astype(np.uint32), times[edges[k] : edges[k + 1]].astype(np.uint32)), None, None, None))
                 yield from _rows(_COUNTED, blobs)
 
-    return docs.mapInArrow(count, "bucket int, blob binary, doc_id bigint, n bigint, sid bigint")
+    return docs.mapInArrow(lean(count), "bucket int, blob binary, doc_id bigint, n bigint, sid bigint")
 
 
 def common_shingles(counts: DataFrame) -> np.ndarray:
@@ -204,7 +204,7 @@ def common_shingles(counts: DataFrame) -> np.ndarray:
             hit = sums > COMMON
             yield pa.RecordBatch.from_arrays([pa.array(token[first][hit].astype(np.int64)), pa.array(sums[hit])], schema=schema)
 
-    found = cut(counts.select("bucket", "blob").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(total, "token bigint, times bigint"), "common")
+    found = cut(counts.select("bucket", "blob").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(total), "token bigint, times bigint"), "common")
     least = COMMON
     while found.filter(F.col("times") > least).count() > MOST_COMMON:
         least *= 2
@@ -255,7 +255,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                     rows.append((k, _pack(np.diff(token[own], prepend=np.uint64(0)), sid[own], size[own], place[own], nth[own])))
             yield from _rows(pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]), rows)
 
-    return docs.mapInArrow(first_ones, "bucket int, blob binary")
+    return docs.mapInArrow(lean(first_ones), "bucket int, blob binary")
 
 
 _TILE = pa.schema([("tile", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
@@ -306,7 +306,7 @@ def tiles(found: DataFrame) -> DataFrame:
                 some = big[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), pa.array(sid[some]), pa.nulls(len(some), pa.int64()), pa.array(size[some]), pa.array(place[some])], schema=_TILE)
 
-    return found.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(pair_up, "tile bigint, a bigint, b bigint, n bigint, place bigint")
+    return found.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(pair_up), "tile bigint, a bigint, b bigint, n bigint, place bigint")
 
 
 _SET = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("items", pa.binary())])
@@ -328,7 +328,7 @@ def fetch_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows.append((set_id(items), len(items), parity_bits(items).tobytes(), items.tobytes()))
             yield from _rows(_SET, rows, 256)
 
-    made = some.select("text").mapInArrow(make, "sid bigint, n bigint, bits binary, items binary")
+    made = some.select("text").mapInArrow(lean(make), "sid bigint, n bigint, bits binary, items binary")
     return cut(made.join(wanted, "sid", "left_semi"), "sets")
 
 
@@ -347,7 +347,7 @@ def _settled(pairs: DataFrame, sets: DataFrame, what: str, test) -> DataFrame:
             ok = [k for k in range(len(a)) if test(x[k], y[k], n_a[k], n_b[k])]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in ok], pa.int64()), pa.array([b[k] for k in ok], pa.int64())], schema=_PAIR)
 
-    return rows.mapInArrow(keep, "a bigint, b bigint")
+    return rows.mapInArrow(lean(keep), "a bigint, b bigint")
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:

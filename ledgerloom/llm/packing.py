@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Cut, cut, partitions
+from .base import Cut, cut, lean, partitions
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -101,7 +101,7 @@ class WordEncoder:
     pre-tokens merged by the file's list; other words, and texts with special tokens, go through the file one by one.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -111,6 +111,9 @@ class WordEncoder:
         self.marks = {x: self.pieces(x.encode() + _END) for x in ".,;:!?"} if self.pieces else {}
         self.met = bytearray(1 << 23)
 
+    def forget(self) -> None:
+        self.words = {}
+
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -190,8 +193,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode.forget()  # the worker lives on for other stages
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut_up, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(cut_up), PIECES)
 
 
 # --- the plan -------------------------------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ makes others lose any. Rows that share a doc_id don't make each other lose bytes
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, partitions
+from .base import cut, lean, partitions
 
 DEPTH, SEED_BYTES = 50, 12
 #: Seeds in a window: every string of DEPTH bytes holds so many.
@@ -29,7 +30,7 @@ _SEEDS = DEPTH - SEED_BYTES + 1
 #: Long texts are cut into blocks of so many strings, so that places fit the low bits of a packed seed.
 _BLOCK, _PLACE = 1 << 18, 20
 #: Bytes of text that a task gathers before it sends its runs, and runs of an index batch.
-_FLUSH, _BATCH_RUNS = 12_000_000, 1 << 15
+_FLUSH, _BATCH_RUNS = 4_000_000, 1 << 13
 DEDUPED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
@@ -197,9 +198,11 @@ def scan_bucket(blobs: list[bytes]):
         sizes.append(n)
         texts.append(text)
         n_contents += len(h)
+    del text
     doc, lo, content, h = (np.concatenate(c) for c in (docs, los, contents, hashes))
     size = np.concatenate(sizes).astype(np.int64)
     text = np.concatenate(texts)
+    del texts, docs, los, contents, hashes, sizes
     at = np.cumsum(size + DEPTH - 1) - (size + DEPTH - 1)
     # only minimisers that several documents have
     least, most = np.full(n_contents, np.iinfo(np.int64).max), np.full(n_contents, np.iinfo(np.int64).min)
@@ -212,11 +215,6 @@ def scan_bucket(blobs: list[bytes]):
     live[order] = np.repeat(shared, np.diff(np.append(first, n_contents)))
     own = np.flatnonzero(live[content])
     own = own[np.argsort(doc[own], kind="stable")]
-    lives = np.flatnonzero(live)
-    x = words8(text[spread(at[lives], size[lives] + DEPTH - 1)])
-    at = np.zeros(n_contents, np.int64)
-    at[lives] = np.cumsum(size[lives] + DEPTH - 1) - (size[lives] + DEPTH - 1)
-    del text, texts
     index = Levels()
     for i in range(0, len(own), _BATCH_RUNS):
         entry = own[i : i + _BATCH_RUNS]
@@ -224,7 +222,10 @@ def scan_bucket(blobs: list[bytes]):
         early = np.full(len(kinds), np.iinfo(np.int64).max)
         np.minimum.at(early, local, doc[entry])
         n = size[kinds]
-        key, check = fingerprints(x, spread(at[kinds], n))
+        wide = n + DEPTH - 1
+        x = words8(text[spread(at[kinds], wide)])  # of this batch's strings only
+        key, check = fingerprints(x, spread(np.cumsum(wide) - wide, n))
+        del x
         level, place = suffix_array(key, check, np.repeat(early, n))
         before = np.minimum(index.least(level[0], level[1]), level[2])
         index.add(level)
@@ -281,9 +282,8 @@ def repeated(docs: DataFrame) -> DataFrame:
         yield from rows(send(held, buckets))
 
     def rows(pairs):
-        some = list(pairs)
-        for i in range(0, len(some), 64):
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some[i : i + 64]], pa.int32()), pa.array([b for _, b in some[i : i + 64]], pa.binary())], schema=_SENT)
+        while some := list(itertools.islice(pairs, 32)):  # a few blobs at a time
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], schema=_SENT)
 
     def scan(batches):
         """One row a home and task, as a shuffle has one block: no more rows than the cluster has pairs of tasks."""
@@ -313,8 +313,8 @@ def repeated(docs: DataFrame) -> DataFrame:
                 yield k, _pack(np.diff(doc[own], prepend=0), first[own].astype(np.int32), last[own].astype(np.int32))
 
     base = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= DEPTH)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = base.mapInArrow(out, "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return cut(sent.mapInArrow(scan, "home int, blob binary"), "repeats")
+    sent = base.mapInArrow(lean(out), "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    return cut(sent.mapInArrow(lean(scan), "home int, blob binary"), "repeats")
 
 
 class Spans:
