@@ -164,6 +164,20 @@ SELECT o.session, o.source_row, 86 AS width, round((bid - mid) / 0.25, 6) AS bid
   round(coalesce((ts - before_ts) / 1e9, 0), 6) AS time_delta_seconds, round(coalesce(ln(mid / before_mid), 0), 6) AS mid_return, CASE WHEN before_ts IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS initial,
   round(total + (ask - bid) / 0.25, 4) AS total
 FROM obs o JOIN top USING (session, source_row)""",
+    "feature_moments": f"""WITH {MBO}{BOOKS},
+ranked AS (SELECT l.*, row_number() OVER (PARTITION BY session, ev, side ORDER BY CASE WHEN side = 'BUY' THEN -price ELSE price END) AS k FROM level l),
+g AS (
+  SELECT CASE WHEN s.side = 'BUY' THEN 'bid_' ELSE 'ask_' END || n.k || '_' AS f, (r.price - o.mid) / 0.25::DOUBLE AS p, ln(1 + r.qty) AS q, ln(1 + CAST(r.orders AS DOUBLE)) AS c, CASE WHEN r.price IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS here
+  FROM obs o CROSS JOIN (VALUES ('BUY'), ('SELL')) s(side) CROSS JOIN (SELECT unnest(range(1, 11)) AS k) n LEFT JOIN ranked r ON r.session = o.session AND r.ev = o.source_row AND r.side = s.side AND r.k = n.k
+),
+u AS (
+  SELECT f || 'price_ticks' AS feature, p AS v FROM g UNION ALL SELECT f || 'quantity', q FROM g UNION ALL SELECT f || 'orders', c FROM g UNION ALL SELECT f || 'present', here FROM g
+  UNION ALL SELECT 'spread_ticks', (ask - bid) / 0.25::DOUBLE FROM obs UNION ALL SELECT 'time_delta_seconds', ln(1 + coalesce((ts - before_ts) / 1e9, 0)) FROM obs
+  UNION ALL SELECT 'mid_return', coalesce(ln(mid / before_mid), 0) FROM obs UNION ALL SELECT 'initial', CASE WHEN before_ts IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM obs
+  UNION ALL SELECT 'tod_sin', sin(2 * pi() * ((ts % 86400000000000) / 1e9) / 86400) FROM obs UNION ALL SELECT 'tod_cos', cos(2 * pi() * ((ts % 86400000000000) / 1e9) / 86400) FROM obs
+),
+m AS (SELECT feature, count(v) AS n, avg(v) AS a, stddev_pop(v) AS sd, feature LIKE '%\\_present' ESCAPE '\\' OR feature = 'initial' OR feature LIKE 'tod%' AS kept FROM u GROUP BY 1)
+SELECT feature, n, round(CASE WHEN kept OR n = 0 THEN 0 ELSE a END, 5) AS mean, round(CASE WHEN kept OR n = 0 OR coalesce(sd, 0) <= 1e-12 THEN 1 ELSE sd END, 5) AS scale, n = 0 OR coalesce(sd, 0) <= 1e-12 AS constant FROM m""",
     "audit_report": f"WITH {MBO}{BOOKS} SELECT session, count(*) AS rows, count(DISTINCT segment) AS segments, min(ts) AS first_ts, max(ts) AS last_ts, " + ", ".join(f"0::BIGINT AS {n}" for n in NAMES) + " FROM obs GROUP BY 1",
     "gap_median": f"""WITH {TICKS}, g AS (SELECT (us - lag(us) OVER (PARTITION BY session, run ORDER BY row_id)) / 1e6 AS gap FROM good)
 SELECT round(median(gap), 6) AS median, count(*) AS n FROM g WHERE gap > 0""",
