@@ -8,6 +8,7 @@ import gc
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,28 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+_scratch: list[list[Cut]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables cut within are dropped at its end; what it yields writes a table that stays."""
+    _scratch.append([])
+    stays: list[Cut] = []
+
+    def keep(df: DataFrame, label: str) -> None:
+        stays.append(Cut(df, label))
+
+    try:
+        yield keep, stays
+    finally:
+        for table in _scratch.pop():
+            if table not in stays:
+                table.drop()
+    if _scratch:
+        _scratch[-1] += stays
+
+
 class Cut:
     """A written intermediate table: lineage ends at its files, so a lost executor costs no recomputation."""
 
@@ -71,6 +94,8 @@ class Cut:
         df.write.parquet(self.path)
         self.schema = df.schema
         atexit.register(_drop_at_exit, self.spark, self.path)
+        if _scratch:
+            _scratch[-1].append(self)
 
     @property
     def df(self) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, lean, partitions
+from .base import cut, lean, partitions, scratch
 from .graph import components
 from .suffix_dedup import _pack, _unpack
 
@@ -444,7 +444,13 @@ def across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int =
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles, component_id of every document; what was written on the way is dropped."""
+    with scratch() as (keep, kept):
+        keep(_near_classes(docs), "classes")
+    return kept[0].df
+
+
+def _near_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -481,7 +487,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id are one document: one of them stays if any of them leads its class.
     """
-    classes = cut(near_classes(docs).filter(F.col("doc_id").isNotNull()), "classes")
+    classes = near_classes(docs).filter(F.col("doc_id").isNotNull())
     per_id = cut(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays")), "per_id")
     kept = without(docs, per_id.filter("stays = 0 or n > 1").select("doc_id"))
     again = per_id.filter("stays = 1 and n > 1").select("doc_id")
