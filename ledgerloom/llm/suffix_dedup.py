@@ -268,7 +268,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(home, blob): stretches of repeated strings, dealt to 2 * partitions homes by a crc32 of the doc_id."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets, homes = 4 * n, 2 * n
+    buckets, homes = 8 * n, 2 * n
 
     def out(batches):
         held, size = [], 0
