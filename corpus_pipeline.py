@@ -12,12 +12,13 @@ from ledgerloom.llm import langid, ngram_join, packing, quality, suffix_dedup
 from ledgerloom.llm.base import cut, table, tune
 from ledgerloom.llm.queries import tokenizer_path
 
-#: A document goes if no language was found or the best one has less than this share of its words.
-LEAST_LANGUAGE_SHARE = 0.25
+#: A document goes if no language was found or the best one has less than this share of its words; words in no learned
+#: language count among them, and an even mixture of two or more lies below.
+LEAST_LANGUAGE_SHARE = 0.55
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a main language, go."""
+    """Documents without a letter, or without a main language (even mixtures, unlearned languages, letter junk), go."""
     tune(spark)
     return langid.keep_identified(docs, langid.fit(docs), LEAST_LANGUAGE_SHARE)
 

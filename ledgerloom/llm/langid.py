@@ -64,14 +64,18 @@ class LanguageModel:
     table: np.ndarray
     #: each further language of a document must gain as many nats
     penalty: float = 12.0
+    #: log likelihood of each n-gram row in no learned language, on the scale of `table`, float32 [2 ** BITS]
+    unknown: np.ndarray | None = None
 
     def word_logs(self, words: list[str]) -> np.ndarray:
-        """Log likelihood of each word in each language: the mean of its n-grams' times the root of their number."""
+        """Log likelihood of each word in each language and, last, in none: the mean of its n-grams' times the root of their number."""
         rows, owner = ngram_rows(words)
-        out = np.zeros((len(words), len(self.langs)))
+        k = len(self.langs)
+        out = np.zeros((len(words), k + 1))
         n = np.maximum(np.bincount(owner, minlength=len(words)), 1)
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(owner, self.table[rows, k], len(words))
+        for j in range(k):
+            out[:, j] = np.bincount(owner, self.table[rows, j], len(words))
+        out[:, k] = -np.inf if self.unknown is None else np.bincount(owner, self.unknown[rows], len(words))
         return out / np.sqrt(n)[:, None]
 
 
@@ -90,7 +94,20 @@ def learn(texts: list[str], langs: list[str]) -> LanguageModel:
             counts[:, k] += np.bincount(rows, times[owner], 1 << BITS)
     used = counts.any(1).sum() + 1
     table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * used))
-    return LanguageModel(names, (table - table.max(1, keepdims=True)).astype(np.float32))
+    top = table.max(1)
+    return LanguageModel(names, (table - top[:, None]).astype(np.float32), unknown=(unknown_level(counts, table, used) - top).astype(np.float32))
+
+
+def unknown_level(counts: np.ndarray, table: np.ndarray, used: float) -> float:
+    """Log likelihood of an n-gram in no learned language.
+
+    Halfway between a language's n-grams in their own language and in the learned one that fits them least, as text in an
+    unlearned language would; a nat below their own at least, should the learned ones be alike.
+    """
+    each = counts.T @ table / np.maximum(counts.sum(0), 1)[:, None]  # of row k's n-grams in column j
+    own = np.diag(each)
+    other = each.min(1) if len(each) > 1 else np.array([-np.log(used)])
+    return float(np.minimum((own + other) / 2, own - 1).mean())
 
 
 def _expect(logs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shares: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +156,18 @@ def infer(model: LanguageModel, logs: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return chosen
 
 
+def known_shares(model: LanguageModel, logs: np.ndarray, sizes: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The proportions of `infer` with words in no learned language counted among all, so that they can sum to less than 1.
+
+    `logs` has the column of no language too. As a further language, it must gain the penalty.
+    """
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    _, value = _expect(logs[:, :-1], starts, sizes, shares, 0)
+    begin = np.concatenate([0.9 * shares, np.full((len(sizes), 1), 0.1)], 1)
+    found, like = _expect(logs, starts, sizes, begin, 6)
+    return np.where((like - model.penalty > value)[:, None], found[:, :-1], shares)
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -148,18 +177,18 @@ class Predictor:
         self.model = model
         self.index = WordCache(self._next, 1 << 62)
         self.most = most_words
-        self.logs = np.zeros((0, len(model.langs)))
+        self.logs = np.zeros((0, len(model.langs) + 1))
         self.new: list[str] = []
 
     def _next(self, word: str) -> int:
         self.new.append(word)
         return len(self.logs) + len(self.new) - 1
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[str], list[float]]]:
-        none = (UNKNOWN, 0.0, [], [])
+    def _look_up(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(places of the texts with a letter, their words' logs one after the other, their numbers of words)."""
         real = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.model.langs else []
         if not real:
-            return [none] * len(texts)
+            return real, self.logs[:0], np.zeros(0, np.int64)
         if len(self.logs) > self.most:
             self.index.clear()
             self.logs = self.logs[:0]
@@ -168,9 +197,22 @@ class Predictor:
         if self.new:
             self.logs = np.concatenate([self.logs, *(self.model.word_logs(self.new[i : i + 8192]) for i in range(0, len(self.new), 8192))])
             self.new = []
-        sizes = np.array([len(x) for x in ids])
-        shares = infer(self.model, self.logs[np.concatenate([np.asarray(x, np.int64) for x in ids])], sizes)
-        out = [none] * len(texts)
+        return real, self.logs[np.concatenate([np.asarray(x, np.int64) for x in ids])], np.array([len(x) for x in ids])
+
+    def main_shares(self, texts: list[str | None]) -> np.ndarray:
+        """The main language's share of each text's words, those in no learned language among them."""
+        out = np.zeros(len(texts))
+        real, logs, sizes = self._look_up(texts)
+        if real:
+            out[real] = known_shares(self.model, logs, sizes, infer(self.model, logs[:, :-1], sizes)).max(1)
+        return out
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[str], list[float]]]:
+        out = [(UNKNOWN, 0.0, [], [])] * len(texts)
+        real, logs, sizes = self._look_up(texts)
+        if not real:
+            return out
+        shares = infer(self.model, logs[:, :-1], sizes)
         langs = self.model.langs
         for i, row in zip(real, shares, strict=True):
             k = int(row.argmax())
@@ -208,14 +250,17 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float) -> DataFrame:
-    """The documents, with their own columns, whose main language has at least `least_share` of their words."""
+    """The documents, with their own columns, whose main language has at least `least_share` of their words.
+
+    Words in no learned language count among them, so text in an unlearned language or letter junk goes too.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def main_share(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         find = Predictor(shared.value)
         for text in texts:
-            yield pd.Series([score for _, score, _, _ in find(text.tolist())], dtype="float64")
+            yield pd.Series(find.main_shares(text.tolist()), dtype="float64")
         trim()
 
     return docs.filter(main_share(F.col("text").cast("string")) >= max(least_share, 1e-9))

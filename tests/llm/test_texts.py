@@ -143,6 +143,31 @@ def test_identified_documents_keep_their_columns(spark):
     assert gone == {15, 18, 21, 45}
 
 
+def test_documents_without_a_main_language_go(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    parts = {
+        "de": "schaft zeit keit wein strasse unter gegen durch nicht".split(),
+        "en": "the with that stone river light house which thing".split(),
+        "fr": "queue pour leurs dans avec mais toujours chez quelle".split(),
+        "es": "ción ñando para llamar pero donde hasta muy cuando".split(),
+    }
+
+    def text(*langs, n=60):
+        return " ".join(rng.choice(parts[x]) + rng.choice(["", rng.choice(parts[x])]) for x in langs for _ in range(n // len(langs)))
+
+    clean = [(text(x), x) for x in parts for _ in range(30)]
+    uneven = [(text("en", "en", "en", "fr"), None) for _ in range(5)]
+    even = [(text("en", "de"), None) for _ in range(5)] + [(text(*parts, n=80), None) for _ in range(5)]
+    unlearned = [("привет мир как дела сегодня хорошо и тепло на улице у реки " * 3, None), ("joulupukki yöllä kävi hyvää jäätelöä myymässä työmaalla " * 4, None)]
+    junk = [(" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(50)), None) for _ in range(5)]
+    cases = [*clean, *uneven, *even, *unlearned, *junk]
+    docs = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(cases)], "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == set(range(len(clean) + len(uneven)))
+
+
 # --- toxicity ---
 
 
