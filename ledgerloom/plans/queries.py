@@ -15,6 +15,8 @@ HISTORY, HORIZON = 16, 8
 GAP = HISTORY + HORIZON
 #: Anchors that the sampling queries take from each session, and their seed.
 SAMPLE, SEED = 24, 17
+#: Pairs of the seeded order that the distance scale is fitted on, as the reference's target_pairs.
+TARGET_PAIRS = 100_000
 
 
 def _ranges(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,6 +271,40 @@ def endpoint_counts(spark, sf):
     return audit.endpoint_counts(_distances(spark, sf))
 
 
+def all_histories(spark, sf):
+    """Histories of every anchor."""
+    found = runs.histories(views.ticks(spark, sf), runs.anchors(_ranges(spark, sf)), "mid", HISTORY)
+    return found.select("session", "anchor", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 4).alias("total"), F.round(F.col("x")[0], 6).alias("first"), F.round(F.col("x")[HISTORY - 1], 6).alias("last"))
+
+
+def universe_pairs(spark, sf):
+    """The first TARGET_PAIRS of the seeded order of all eligible pairs, within and across sessions."""
+    index = pairs.PairIndex.of(_ranges(spark, sf), GAP)
+    order = pairs.Traversal(index.total, "events", "all", SEED)
+    queue = pairs.traverse(spark, order, 0, min(TARGET_PAIRS, index.total))
+    return pairs.unrank_pairs(queue, index).join(queue, "pair_id")
+
+
+def _universe_distances(spark, sf):
+    episodes = runs.futures(views.ticks(spark, sf), HORIZON, HISTORY).select("session", "anchor", "y")
+    both = pairs.materialise(universe_pairs(spark, sf), episodes)
+    return both.select("pair_id", "place", "s1", "a1", "s2", "a2", S.future_path_rms(F.col("left"), F.col("right")).alias("d_raw"))
+
+
+def universe_distances(spark, sf):
+    return _universe_distances(spark, sf).withColumn("d_raw", F.round("d_raw", 6))
+
+
+def universe_scale(spark, sf):
+    """The scale over the whole universe; its halves are those of the seeded order."""
+    found = fit.target_scale(_universe_distances(spark, sf), "d_raw", "place")
+    return found.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in found.dtypes))
+
+
+def universe_endpoints(spark, sf):
+    return audit.endpoint_counts(universe_pairs(spark, sf))
+
+
 def pair_unrank(spark, sf):
     """Every 9973rd pair id to its episodes and back."""
     index = pairs.PairIndex.of(_ranges(spark, sf), GAP)
@@ -396,7 +432,7 @@ QUERIES = {
         q_ticks, q_mbo, q_runs, anchor_ranges, anchor_batches, future_paths, pair_universe_counts, range_pair_counts, step_returns, future_span, zero_paths, tod_features,
         clock_regressions, interval_gaps, contiguous_ranges, run_labels, read_rows, read_ranges, stop_scan, job_discovery, session_seeds, action_counts, file_summary, book_asof,
         top_levels, book_summary, replay_events, feature_rows, audit_report, gap_median, reservoir_median, coverage_rows, feature_moments, standardised, sampled_anchors, histories,
-        eligible_pairs, pair_distances, target_scale, endpoint_counts, pair_unrank, pair_batches, latent_l2, vq_codes, vq_stats, state_futures, state_samples, forecast_eval,
+        eligible_pairs, pair_distances, target_scale, endpoint_counts, all_histories, universe_pairs, universe_distances, universe_scale, universe_endpoints, pair_unrank, pair_batches, latent_l2, vq_codes, vq_stats, state_futures, state_samples, forecast_eval,
         kmeans_codebook, split_summary, store_diff, split_overlap, reconcile, build_report, preflight,
     )
 }
