@@ -313,9 +313,11 @@ _SET = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()),
 
 
 def fetch_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, n, parity bitmap and sorted items of the wanted sets, each made from the first document that has it."""
-    first = ids.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    first = cut(first.distinct(), "wanted")
+    """sid, n, parity bitmap and sorted items of the wanted sets, each made from the first document that has it, or from a row without an id."""
+    first = ids.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    first = cut(first.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("sid")).alias("alone")).distinct(), "wanted")
+    alone = first.filter("alone is not null").select(F.col("alone").alias("sid"))
+    first = first.filter("doc_id is not null").select("doc_id")
     few = first.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     some = docs.join(F.broadcast(first) if few else first, "doc_id", "left_semi")
 
@@ -328,8 +330,12 @@ def fetch_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows.append((set_id(items), len(items), parity_bits(items).tobytes(), items.tobytes()))
             yield from _rows(_SET, rows, 256)
 
-    made = some.select("text").mapInArrow(lean(make), "sid bigint, n bigint, bits binary, items binary")
-    return cut(made.join(wanted, "sid", "left_semi"), "sets")
+    made = "sid bigint, n bigint, bits binary, items binary"
+    named = some.select("text").mapInArrow(lean(make), made).join(wanted, "sid", "left_semi")
+    if not alone.isEmpty():
+        unnamed = docs.filter(F.col("doc_id").isNull()).select("text").mapInArrow(lean(make), made)
+        named = named.unionByName(unnamed.join(alone, "sid", "left_semi").dropDuplicates(["sid"]))
+    return cut(named, "sets")
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -67,6 +67,19 @@ def test_near_classes(spark, monkeypatch, small, common, leads, block):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == classes(table)
 
 
+def test_rows_without_an_id_link(spark):
+    words = [f"w{k}" for k in range(120)]
+
+    def changed(*at):
+        return " ".join("x" if k in at else w for k, w in enumerate(words))
+
+    # the outer two are near the row between them only, which has no id
+    table = [(1, changed(*range(10, 16))), (None, changed()), (None, changed()), (2, changed(*range(100, 106))), (3, "some other text of a few words")]
+    assert {c for d, _, c in classes(table) if d != 3} == {1}
+    got = ngram_join.near_classes(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == classes(table)
+
+
 def test_near_classes_of_nothing(spark):
     assert ngram_join.near_classes(nothing(spark)).count() == 0
 
