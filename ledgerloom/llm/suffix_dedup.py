@@ -2,13 +2,20 @@
 
 Every 50-byte string (a suffix cut to depth 50) starts in exactly one run of neighbouring strings with one minimiser, so
 runs are dealt to buckets by that minimiser's hash and equal strings meet in one bucket, wherever they come from. A
-bucket takes its runs in batches of ascending doc_id. A batch gets a suffix array of its distinct strings, is
-merge-scanned against the levels that hold the earlier batches, and becomes a level itself; levels of equal size merge,
-so a bucket keeps a logarithmic number of them. Suffix arrays order by the first two bytes and, below these, by a 48-bit
-fingerprint of all 50; a match also needs a second 64-bit fingerprint to agree.
+bucket takes its runs in batches of ascending doc_id. A batch gets a suffix array, the places of its distinct strings in
+the order of their bytes; this is merge-scanned against the levels that hold the strings of earlier batches, and what
+they lack becomes a level itself. Levels of equal size merge, so a bucket keeps a logarithmic number of them. With an
+index folder the levels are stored there, and later calls scan their documents against them and add to them. Strings
+are told apart by their bytes; hashes only deal runs to buckets and propose runs that may be equal.
+
+Copies of a run that a task meets together are settled there and sent once, so what a bucket gets of a passage grows
+with the number of tasks' batches, not with its copies. Texts and what was found of them meet in streams sorted by home.
 
 Strings are judged on the input. Nulls: a null text is empty; a document with a null doc_id neither loses bytes nor
-makes others lose any. Rows that share a doc_id don't make each other lose bytes. Texts under 50 bytes stay whole.
+makes others lose any. Rows that share a doc_id don't make each other lose bytes, and each row loses its own text's
+bytes; a repeated row loses the same as the first. Texts under 50 bytes stay whole. An empty table gives an empty one.
+Long texts are cut into blocks of strings, which changes no result. Columns with other names than doc_id and text are
+never read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -16,11 +23,15 @@ from __future__ import annotations
 import hashlib
 import itertools
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .base import cut, lean, partitions
 
@@ -30,10 +41,13 @@ _SEEDS = DEPTH - SEED_BYTES + 1
 #: Long texts are cut into blocks of so many strings, so that places fit the low bits of a packed seed.
 _BLOCK, _PLACE = 1 << 18, 20
 #: Bytes of text that a task gathers before it sends its runs, and runs of an index batch.
-_FLUSH, _BATCH_RUNS = 4_000_000, 1 << 13
+_FLUSH, _BATCH_RUNS = 4_000_000, 1 << 14
+#: Repeated doc_ids at most that are joined by broadcast; beyond, by a shuffled join.
+MOST_BROADCAST = 1_000_000
 DEDUPED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
-_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
+_NEVER = np.iinfo(np.int64).max
+_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def words8(raw: np.ndarray) -> np.ndarray:
@@ -46,11 +60,15 @@ def words8(raw: np.ndarray) -> np.ndarray:
     return x
 
 
-def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(32-bit bucket hash, first string, number of strings) of every run of strings with one minimiser."""
+def runs(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket hash, document, place in the text, number of strings) of every run of strings with one minimiser.
+
+    text: documents one after the other, document k from starts[k] to ends[k]; a string lies in one document.
+    """
     parts = []
-    for at in range(0, max(len(raw) - DEPTH + 1, 0), _BLOCK):
-        block = raw[at : at + _BLOCK + DEPTH - 1]
+    cuts = np.unique(np.concatenate([starts, np.maximum(ends - DEPTH + 1, starts)]))  # where strings of a document begin and cease
+    for at in range(0, max(len(text) - DEPTH + 1, 0), _BLOCK):
+        block = text[at : at + _BLOCK + DEPTH - 1]
         x = words8(block)
         m = len(block) - SEED_BYTES + 1
         key = x[:m] * _K[0] ^ (x[SEED_BYTES - 8 : SEED_BYTES - 8 + m] * _K[1])
@@ -62,32 +80,47 @@ def runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             least, n = np.minimum(least[:-n], least[n:]), 2 * n
         if n < _SEEDS:
             least = np.minimum(least[: len(least) - (_SEEDS - n)], least[_SEEDS - n :])
-        first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        new = np.concatenate([[True], least[1:] != least[:-1]])
+        new[cuts[np.searchsorted(cuts, at) : np.searchsorted(cuts, at + len(least))] - at] = True
+        first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(least)))
-        parts.append((((least[first] >> np.uint64(_PLACE)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), first + at, size))
+        doc = np.searchsorted(starts, first + at, "right") - 1
+        own = np.flatnonzero(first + at + DEPTH <= ends[doc])
+        first, doc = first[own], doc[own]
+        parts.append((((least[first] >> np.uint64(_PLACE)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), doc, first + at, size[own]))
     if not parts:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint32), none, none, none
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def fingerprints(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order key, second fingerprint) of the DEPTH bytes from each place `at` on; x: words8 of the text."""
-    a = np.zeros(len(at), np.uint64)
-    b = np.zeros(len(at), np.uint64)
-    for k, off in enumerate((0, 8, 16, 24, 32, 40, DEPTH - 8)):
-        w = x[at + off]
-        a = (a ^ w) * _K[k]
-        a ^= a >> np.uint64(31)
-        b = (b + w) * _K[(k + 3) % 7]
-        b ^= b >> np.uint64(29)
-    return (x[at] & np.uint64(0xFFFF << 48)) | (a >> np.uint64(16)), b
-
-
 def spread(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     """lo, lo + 1, ... of each run, run after run."""
     return np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
 
 
+def same_runs(text: np.ndarray, at: np.ndarray, wide: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each kind, kind of each run): runs of one kind have equal bytes, by a hash and then their bytes."""
+    x = sliding_window_view(text, 8)
+
+    def word(place):
+        return x[place].view(">u8").ravel()
+
+    key = (h.astype(np.uint64) << np.uint64(8)) ^ wide.astype(np.uint64)
+    for k in range(0, int(wide.max(initial=8)), 8):
+        key = (key ^ word(at + np.minimum(k, wide - 8)).astype(np.uint64)) * _K[k // 8 % 4]
+        key ^= key >> np.uint64(31)
+    _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[kind] != np.arange(len(at)))
+    model = first[kind[again]]
+    other = (wide[again] != wide[model]) | (h[again] != h[model])
+    for k in range(0, int(wide.max(initial=8)), 8):
+        other |= word(at[again] + np.minimum(k, wide[again] - 8)) != word(at[model] + np.minimum(k, wide[model] - 8))
+    apart = again[other]  # one hash, other bytes
+    kind[apart] = len(first) + np.arange(len(apart))
+    return np.concatenate([first, apart]), kind
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
@@ -107,129 +140,179 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-# entries: doc steps, first string, content; contents: bucket hash, strings; texts
-_ENTRY = (np.int64, np.int32, np.int32, np.uint32, np.uint8, np.uint8)
+#: What the rows for a bucket hold.
+_LEVEL, _RUNS, _FOUND = 0, 1, 2
+# entries: doc steps, tags, first string, content; contents: bucket hash, strings; texts
+_ENTRY = (np.int64, np.int64, np.int32, np.int32, np.uint32, np.uint8, np.uint8)
+_STRETCH = (np.int64, np.int64, np.int32, np.int32)
 
 
-def send(docs: list[tuple[int, bytes]], buckets: int):
-    """(bucket, blob) rows for a task's gathered documents: the runs of each bucket, equal ones with one text."""
+def send(docs: list[tuple[int, int, bytes]], buckets: int):
+    """(bucket, kind, blob) rows for a task's gathered documents (doc_id, tag, bytes).
+
+    Equal runs are sent with one text and for the least doc_id alone; as every later document has them from that one,
+    their strings are found here.
+    """
     docs = sorted(docs)
-    text = np.frombuffer(b"".join(t for _, t in docs), np.uint8)
-    base, cols = 0, []
-    for doc, raw in docs:
-        own = text[base : base + len(raw)]
-        if len(own) >= DEPTH:
-            h, lo, n = runs(own)
-            x = words8(own)
-            head, tail = fingerprints(x, lo)[1], fingerprints(x, lo + n - 1)[1]
-            same = (head * _K[0]) ^ (tail * _K[3]) ^ n.astype(np.uint64)
-            cols.append((h, np.full(len(h), doc), lo, n, lo + base, same))
-        base += len(raw)
-    if not cols:
+    raw = b"".join(t for _, _, t in docs)
+    if len(raw) < DEPTH:
         return
-    h, doc, lo, n, at, same = (np.concatenate(c) for c in zip(*cols, strict=True))
-    del cols
-    _, first, content = np.unique(same, return_index=True, return_inverse=True)
+    text = np.frombuffer(raw, np.uint8)
+    ends = np.cumsum([len(t) for _, _, t in docs])
+    starts = np.concatenate([[0], ends[:-1]])
+    ids, tags = (np.array([d[k] for d in docs], np.int64) for k in (0, 1))
+    h, own, at, n = runs(text, starts, ends)
+    if not len(h):
+        return
+    rep, content = same_runs(text, at, n + DEPTH - 1, h)
+    least = np.full(len(rep), _NEVER)
+    np.minimum.at(least, content, ids[own])
+    lo = at - starts[own]
+    late = np.flatnonzero(ids[own] > least[content])
+    if len(late):
+        yield int(h[late[0]] % np.uint32(buckets)), _FOUND, _pack(ids[own[late]], tags[own[late]], lo[late].astype(np.int32), (lo + n - 1)[late].astype(np.int32))
     bucket = (h % np.uint32(buckets)).astype(np.int64)
-    order = np.lexsort((lo, doc, bucket))
+    bucket[late] = buckets
+    order = np.argsort(bucket, kind="stable")  # by document and place in each
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for k in range(buckets):
-        own = order[edges[k] : edges[k + 1]]
-        if len(own):
-            kinds, local = np.unique(content[own], return_inverse=True)
-            rep = first[kinds]
-            body = text[spread(at[rep], n[rep] + DEPTH - 1)]
-            yield k, _pack(np.diff(doc[own], prepend=0), lo[own].astype(np.int32), local.astype(np.int32), h[rep], n[rep].astype(np.uint8), body)
+        some = order[edges[k] : edges[k + 1]]
+        if len(some):
+            kinds, local = np.unique(content[some], return_inverse=True)
+            model = rep[kinds]
+            body = text[spread(at[model], n[model] + DEPTH - 1)]
+            yield k, _RUNS, _pack(np.diff(ids[own[some]], prepend=0), tags[own[some]], lo[some].astype(np.int32), local.astype(np.int32), h[model], n[model].astype(np.uint8), body)
 
 
-class Levels:
-    """Sorted arrays of (order key, second fingerprint, least doc_id), of geometrically falling sizes."""
-
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def least(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """The least doc_id known of each string (sorted by key, check); the largest number where there is none."""
-        out = np.full(len(key), np.iinfo(np.int64).max)
-        for keys, checks, docs in self.levels:
-            at = np.searchsorted(keys, key)
-            open_ = np.flatnonzero(at < len(keys))
-            while len(open_):  # one step but for two strings with one key
-                open_ = open_[keys[at[open_]] == key[open_]]
-                hit = checks[at[open_]] == check[open_]
-                found = open_[hit]
-                out[found] = np.minimum(out[found], docs[at[found]])
-                open_ = open_[~hit]
-                at[open_] += 1
-                open_ = open_[at[open_] < len(keys)]
+# --- suffix arrays and their levels ---------------------------------------------------------------------------------
+
+
+def strings(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The DEPTH bytes from each place on."""
+    if not len(at):
+        return np.zeros(0, f"S{DEPTH}")
+    return sliding_window_view(text, DEPTH)[at].view(f"S{DEPTH}").ravel()
+
+
+def first_words(some: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(some.view(np.uint8).reshape(-1, DEPTH)[:, :8]).view(">u8").ravel().astype(np.uint64)
+
+
+@dataclass
+class Level:
+    """A suffix array cut to DEPTH: places of distinct strings in order, their first bytes, the least doc_id of each."""
+
+    text: np.ndarray
+    at: np.ndarray
+    word: np.ndarray
+    least: np.ndarray
+
+    def scan(self, some: np.ndarray) -> np.ndarray:
+        """The least doc_id here of each of the ordered strings, by a merge with those of equal first bytes."""
+        out = np.full(len(some), _NEVER)
+        words = first_words(some)
+        words = words[np.concatenate([[True], words[1:] != words[:-1]])] if len(words) else words
+        lo, hi = np.searchsorted(self.word, words, "left"), np.searchsorted(self.word, words, "right")
+        near = spread(lo, hi - lo)
+        if len(near):
+            have = strings(self.text, self.at[near])
+            place = np.minimum(np.searchsorted(have, some), len(have) - 1)
+            hit = have[place] == some
+            out[hit] = self.least[near[place[hit]]]
         return out
 
-    def add(self, level: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
-            level = suffix_array(*(np.concatenate(c) for c in zip(self.levels.pop(), level, strict=True)))[0]
-        self.levels.append(level)
+    def pack(self) -> bytes:
+        return _pack(self.text, self.at.astype(np.int64), self.least)
 
+    @classmethod
+    def unpack(cls, blob: bytes) -> Level:
+        text, at, least = _unpack(blob, (np.uint8, np.int64, np.int64))
+        return cls(text, at, first_words(strings(text, at)), least)
 
-def suffix_array(key: np.ndarray, check: np.ndarray, doc: np.ndarray):
-    """((keys, checks, least docs) of the distinct strings in order, the place of each string among them)."""
-    order = np.argsort(key, kind="stable")
-    k, c, d = key[order], check[order], doc[order]
-    same_key = k[1:] == k[:-1]
-    if (same_key & (c[1:] != c[:-1])).any():  # two strings with one key
-        order = np.lexsort((check, key))
-        k, c, d = key[order], check[order], doc[order]
-        same_key = k[1:] == k[:-1]
-    new = np.concatenate([[True], ~(same_key & (c[1:] == c[:-1]))])[: len(k)]
+
+def suffix_array(text: np.ndarray, at: np.ndarray, doc: np.ndarray, kind: str | None = None) -> tuple[Level, np.ndarray, np.ndarray]:
+    """(the level of the distinct strings from `at` on, these in order, the place of each of `at` among them)."""
+    some = strings(text, at)
+    order = np.argsort(some, kind=kind)
+    some = some[order]
+    new = np.concatenate([[True], some[1:] != some[:-1]])[: len(some)]
     first = np.flatnonzero(new)
-    place = np.empty(len(key), np.int64)
+    place = np.empty(len(at), np.int64)
     place[order] = np.cumsum(new) - 1
-    return (k[first], c[first], np.minimum.reduceat(d, first) if len(first) else d[:0]), place
+    some = some[first]
+    least = np.minimum.reduceat(doc[order], first) if len(first) else doc[:0]
+    return Level(text, at[order][first], first_words(some), least), some, place
+
 
+def merged(a: Level, b: Level) -> Level:
+    """One level of two, by a merge of their orders (two ascending runs are all that the stable sort meets)."""
+    at = np.concatenate([a.at, b.at + len(a.text)])
+    return suffix_array(np.concatenate([a.text, b.text]), at, np.concatenate([a.least, b.least]), "stable")[0]
+
+
+class Levels:
+    """Suffix arrays of geometrically falling sizes."""
+
+    def __init__(self, levels: list[Level] = ()):
+        self.levels = list(levels)
+        #: levels from the first on that add() has left as they were
+        self.kept = len(self.levels)
+
+    def scan(self, some: np.ndarray) -> np.ndarray:
+        out = np.full(len(some), _NEVER)
+        for level in self.levels:
+            np.minimum(out, level.scan(some), out=out)
+        return out
+
+    def add(self, level: Level) -> None:
+        while self.levels and len(self.levels[-1].at) <= 2 * len(level.at):
+            level = merged(self.levels.pop(), level)
+        self.kept = min(self.kept, len(self.levels))
+        self.levels.append(level)
 
-def scan_bucket(blobs: list[bytes]):
-    """(doc, first, last string) of every stretch of strings that an earlier document has too."""
-    docs, los, contents, hashes, sizes, texts, n_contents = [], [], [], [], [], [], 0
+
+def scan_bucket(blobs: list[bytes], index: Levels, alone: bool):
+    """(doc, tag, first, last string) of every stretch of strings that an earlier document has too; index grows.
+
+    alone: nothing is asked of the index later, so strings whose minimiser one document has need no place in it.
+    """
+    cols, n_contents = [], 0
     for blob in blobs:
-        step, lo, content, h, n, text = _unpack(blob, _ENTRY)
-        docs.append(np.cumsum(step))
-        los.append(lo)
-        contents.append(content + n_contents)
-        hashes.append(h)
-        sizes.append(n)
-        texts.append(text)
+        step, tag, lo, content, h, n, text = _unpack(blob, _ENTRY)
+        cols.append((np.cumsum(step), tag, lo, content + n_contents, h, n, text))
         n_contents += len(h)
-    del text
-    doc, lo, content, h = (np.concatenate(c) for c in (docs, los, contents, hashes))
-    size = np.concatenate(sizes).astype(np.int64)
-    text = np.concatenate(texts)
-    del texts, docs, los, contents, hashes, sizes
+    doc, tag, lo, content, h, size, text = (np.concatenate(c) for c in zip(*cols, strict=True))
+    del cols
+    size = size.astype(np.int64)
     at = np.cumsum(size + DEPTH - 1) - (size + DEPTH - 1)
-    # only minimisers that several documents have
-    least, most = np.full(n_contents, np.iinfo(np.int64).max), np.full(n_contents, np.iinfo(np.int64).min)
-    np.minimum.at(least, content, doc)
-    np.maximum.at(most, content, doc)
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    shared = np.minimum.reduceat(least[order], first) < np.maximum.reduceat(most[order], first)
-    live = np.empty(n_contents, bool)
-    live[order] = np.repeat(shared, np.diff(np.append(first, n_contents)))
-    own = np.flatnonzero(live[content])
+    own = np.arange(len(doc))
+    if alone:
+        least, most = np.full(n_contents, _NEVER), np.full(n_contents, np.iinfo(np.int64).min)
+        np.minimum.at(least, content, doc)
+        np.maximum.at(most, content, doc)
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        shared = np.minimum.reduceat(least[order], first) < np.maximum.reduceat(most[order], first)
+        live = np.empty(n_contents, bool)
+        live[order] = np.repeat(shared, np.diff(np.append(first, n_contents)))
+        own = own[live[content]]
     own = own[np.argsort(doc[own], kind="stable")]
-    index = Levels()
     for i in range(0, len(own), _BATCH_RUNS):
         entry = own[i : i + _BATCH_RUNS]
         kinds, local = np.unique(content[entry], return_inverse=True)
-        early = np.full(len(kinds), np.iinfo(np.int64).max)
+        rep, same = same_runs(text, at[kinds], size[kinds] + DEPTH - 1, h[kinds])
+        kinds, local = kinds[rep], same[local]
+        early = np.full(len(kinds), _NEVER)
         np.minimum.at(early, local, doc[entry])
         n = size[kinds]
         wide = n + DEPTH - 1
-        x = words8(text[spread(at[kinds], wide)])  # of this batch's strings only
-        key, check = fingerprints(x, spread(np.cumsum(wide) - wide, n))
-        del x
-        level, place = suffix_array(key, check, np.repeat(early, n))
-        before = np.minimum(index.least(level[0], level[1]), level[2])
-        index.add(level)
-        before = before[place]  # of each string of each content
+        body = text[spread(at[kinds], wide)]  # of this batch's runs only
+        level, some, place = suffix_array(body, spread(np.cumsum(wide) - wide, n), np.repeat(early, n))
+        known = index.scan(some)
+        fresh = np.flatnonzero(level.least < known)
+        if len(fresh):
+            index.add(_only(level, fresh, wide))
+        before = np.minimum(known, level.least)[place]  # of each string of each run
         begin = np.cumsum(n) - n
         count = n[local]
         dup = before[spread(begin[local], count)] < np.repeat(doc[entry], count)
@@ -240,7 +323,18 @@ def scan_bucket(blobs: list[bytes]):
         start, stop = np.flatnonzero(on), np.flatnonzero(off)
         which = np.repeat(np.arange(len(entry)), count)[start]
         base = (np.cumsum(count) - count)[which]
-        yield doc[entry][which], lo[entry][which] + (start - base), lo[entry][which] + (stop - base)
+        which = entry[which]
+        yield doc[which], tag[which], lo[which] + (start - base), lo[which] + (stop - base)
+
+
+def _only(level: Level, fresh: np.ndarray, wide: np.ndarray) -> Level:
+    """The level with these of its strings, and of the runs (of `wide` bytes) with those they lie in."""
+    begin = np.cumsum(wide) - wide
+    at = level.at[fresh]
+    run = np.repeat(np.arange(len(wide)), wide)[at]
+    used, which = np.unique(run, return_inverse=True)
+    moved = np.cumsum(wide[used]) - wide[used]
+    return Level(level.text[spread(begin[used], wide[used])], at - begin[run] + moved[which], level.word[fresh], level.least[fresh])
 
 
 def remove(raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int, bytes]:
@@ -260,132 +354,217 @@ def remove(raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[int, int, b
     return sum(ends) - sum(begins), len(begins), b"".join(kept)
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
-_FOUND = (np.int64, np.int32, np.int32)
+# --- the operator ---------------------------------------------------------------------------------------------------
+
+_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("place", pa.int32()), ("blob", pa.binary())])
+_SCANNED = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("place", pa.int32()), ("n_levels", pa.int32()), ("blob", pa.binary())])
+
+
+def _spark_type(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'int'}" for f in schema)
+
+
+def _rows(schema: pa.Schema, rows, step: int = 32):
+    """Batches of a few rows, as each may hold a large blob."""
+    rows = iter(rows)
+    while some := list(itertools.islice(rows, step)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
+def stored_levels(spark: SparkSession, index: str) -> DataFrame | None:
+    """bucket, place, gen, buckets, blob of an index's levels as they are now; None for an empty index.
+
+    Every call writes a generation: the levels it has made or merged, with how many its buckets have since. A level is
+    that of its latest generation, if its bucket has so many.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    rows = spark.read.parquet(index)
+    now = rows.groupBy("bucket").agg(F.max_by("n_levels", "gen").alias("n"))
+    latest = rows.groupBy("bucket", "place").agg(F.max("gen").alias("gen")).join(now, "bucket").filter("place < n")
+    return rows.join(latest.select("bucket", "place", "gen"), ["bucket", "place", "gen"], "left_semi").select("bucket", "place", "gen", "buckets", "blob")
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with `tag`: 0, or for rows that share their doc_id a hash of the text."""
+    ids = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
+    few = ids.limit(MOST_BROADCAST + 1).count()
+    if not few:
+        return docs.withColumn("tag", F.lit(0).cast("bigint"))
+    both = docs.join(F.broadcast(ids) if few <= MOST_BROADCAST else ids, docs["doc_id"] == ids["again"], "left")
+    return both.withColumn("tag", F.when(F.col("again").isNull(), F.lit(0)).otherwise(F.xxhash64("text"))).drop("again")
+
 
+def repeated(docs: DataFrame, homes: int, index: str | None = None) -> DataFrame:
+    """(home, blob): stretches of repeated strings, dealt to `homes` by a crc32 of doc_id and tag; docs: doc_id, text, tag.
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(home, blob): stretches of repeated strings, dealt to 2 * partitions homes by a crc32 of the doc_id."""
+    With an index folder, its levels count as earlier documents and then take in these.
+    """
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets, homes = 8 * n, 2 * n
+    levels = stored_levels(spark, index) if index else None
+    buckets, gen = 8 * n, 0
+    if levels is not None:
+        row = levels.agg(F.max("buckets"), F.max("gen")).first()
+        buckets, gen = row[0] or buckets, (row[1] or 0) + 1
 
     def out(batches):
         held, size = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((doc, text.encode("utf-8", "surrogatepass")))
-                size += len(held[-1][1])
+            for doc, text, tag in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held.append((doc, tag, text.encode("utf-8", "surrogatepass")))
+                size += len(held[-1][2])
             if size >= _FLUSH:
-                yield from rows(send(held, buckets))
+                yield from _rows(_SENT, ((k, kind, 0, blob) for k, kind, blob in send(held, buckets)))
                 held, size = [], 0
-        yield from rows(send(held, buckets))
-
-    def rows(pairs):
-        while some := list(itertools.islice(pairs, 32)):  # a few blobs at a time
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], schema=_SENT)
+        yield from _rows(_SENT, ((k, kind, 0, blob) for k, kind, blob in send(held, buckets)))
 
     def scan(batches):
         """One row a home and task, as a shuffle has one block: no more rows than the cluster has pairs of tasks."""
-        bucket, held, found = None, [], []
+        bucket, index_levels, held, found = None, [], [], []
+
+        def settle():
+            if not held:
+                return
+            family = Levels(index_levels)
+            found.extend(scan_bucket(held, family, index is None))
+            if index:
+                for k, level in enumerate(family.levels[family.kept :], family.kept):
+                    yield None, bucket, k, len(family.levels), level.pack()
+
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if k != bucket and held:
-                    found += scan_bucket(held)
-                    held = []
-                bucket = k
-                held.append(blob)
-        if held:
-            found += scan_bucket(held)
-        yield from rows(deal(found))
+            for b, kind, blob in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                if b != bucket:
+                    yield from _rows(_SCANNED, settle(), 1)
+                    bucket, index_levels, held = b, [], []
+                if kind == _LEVEL:
+                    index_levels.append(Level.unpack(blob))
+                elif kind == _RUNS:
+                    held.append(blob)
+                else:
+                    found.append(_unpack(blob, _STRETCH))
+        yield from _rows(_SCANNED, settle(), 1)
+        yield from _rows(_SCANNED, ((k, None, None, None, blob) for k, blob in deal(found)))
 
     def deal(found):
         if not found:
             return
-        doc, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
-        ids, back = np.unique(doc, return_inverse=True)
-        home = np.array([zlib.crc32(str(x).encode()) % homes for x in ids.tolist()], np.int64)[back]
-        order = np.lexsort((first, doc, home))
+        doc, tag, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((tag, doc))
+        doc, tag, first, last = doc[order], tag[order], first[order], last[order]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))[: len(doc)]
+        home = np.array([zlib.crc32(f"{d}:{t}".encode()) % homes for d, t in zip(doc[new].tolist(), tag[new].tolist(), strict=True)], np.int64)
+        home = np.repeat(home, np.diff(np.append(new, len(doc))))
+        order = np.argsort(home, kind="stable")
         edges = np.searchsorted(home[order], np.arange(homes + 1))
         for k in range(homes):
             own = order[edges[k] : edges[k + 1]]
             if len(own):
-                yield k, _pack(np.diff(doc[own], prepend=0), first[own].astype(np.int32), last[own].astype(np.int32))
+                yield k, _pack(np.diff(doc[own], prepend=0), tag[own], first[own].astype(np.int32), last[own].astype(np.int32))
 
-    base = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= DEPTH)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = base.mapInArrow(lean(out), "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return cut(sent.mapInArrow(lean(scan), "home int, blob binary"), "repeats")
+    base = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= DEPTH)).select("doc_id", "text", "tag")
+    sent = base.mapInArrow(lean(out), _spark_type(_SENT))
+    if levels is not None:
+        sent = sent.unionByName(levels.select("bucket", F.lit(_LEVEL).alias("kind"), "place", "blob"))
+    dealt = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "place")
+    found = cut(dealt.mapInArrow(lean(scan), _spark_type(_SCANNED)), "repeats")
+    if index:
+        new = found.filter(F.col("home").isNull()).select("bucket", "place", "n_levels", F.lit(gen).alias("gen"), F.lit(buckets).alias("buckets"), "blob")
+        new.write.mode("append").parquet(index)
+    return found.filter(F.col("home").isNotNull()).select("home", "blob")
 
 
 class Spans:
     """Stretches of repeated strings of one home's documents."""
 
     def __init__(self, blobs: list[bytes]):
-        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        got = [_unpack(b, _FOUND) for b in blobs]
+        self.of: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        got = [_unpack(b, _STRETCH) for b in blobs]
         if got:
-            doc = np.concatenate([np.cumsum(g[0]) for g in got])
-            first, last = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
-            order = np.argsort(doc, kind="stable")
-            ids, edge = np.unique(doc[order], return_index=True)
-            edge = np.append(edge, len(doc)).tolist()
-            self.of = {x: (first[order[a:b]], last[order[a:b]]) for x, a, b in zip(ids.tolist(), edge, edge[1:], strict=False)}
+            doc, tag = np.concatenate([np.cumsum(g[0]) for g in got]), np.concatenate([g[1] for g in got])
+            first, last = np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got])
+            order = np.lexsort((tag, doc))
+            doc, tag, first, last = doc[order], tag[order], first[order], last[order]
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))[: len(doc)]
+            edge = np.append(new, len(doc)).tolist()
+            self.of = {(d, t): (first[a:b], last[a:b]) for d, t, a, b in zip(doc[new].tolist(), tag[new].tolist(), edge, edge[1:], strict=False)}
+
+    def cut(self, doc_id: int | None, tag: int, raw: bytes) -> tuple[int, int, bytes]:
+        return remove(raw, *self.of[doc_id, tag]) if (doc_id, tag) in self.of else (0, 0, raw)
+
 
-    def cut(self, doc_id: int | None, raw: bytes) -> tuple[int, int, bytes]:
-        return remove(raw, *self.of[doc_id]) if doc_id in self.of else (0, 0, raw)
+def _settled(docs: DataFrame, index: str | None, judge, schema) -> DataFrame:
+    """judge(batch of docs, spans) for all docs (doc_id, text, tag, and others), in streams of texts behind their stretches.
 
+    A task holds the stretches of its home and one batch of texts. Documents without an id are dealt by their text.
+    """
+    homes = 2 * partitions(docs.sparkSession)
+    found = repeated(docs, homes, index)
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")), F.lit(":"), F.col("tag").cast("string"))
+    texts = docs.withColumn("home", (F.crc32(key.cast("binary")) % homes).cast("int")).withColumn("blob", F.lit(None).cast("binary"))
+    both = texts.unionByName(found, allowMissingColumns=True)
+
+    def settle(batches):
+        blobs, spans = [], None
+        for batch in batches:
+            of_texts = pa.compute.is_null(batch["blob"])
+            blobs += batch.filter(pa.compute.invert(of_texts))["blob"].to_pylist()
+            batch = batch.filter(of_texts)
+            if len(batch):
+                if spans is None:  # blobs come first
+                    spans, blobs = Spans(blobs), []
+                yield judge(batch, spans)
 
-def _home(homes: int):
-    """Where a document's text and its stretches meet; documents without an id are dealt by their text."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit(""))
-    return (F.crc32(key.cast("binary")) % homes).cast("int")
+    dealt = both.repartitionById(homes, F.col("home")).sortWithinPartitions(F.col("blob").isNull())
+    return dealt.mapInArrow(lean(settle), schema)
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def _documents(docs: DataFrame, *more) -> DataFrame:
+    return tagged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more))
+
+
+def deduplicate(docs: DataFrame, index: str | None = None) -> DataFrame:
     """What each document loses, and a digest of what it keeps."""
-    homes = 2 * partitions(docs.sparkSession)
-    found = repeated(docs)
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
-    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        spans, rows = Spans(right["blob"].to_pylist()), []
-        for doc_id, text in zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True):
+    def judge(batch: pa.RecordBatch, spans: Spans) -> pa.RecordBatch:
+        rows = []
+        for doc_id, text, tag in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "tag")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            n_removed, n_spans, kept = spans.cut(doc_id, raw)
+            n_removed, n_spans, kept = spans.cut(doc_id, tag, raw)
             rows.append((doc_id, len(raw), n_removed, n_spans, hashlib.sha256(kept).hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [()] * len(schema)
-        return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return base.withColumn("home", _home(homes)).groupBy("home").cogroup(found.groupBy("home")).applyInArrow(settle, DEDUPED)
+    return _settled(_documents(docs), index, judge, DEDUPED)
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
+def cut_repeats(docs: DataFrame, index: str | None = None) -> DataFrame:
     """The documents with their own columns, repeated strings cut out of `text` and `n_chars` counted anew.
 
     Bytes of a character that a cut has split go too. Documents that lose their whole text go; untouched ones stay.
     """
-    homes = 2 * partitions(docs.sparkSession)
-    found = repeated(docs)
-    schema, names = docs.schema, docs.columns
-
-    def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        spans = Spans(right["blob"].to_pylist())
-        texts, keep, cuts = [], [], []
-        for doc_id, text in zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True):
-            n_removed = 0
-            if text is not None and doc_id in spans.of:
-                n_removed, _, kept = spans.cut(doc_id, text.encode("utf-8", "surrogatepass"))
+    names = docs.columns
+    others = [c for c in names if c != "text"]
+    kind = docs.schema["text"].dataType
+
+    def judge(batch: pa.RecordBatch, spans: Spans) -> pa.RecordBatch:
+        cols = dict(zip(others, batch["row"].flatten(), strict=True))
+        n_chars = cols["n_chars"].to_pylist() if "n_chars" in cols else [None] * len(batch)
+        texts, keep = [], []
+        for k, (doc_id, text, tag, had) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "tag", "had")), strict=True)):
+            n_removed, _, kept = spans.cut(doc_id, tag, text.encode("utf-8", "surrogatepass")) if had else (0, 0, b"")
+            if n_removed:
                 text = kept.decode("utf-8", "ignore")
-            texts.append(text)
-            cuts.append(n_removed > 0)
+                n_chars[k] = len(text)
+            texts.append(text if had else None)
             keep.append(bool(text) or not n_removed)
-        cols = {c: left[c] for c in names}
-        cols["text"] = pa.array(texts, left["text"].type)
+        cols["text"] = pa.array(texts, pa.string())
         if "n_chars" in cols:
-            new = [len(t) if c else n for t, c, n in zip(texts, cuts, left["n_chars"].to_pylist(), strict=True)]
-            cols["n_chars"] = pa.array(new, left["n_chars"].type)
-        return pa.table(cols).filter(pa.array(keep, pa.bool_()))
+            cols["n_chars"] = pa.array(n_chars, cols["n_chars"].type)
+        return pa.RecordBatch.from_arrays([cols[c] for c in names], names=names).filter(pa.array(keep, pa.bool_()))
 
-    whole = docs.select(*names, _home(homes).alias("_home")).groupBy("_home")
-    return whole.cogroup(found.withColumnRenamed("home", "_home").groupBy("_home")).applyInArrow(settle, schema)
+    row = F.struct(*(F.col(f"`{c}`") for c in others))
+    schema = StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema])
+    found = _settled(_documents(docs, F.col("text").isNotNull().alias("had"), row.alias("row")), index, judge, schema)
+    return found.withColumn("text", F.col("text").cast(kind))

@@ -190,28 +190,104 @@ def test_cut_documents_keep_their_columns(spark):
     assert suffix_dedup.cut_repeats(docs).columns == docs.columns
 
 
+def random_texts(seed, count, words=30):
+    rng = random.Random(seed)
+    return [(k, " ".join(f"w{rng.randint(0, 9)}" if rng.random() < 0.1 else "common words of a passage".split()[i % 5] for i in range(rng.randint(0, words)))) for k in range(count)]
+
+
+@given(st.lists(st.binary(min_size=0, max_size=130).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=12))
+@settings(deadline=None, max_examples=60)
+def test_a_suffix_array_is_in_the_order_of_bytes(raws):
+    text = np.frombuffer(b"".join(raws) + b"\0" * 50, np.uint8)
+    at = np.arange(len(text) - 49)
+    rng = np.random.default_rng(len(text))
+    doc = rng.integers(0, 9, len(at))
+    level, some, place = suffix_dedup.suffix_array(text, at, doc)
+    raw = text.tobytes()
+    want = {}
+    for p, d in zip(at.tolist(), doc.tolist(), strict=True):
+        want[raw[p : p + 50]] = min(want.get(raw[p : p + 50], 99), d)
+    own = [raw[p : p + 50] for p in level.at.tolist()]
+    assert own == sorted(want) and level.least.tolist() == [want[x] for x in own]
+    assert [own[k] for k in place.tolist()] == [raw[p : p + 50] for p in at.tolist()]
+    again = suffix_dedup.Level.unpack(level.pack())
+    assert (again.at == level.at).all() and (again.word == level.word).all() and (again.scan(some) == level.least).all()
+
+
 def test_levels_fall_geometrically():
     index, rng = suffix_dedup.Levels(), np.random.default_rng(1)
-    known = {}
+    known, never = {}, np.iinfo(np.int64).max
     for doc in range(40):
-        key = rng.integers(0, 500, 64).astype(np.uint64)
-        level, place = suffix_dedup.suffix_array(key, key * np.uint64(3), np.full(64, doc))
-        found = index.least(level[0], level[1])
-        assert [int(x) for x in found] == [known.get(int(k), np.iinfo(np.int64).max) for k in level[0]]
-        index.add(level)
-        for k in key.tolist():
-            known.setdefault(k, doc)
-    sizes = [len(level[0]) for level in index.levels]
-    assert len(sizes) <= 8 and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
-
-
-def test_strings_with_one_key_are_told_apart():
-    key, check = np.array([5, 5, 5, 7], np.uint64), np.array([1, 2, 1, 1], np.uint64)
-    (k, c, d), place = suffix_dedup.suffix_array(key, check, np.array([9, 4, 3, 1]))
-    assert (k.tolist(), c.tolist(), d.tolist(), place.tolist()) == ([5, 5, 7], [1, 2, 1], [3, 4, 1], [0, 1, 0, 2])
-    index = suffix_dedup.Levels()
-    index.add((k, c, d))
-    assert index.least(np.array([5, 5, 6], np.uint64), np.array([2, 3, 1], np.uint64)).tolist() == [4, np.iinfo(np.int64).max, np.iinfo(np.int64).max]
+        text = rng.choice(np.frombuffer(b"ab\0", np.uint8), 160, p=[0.02, 0.02, 0.96])
+        level, some, _ = suffix_dedup.suffix_array(text, np.arange(111), np.full(111, doc))
+        found = index.scan(some)
+        own = [text.tobytes()[p : p + 50] for p in level.at.tolist()]
+        assert found.tolist() == [known.get(x, never) for x in own]
+        fresh = np.flatnonzero(found == never)
+        if len(fresh):
+            index.add(suffix_dedup.Level(level.text, level.at[fresh], level.word[fresh], level.least[fresh]))
+        for x in own:
+            known.setdefault(x, doc)
+    sizes = [len(level.at) for level in index.levels]
+    assert sum(sizes) == len(known) and len(sizes) <= 8 and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+def test_runs_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_K", [np.uint64(0)] * 4)  # all runs look alike
+    text = np.frombuffer(b"a" * 60 + b"b" * 60 + b"a" * 60 + b"b" * 59 + b"c", np.uint8)
+    at = np.array([0, 60, 120, 180])
+    rep, kind = suffix_dedup.same_runs(text, at, np.full(4, 60), np.zeros(4, np.uint32))
+    assert kind[0] == kind[2] and len({kind[0], kind[1], kind[3]}) == 3
+    assert text[at[rep[kind]]].tolist() == [97, 98, 97, 98]
+
+
+def test_new_batches_meet_stored_levels(spark, tmp_path):
+    table = random_texts(3, 160) + [(200 + k, t) for k, t in random_texts(3, 40)]
+    index, got = str(tmp_path / "index"), []
+    for i in range(0, 200, 25):  # eight batches of ascending ids
+        docs = spark.createDataFrame(table[i : i + 25], "doc_id bigint, text string").repartition(3)
+        got += suffix_dedup.deduplicate(docs, index).collect()
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got), key=str) == removed(table)
+    levels = suffix_dedup.stored_levels(spark, index).collect()
+    strings = {t.encode()[p : p + 50] for _, t in table for p in range(len(t) - 49)}
+    sizes = {}
+    for r in levels:
+        level = suffix_dedup.Level.unpack(r["blob"])
+        sizes.setdefault(r["bucket"], {})[r["place"]] = len(level.at)
+    assert sum(n for own in sizes.values() for n in own.values()) == len(strings)
+    for own in sizes.values():
+        assert sorted(own) == list(range(len(own))) and all(own[k] > 2 * own[k + 1] for k in range(len(own) - 1))
+    assert any(len(own) > 1 for own in sizes.values()) and max(r["gen"] for r in levels) > min(r["gen"] for r in levels)
+    assert suffix_dedup.deduplicate(nothing(spark), index).count() == 0
+
+
+def test_rows_of_one_id_keep_their_own_bytes(spark, monkeypatch):
+    passage = " ".join(f"word{k}" for k in range(40))
+    table = [(1, passage), (5, "some text before it " + passage), (5, passage + " and after"), (5, passage + " and after"), (5, "short"), (7, passage)]
+    want = removed(table[:2]) + removed(table[:1] + table[2:4]) + [removed([(5, "short")])[0], removed(table[:1] + table[5:])[1]]
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(suffix_dedup, "MOST_BROADCAST", most)
+        got = suffix_dedup.deduplicate(spark.createDataFrame(table, "doc_id bigint, text string").repartition(2)).collect()
+        assert sorted({tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got}, key=str) == sorted(set(want), key=str)
+        assert len(got) == 6
+
+
+def test_columns_of_any_name(spark):
+    names = "_home, home, blob, tag, row, had, kind, bucket, `a.b`".split(", ")
+    docs = spark.createDataFrame(random_texts(4, 60), "doc_id bigint, text string")
+    wide = docs.select("*", *(F.lit(k).alias(c.strip("`")) for k, c in enumerate(names)))
+    got = suffix_dedup.cut_repeats(wide)
+    assert got.columns == wide.columns and got.select("`a.b`", "_home").distinct().collect() == [(8, 0)]
+    assert sorted(r[:2] for r in got.collect()) == sorted(tuple(r) for r in suffix_dedup.cut_repeats(docs).collect())
+    assert suffix_dedup.cut_repeats(wide.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(6)
+    long = " ".join(str(rng.randint(0, 10**9)) for _ in range(60_000))  # over two blocks of strings
+    table = [(1, long), (2, long[300_000:400_000]), (3, "x" + long), (4, " " * 300_000), (5, " " * 100)]
+    got = suffix_dedup.deduplicate(spark.createDataFrame(table, "doc_id bigint, text string")).collect()
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got), key=str) == removed(table)
 
 
 # --- nearest neighbours ---
