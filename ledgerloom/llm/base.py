@@ -114,12 +114,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def hash_sample(df: DataFrame, at_most: int, key: Column, rows: int) -> DataFrame:
-    """About at_most of `rows` rows, chosen by a hash of their key: the same rows under any partitioning."""
+def drawn(key: Column, at_most: int, rows: int, seed: int = 0) -> Column:
+    """Whether a row belongs to a sample of about at_most of `rows` keys: its hash, of all 64 bits, lies under a threshold."""
     if rows <= at_most:
-        return df
-    share = int(at_most / rows * 1_000_000)
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share)
+        return F.lit(True)
+    return F.xxhash64(key, F.lit(seed)) < F.lit(at_most * 2**64 // rows - 2**63)
+
+
+def whole_texts(rows: DataFrame, most_bytes: int) -> list:
+    """(doc_id, text, label) of a bounded sample on the driver, in order of doc_id: one row an id, the least text and label.
+
+    If the texts hold more than most_bytes, a further sample of about so many bytes is taken, of whole texts.
+    """
+    one = cut(rows.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("r")).select("doc_id", "r.text", "r.label"), "sample")
+    size = one.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    return sorted(one.filter(drawn(F.col("doc_id"), most_bytes, size, 1)).collect(), key=lambda r: r["doc_id"])
+
+
+#: Rows of one key from which join_hot may treat it apart, and keys at most that it does.
+HOT_ROWS, MOST_HOT = 100_000, 10_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int | None = None, rows: int | None = None) -> DataFrame:
+    """left (of `rows` rows at most) joined with right (one row a key), where a few keys may hold most rows of left.
+
+    Keys with more than `least` rows and more than the MOST_HOT-th part of all are MOST_HOT at most: what right has of them
+    is broadcast, so their rows stay where they are.
+    """
+    rows = left.count() if rows is None else rows
+    limit = max(HOT_ROWS if least is None else least, rows // MOST_HOT)
+    if rows <= limit:
+        return left.join(right, keys, how)
+    hot = cut(left.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit).select(*keys), "hot")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
+    return left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how).unionByName(left.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how))
 
 
 def trim() -> None:

@@ -7,7 +7,8 @@ kept; its most frequent language is the prediction.
 
 Nulls and texts without a letter get `und` with score 0. Ties go to the language that sorts first. A null language is
 never learned from. Repeated rows give repeated rows; an empty table gives none, and without any learned language every
-text is `und`.
+text is `und`. A very long text is inferred from all its words. The model that each task gets is a table of 2 ** BITS
+floats a language.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordCache, held_out, lean, trim
+from .base import WordCache, drawn, held_out, lean, trim, whole_texts
 
 PREDICTED = "doc_id bigint, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"
 #: Tables of n-gram likelihoods have 2 ** BITS rows, one column a language.
@@ -221,16 +222,19 @@ class Predictor:
         return out
 
 
-def fit(docs: DataFrame, per_language: int = 1500) -> LanguageModel:
-    """Learns from about `per_language` whole documents of each language outside the held-out fold, chosen by a hash."""
+def fit(docs: DataFrame, per_language: int = 1500, most_bytes: int = 96_000_000) -> LanguageModel:
+    """Learns from about `per_language` whole documents of each language outside the held-out fold, chosen by a hash.
+
+    Of several rows of a doc_id the least text counts, once; most_bytes bounds the texts in all.
+    """
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    share = F.lit(0)
+    some = F.lit(False)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, int(min(1, per_language / n) * 1_000_000)).otherwise(share)
-    rows = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("doc_id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return learn([r["text"] for r in rows], [r["lang"] for r in rows])
+        some = F.when(F.col("lang") == lang, drawn(F.col("doc_id"), per_language, n)).otherwise(some)
+    rows = known.filter(some).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").alias("label"))
+    found = whole_texts(rows, most_bytes)
+    return learn([r["text"] for r in found], [r["label"] for r in found])
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

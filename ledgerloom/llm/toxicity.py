@@ -6,7 +6,8 @@ counts as the zero vector), and a linear softmax makes its class scores.
 A document is scored by its worst window, so a few toxic words in a long text aren't averaged away; in training, a
 toxic document's windows count by how toxic the model takes them to be. Document scores are calibrated on the same rows.
 
-Null texts and those without a word have no window and get 0. Repeated rows give repeated rows.
+Null texts and those without a word have no window and get 0. Repeated rows give repeated rows, an empty table none. A very
+long text is scored whole, window by window.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordCache, held_out, lean
+from .base import WordCache, drawn, held_out, lean, whole_texts
 
 SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
 BITS, WIDTH, WINDOW = 17, 8, 16
@@ -113,7 +114,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, f
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 7, rate: float = 0.5) -> ToxicModel:
-    """Embeddings and softmax together, by Adagrad on batches of windows."""
+    """Embeddings and softmax together, by Adagrad on batches of windows.
+
+    Texts without a word teach nothing; if the others are all of one class, every text with a word gets that class.
+    """
+    with_words = [k for k, t in enumerate(texts) if t and not t.isspace()]
+    texts, labels = [texts[k] for k in with_words], [labels[k] for k in with_words]
     y_doc = np.asarray(labels)
     if len(set(labels)) < 2:
         return ToxicModel(np.zeros(1 << BITS), 0.0, 1.0, 4.0 if labels and labels[0] else -4.0)
@@ -186,17 +192,20 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 7, r
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> ToxicModel:
-    """Learns from about `per_class` whole labelled documents of each class outside the held-out fold, chosen by a hash."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, most_bytes: int = 64_000_000) -> ToxicModel:
+    """Learns from about `per_class` whole labelled documents of each class outside the held-out fold, chosen by a hash.
+
+    Of several labels of a doc_id the highest counts, of several texts the least; most_bytes bounds the texts in all.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    share = F.lit(0)
+    some = F.lit(False)
     for value, n in sizes.items():
-        share = F.when(F.col("toxic") == value, int(min(1, per_class / n) * 1_000_000)).otherwise(share)
-    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)  # about 2 * per_class rows, so it can be broadcast
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+        some = F.when(F.col("toxic") == value, drawn(F.col("doc_id"), per_class, n)).otherwise(some)
+    chosen = known.filter(some)  # about per_class rows a class, so it can be broadcast
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").alias("label"))
+    found = whole_texts(rows, most_bytes)
+    return train([r["text"] for r in found], [int(r["label"] > 0) for r in found])
 
 
 class Scorer:
