@@ -11,7 +11,8 @@ that finds TARGET of the true neighbours there. Every row is indexed.
 
 Vectors that are null, zero, hold null or non-finite components, or have another than the most frequent length take no
 part; neither do rows with a null id. Equal vectors are indexed once, with as many of their smallest ids as any query
-can return, so copies neither crowd a bucket nor each other out. Ties go to the smaller id. Repeated ids count once.
+can return, so copies neither crowd a bucket nor each other out. Ties go to the smaller id. Repeated ids count once, with
+the least of their vectors, as a query too. An empty table, or one without queries, gives an empty one.
 """
 
 from __future__ import annotations
@@ -124,10 +125,10 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, id_column: str = "ve
     if width is None:
         return spark.createDataFrame([], out)
     width = width["width"]
-    base = base.filter(F.size("v") == width)
+    base = base.filter(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"), F.max("ask").alias("ask"))  # one row an id
     # equal vectors: one point with its k + 1 smallest ids
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    ids = base.dropDuplicates(["id", "v"]).withColumn("place", place).filter(F.col("place") <= k + 1)
+    ids = base.withColumn("place", place).filter(F.col("place") <= k + 1)
     points = cut(ids.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("home", F.xxhash64("v")), "points")
     n = points.count()
     sample = _matrix(points.orderBy("home").limit(SAMPLE).select("v").toArrow()["v"], width)

@@ -5,7 +5,9 @@ of the length, two quartile ratios, and for each bucket the quartile (two bits)
 differ by a score of at most BOUND, so likeness = 1 - score / BOUND lies in 0 to 1.
 
 Null texts are empty; texts under three bytes count no triplet. The next document is the next in order of doc_id (null
-ids last), rows with one id in order of text; after the last comes the first. Repeated rows are rows of their own.
+ids last), rows with one id in order of text; after the last comes the first, also if no row has an id. Repeated rows are
+rows of their own; an empty table gives an empty one. Very long texts are counted whole, block by block. Rows of one
+doc_id, and those without one, are ordered by one task.
 """
 
 from __future__ import annotations
@@ -96,6 +98,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     quantiles = F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], F.lit(20 * ranges))
     found = base.agg(quantiles.alias("q"), F.min("doc_id").alias("first")).first()  # `ranges` ids
     first = found["first"]
+    first_text = base.agg(F.min("text")).first()[0] if first is None else None  # no row has an id
     bounds = np.array(sorted({x for x in found["q"] or [] if x != first}), np.int64)
 
     def spread(batches):
@@ -105,7 +108,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 own = len(bounds) if doc_id is None else int(np.searchsorted(bounds, doc_id, "right"))
                 digest = fingerprint(text.encode("utf-8", "surrogatepass"))
                 out.append((own, 0, doc_id, text, digest))
-                if doc_id is not None and doc_id == first:
+                if doc_id is not None and doc_id == first or first is None and text == first_text:
                     out.append((len(bounds), 1, doc_id, text, digest))
                 elif doc_id is not None and own and doc_id == bounds[own - 1]:
                     out.append((own - 1, 1, doc_id, text, digest))
