@@ -201,29 +201,52 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator
 # --- the plan -------------------------------------------------------------------------------------------------------
 
 
-def _exact(gap: int, have: np.ndarray) -> tuple[int, ...]:
-    """Up to three available lengths, longest first, that add up to gap; () if there are none.
+class SumIndex:
+    """Single lengths, pairs and triples of the lengths that occur, by their sum; each sum's combinations the most even first.
 
-    Of several pairs or triples the most even one is taken: short lengths stay for gaps that nothing else fills. A
-    combination may use a length as often as it is available.
+    A pair is kept by its longer length, a triple by its longest one, whose rest is a sum in the index of pairs.
     """
-    if have[gap] > 0:
-        return (gap,)
-    a = np.arange(gap // 2 + gap % 2, gap)
-    b = gap - a
-    ok = np.flatnonzero((have[a] > 0) & (have[b] > (a == b)))
-    if len(ok):
-        return int(a[ok[0]]), int(b[ok[0]])
-    for first in range((gap + 2) // 3, gap - 1):
-        if have[first] <= 0:
-            continue
-        rest = gap - first
-        b = np.arange(rest // 2 + rest % 2, min(first, rest - 1) + 1)
-        c = rest - b
-        ok = np.flatnonzero((have[b] > (b == first)) & (have[c] > (b == c).astype(int) + (c == first)))
-        if len(ok):
-            return first, int(b[ok[0]]), int(c[ok[0]])
-    return ()
+
+    def __init__(self, have: np.ndarray):
+        top = len(have) - 1
+        lengths = np.flatnonzero(have)
+        longer, shorter = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
+        real = (longer >= shorter) & (longer + shorter <= top)
+        self.longer, self.pair_edges = self._by_sum(longer[real], (longer + shorter)[real], top)
+        sums = np.flatnonzero(np.diff(self.pair_edges))
+        longest, rest = (x.ravel() for x in np.meshgrid(lengths, sums, indexing="ij"))
+        real = (longest + rest <= top) & (2 * longest >= rest)
+        self.longest, self.triple_edges = self._by_sum(longest[real], (longest + rest)[real], top)
+
+    @staticmethod
+    def _by_sum(length: np.ndarray, total: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((length, total))
+        return length[order], np.searchsorted(total[order], np.arange(top + 2))
+
+    def pair(self, total: int, have: np.ndarray, most: int) -> tuple[int, ...]:
+        a = self.longer[self.pair_edges[total] : self.pair_edges[total + 1]]
+        a = a[: np.searchsorted(a, most, "right")]
+        ok = np.flatnonzero((have[a] > 0) & (have[total - a] > (2 * a == total)))
+        return (int(a[ok[0]]), int(total - a[ok[0]])) if len(ok) else ()
+
+    def find(self, gap: int, have: np.ndarray) -> tuple[int, ...]:
+        """Up to three available lengths, longest first, that add up to gap; () if there are none.
+
+        Of several pairs or triples the most even one is taken: short lengths stay for gaps that nothing else fills. A
+        combination may use a length as often as it is available.
+        """
+        if have[gap] > 0:
+            return (gap,)
+        if found := self.pair(gap, have, gap):
+            return found
+        firsts = self.longest[self.triple_edges[gap] : self.triple_edges[gap + 1]]
+        for first in firsts[have[firsts] > 0].tolist():
+            have[first] -= 1
+            rest = self.pair(gap - first, have, first)
+            have[first] += 1
+            if rest:
+                return first, *rest
+        return ()
 
 
 def plan(counts: dict[int, int], capacity: int = 2048) -> list[tuple[int, tuple[int, ...]]]:
@@ -235,10 +258,11 @@ def plan(counts: dict[int, int], capacity: int = 2048) -> list[tuple[int, tuple[
     if have[capacity]:
         out.append((int(have[capacity]), (capacity,)))
         have[capacity] = 0
+    index = SumIndex(have)
     for length in range(capacity - 1, 0, -1):
         while have[length] > 0:
             have[length] -= 1  # the one whose gap is filled
-            found = _exact(capacity - length, have)
+            found = index.find(capacity - length, have)
             have[length] += 1
             if not found:
                 break
