@@ -1,38 +1,44 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps.
+
+A node that most edges meet, as a group's centre does, is joined apart, so that its edges stay where they are.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Cut
+from .base import HOT_ROWS, Cut, join_hot
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return join_hot(both, least, ["u"], rows=2 * rows).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join_hot(down, least, ["u"], rows=rows).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge (u, v) but the roots themselves; a root is its component's least node."""
     kept = Cut(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    before, rows = None, kept.df.count()
     for _ in range(most_rounds):
-        step = Cut(_small_star(_large_star(kept.df)).distinct(), "star")
+        large = _large_star(kept.df, rows)
+        if rows > HOT_ROWS:  # it is read more than once
+            large = Cut(large, "large").df
+        step = Cut(_small_star(large, rows).distinct(), "star")
         kept.drop()
         kept = step
         now = tuple(kept.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return kept.df.select(F.col("u").alias("node"), F.col("v").alias("root"))

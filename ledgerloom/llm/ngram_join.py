@@ -6,9 +6,13 @@ passages make no large tiles. A tile is banded by set size: only pairs whose siz
 out. Pairs are bounded by parity bitmaps (the bits in which two differ are elements that only one has), and what is left
 is settled by intersecting the sorted sets. Tiles over SMALL, mostly groups of near copies, first give each member its
 neighbours in two orders; when the links so found have joined their members, only pairs across components come out.
+Tiles that may have more than CELL members are dealt to cells, once for either order, so that none is one task's; what
+few tiles, classes or components hold most rows is joined apart from the rest.
 
 Null and empty texts, and those without a word, have an empty set and link with nothing. Repeated rows and equal texts
-are one class. Rows with a null doc_id take part in links but are no component's id unless it has no other.
+are one class; sets are known by 64 bits of a digest, those that share them by its other 64. Rows with a null doc_id
+take part in links but are no component's id unless it has no other. An empty table gives an empty one; very long texts
+count with all their shingles.
 """
 
 from __future__ import annotations
@@ -17,24 +21,28 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, lean, partitions, scratch
+from .base import cut, join_hot, lean, partitions, scratch
 from .graph import components
 from .suffix_dedup import _pack, _unpack
 
 SHINGLE = 5
 #: Tiles up to so many sets give all their pairs at once.
 SMALL = 32
-#: Members of a larger tile that meet others in one task.
-BLOCK = 512
+#: Members of a larger tile that meet others in one task, and entries of a tile from which it's dealt to cells.
+BLOCK, CELL = 512, 1024
+#: Members of a tile from which its members are joined apart from those of others.
+HOT_TILE = 1024
 #: In larger ones a member gets neighbours only by the first so many of its common shingles.
 LEADS = 3
 #: A shingle in more documents than this comes last in the order; doubled until at most MOST_COMMON shingles do.
 COMMON, MOST_COMMON = 32, 1_000_000
 #: Documents at most that are fetched by a broadcast of their ids; beyond, by a shuffled join.
 MOST_BROADCAST = 1_000_000
+#: Bits of a set's id, and sets at most whose ids collide.
+ID_BITS, MOST_TWICE = 64, 100_000
 _GATHER = 8_000_000
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -120,8 +128,16 @@ def overlap_bound(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
     return (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
-def set_id(items: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_ids(items: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The two halves of the set's digest, of the first only so many bits."""
+    raw = hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True) >> (64 - bits), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def set_id(items: np.ndarray, twice: frozenset[int], bits: int = 64) -> int:
+    """The first half, unless several sets have it."""
+    first, second = set_ids(items, bits)
+    return second if first in twice else first
 
 
 def _gathered(batches, column: int = 1):
@@ -158,21 +174,21 @@ def _by_bucket(batches):
         yield bucket, held
 
 
-_COUNTED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
+_COUNTED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("other", pa.int64())])
 
 
 def sets_and_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (doc_id, n, sid) of documents, and rows (bucket, blob) of how many of a task's sets hold each shingle."""
+    """Rows (doc_id, n, sid, other) of documents, and rows (bucket, blob) of how many of a task's sets hold each shingle."""
 
     def count(batches):
         for held in _gathered(batches):
             rows, sets = [], {}
             for doc_id, text in held:
                 items = shingles(text)
-                sid = set_id(items)
-                rows.append((None, None, doc_id, len(items), sid))
+                sid, other = set_ids(items, ID_BITS)
+                rows.append((None, None, doc_id, len(items), sid, other))
                 if len(items):
-                    sets[sid] = items
+                    sets[sid, other] = items
             yield from _rows(_COUNTED, rows, 4096)
             if sets:
                 token, times = np.unique(np.concatenate(list(sets.values())) >> np.uint64(32), return_counts=True)
@@ -181,14 +197,22 @@ def sets_and_counts(docs: DataFrame, buckets: int) -> DataFrame:
                 for k in range(buckets):
                     own = token[edges[k] : edges[k + 1]]
                     if len(own):
-                        blobs.append((k, _pack(np.diff(own, prepend=np.uint64(0)).astype(np.uint32), times[edges[k] : edges[k + 1]].astype(np.uint32)), None, None, None))
+                        blobs.append((k, _pack(np.diff(own, prepend=np.uint64(0)).astype(np.uint32), times[edges[k] : edges[k + 1]].astype(np.uint32)), None, None, None, None))
                 yield from _rows(_COUNTED, blobs)
 
-    return docs.mapInArrow(lean(count), "bucket int, blob binary, doc_id bigint, n bigint, sid bigint")
+    return docs.mapInArrow(lean(count), "bucket int, blob binary, doc_id bigint, n bigint, sid bigint, other bigint")
+
+
+def shared_ids(ids: DataFrame) -> frozenset[int]:
+    """The sids that several sets have."""
+    rows = ids.groupBy("sid").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).filter("lo < hi").select("sid").limit(MOST_TWICE + 1).collect()
+    if len(rows) > MOST_TWICE:
+        raise ValueError("too many sets share their ids")
+    return frozenset(r["sid"] for r in rows)
 
 
-def common_shingles(counts: DataFrame) -> np.ndarray:
-    """Sorted first halves of the shingles that come last in the order; MOST_COMMON at most."""
+def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted first halves of the shingles that come last in the order, MOST_COMMON at most, and how many sets may hold each."""
     n = partitions(counts.sparkSession)
     schema = pa.schema([("token", pa.int64()), ("times", pa.int64())])
 
@@ -208,21 +232,25 @@ def common_shingles(counts: DataFrame) -> np.ndarray:
     least = COMMON
     while found.filter(F.col("times") > least).count() > MOST_COMMON:
         least *= 2
-    return np.sort(np.array([r["token"] for r in found.filter(F.col("times") > least).select("token").collect()], np.uint64))
+    rows = sorted((r["token"], r["times"]) for r in found.filter(F.col("times") > least).collect())
+    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
 
 
-def prefixes(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, blob) rows of the sets' first shingles: shingle, set, its size, place in the order, and among common ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int, twice: frozenset[int] = frozenset()) -> DataFrame:
+    """(bucket, blob) rows of the sets' first shingles: shingle, cell, set, its size, place in the order, and among common ones.
+
+    Cell 0 is that of shingles with CELL sets at most. Others have odd cells for the order by size, even ones for the other.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((*common, twice))
 
     def first_ones(batches):
-        last = shared.value
+        last, times, again = shared.value
         for held in _gathered(batches):
             sets = {}
             for _, text in held:
                 items = shingles(text)
                 if len(items):
-                    sets[set_id(items)] = items
+                    sets[set_id(items, again, ID_BITS)] = items
             tokens, sizes, nths = [], [], []
             for items in sets.values():
                 p = prefix_length(len(items))
@@ -245,14 +273,26 @@ def prefixes(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
             size = np.repeat(np.array(sizes, np.int32), lengths)
             place = (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
             nth = np.minimum(np.concatenate(nths), 255).astype(np.uint8)
-            bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            half = token >> np.uint64(32)
+            cell = np.zeros(len(token), np.uint32)
+            at = np.minimum(np.searchsorted(last, half), max(len(last) - 1, 0))
+            hot = np.flatnonzero((last[at] == half) & (times[at] > CELL)) if len(last) else np.zeros(0, np.int64)
+            if len(hot):
+                cells = (times[at[hot]] // CELL + 1).astype(np.uint64)
+                mixed = sid[hot].view(np.uint64) * _MIX
+                cell[hot] = 2 * ((mixed >> np.uint64(33)) % cells) + np.uint64(1)
+                led = nth[hot] < LEADS
+                other = (mixed[led] * _MIX) >> np.uint64(33)
+                token, sid, size, place, nth, half = (np.concatenate([c, c[hot[led]]]) for c in (token, sid, size, place, nth, half))
+                cell = np.concatenate([cell, (2 * (other % cells[led]) + np.uint64(2)).astype(np.uint32)])
+            bucket = (((half ^ (cell.astype(np.uint64) * _MIX >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.lexsort((token, bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
             rows = []
             for k in range(buckets):
                 own = order[edges[k] : edges[k + 1]]
                 if len(own):
-                    rows.append((k, _pack(np.diff(token[own], prepend=np.uint64(0)), sid[own], size[own], place[own], nth[own])))
+                    rows.append((k, _pack(np.diff(token[own], prepend=np.uint64(0)), cell[own], sid[own], size[own], place[own], nth[own])))
             yield from _rows(pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]), rows)
 
     return docs.mapInArrow(lean(first_ones), "bucket int, blob binary")
@@ -262,37 +302,42 @@ _TILE = pa.schema([("tile", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), (
 
 
 def tiles(found: DataFrame) -> DataFrame:
-    """Pairs (tile null, a < b), and the members (b null: tile, a, n, place) of tiles over SMALL."""
+    """Pairs (tile null, a < b), and the members (b null: tile, a, n, place) of tiles over SMALL and of those in cells."""
     n_parts = partitions(found.sparkSession)
 
     def pair_up(batches):
         for _, blobs in _by_bucket(batches):
-            got = [_unpack(b, (np.uint64, np.int64, np.int32, np.int32, np.uint8)) for b in blobs]
+            got = [_unpack(b, (np.uint64, np.uint32, np.int64, np.int32, np.int32, np.uint8)) for b in blobs]
             token = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
-            sid, size, place, nth = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4))
-            order = np.lexsort((sid, size, token))
-            token, sid, size, place, nth = token[order], sid[order], size[order].astype(np.int64), place[order].astype(np.int64), nth[order]
-            keep = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
-            token, sid, size, place, nth = token[keep], sid[keep], size[keep], place[keep], nth[keep]
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            count = np.diff(np.append(first, len(token)))
-            member = np.repeat(count, count)
+            cell, sid, size, place, nth = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4, 5))
+            order = np.lexsort((sid, size, cell, token))
+            token, cell, sid, size, place, nth = token[order], cell[order], sid[order], size[order].astype(np.int64), place[order].astype(np.int64), nth[order]
+            new = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
+            keep = np.concatenate([[True], new | (sid[1:] != sid[:-1])])
+            token, cell, sid, size, place, nth = token[keep], cell[keep], sid[keep], size[keep], place[keep], nth[keep]
+            new = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
+            group = np.concatenate([[0], np.cumsum(new)])
+            count = np.bincount(group)
+            member = np.where(cell == 0, count[group], SMALL + 1)
             pairs = []
             # small tiles: each member with those after it, by distance
             for d in range(1, SMALL):
-                left = np.flatnonzero((member[:-d] > d) & (member[:-d] <= SMALL) & (token[:-d] == token[d:])) if d < len(token) else np.zeros(0, np.int64)
+                left = np.flatnonzero((member[:-d] > d) & (member[:-d] <= SMALL) & (group[:-d] == group[d:])) if d < len(token) else np.zeros(0, np.int64)
                 if not len(left):
                     break
                 pairs.append((left, left + d))
             big = np.flatnonzero(member > SMALL)
             if len(big):
                 led = big[nth[big] < LEADS]
-                near = np.flatnonzero(token[led[:-1]] == token[led[1:]])
-                pairs.append((led[near], led[near + 1]))
-                mixed = sid[led].view(np.uint64) * _MIX
-                other = led[np.lexsort((mixed ^ (mixed >> np.uint64(29)), token[led]))]
-                near = np.flatnonzero(token[other[:-1]] == token[other[1:]])
+                sized = led[(cell[led] == 0) | (cell[led] % 2 == 1)]
+                near = np.flatnonzero(group[sized[:-1]] == group[sized[1:]])
+                pairs.append((sized[near], sized[near + 1]))
+                other = led[cell[led] % 2 == 0]
+                mixed = sid[other].view(np.uint64) * _MIX
+                other = other[np.lexsort((mixed ^ (mixed >> np.uint64(29)), group[other]))]
+                near = np.flatnonzero(group[other[:-1]] == group[other[1:]])
                 pairs.append((other[near], other[near + 1]))
+                big = big[(cell[big] == 0) | (cell[big] % 2 == 1)]  # each member once
             if pairs:
                 x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))
                 least = needed(size[x], size[y])
@@ -312,9 +357,9 @@ def tiles(found: DataFrame) -> DataFrame:
 _SET = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("items", pa.binary())])
 
 
-def fetch_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
+def fetch_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame, twice: frozenset[int] = frozenset()) -> DataFrame:
     """sid, n, parity bitmap and sorted items of the wanted sets, each made from the first document that has it, or from a row without an id."""
-    first = ids.join(wanted, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    first = ids.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid")
     first = cut(first.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("sid")).alias("alone")).distinct(), "wanted")
     alone = first.filter("alone is not null").select(F.col("alone").alias("sid"))
     first = first.filter("doc_id is not null").select("doc_id")
@@ -327,15 +372,15 @@ def fetch_sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 items = shingles(text)
                 if len(items):
-                    rows.append((set_id(items), len(items), parity_bits(items).tobytes(), items.tobytes()))
+                    rows.append((set_id(items, twice, ID_BITS), len(items), parity_bits(items).tobytes(), items.tobytes()))
             yield from _rows(_SET, rows, 256)
 
     made = "sid bigint, n bigint, bits binary, items binary"
     named = some.select("text").mapInArrow(lean(make), made).join(wanted, "sid", "left_semi")
     if not alone.isEmpty():
         unnamed = docs.filter(F.col("doc_id").isNull()).select("text").mapInArrow(lean(make), made)
-        named = named.unionByName(unnamed.join(alone, "sid", "left_semi").dropDuplicates(["sid"]))
-    return cut(named, "sets")
+        named = named.unionByName(unnamed.join(alone, "sid", "left_semi"))
+    return cut(named.groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("items").alias("items")), "sets")
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -385,29 +430,44 @@ def across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int =
     """Pairs of large tiles whose sets lie in two components and whose bitmaps allow a link, each from one tile.
 
     A tile's members are banded by size (a linked pair's bands are the same or neighbours) and, within a band, dealt to
-    blocks of about BLOCK; a task meets two blocks. A pair comes out of the first tile that both sets are in.
+    blocks of about BLOCK; a task meets two blocks. A component with over BLOCK members in a band has blocks of its own,
+    which don't meet each other. A pair comes out of the first tile that both sets are in.
     """
-    with_root = members.join(roots, members["sid"] == roots["node"], "left").select("tile", "sid", F.coalesce("root", "sid").alias("root"))
+    with_root = cut(members.join(roots, members["sid"] == roots["node"], "left").select("tile", "sid", F.coalesce("root", "sid").alias("root")), "members")
     split = with_root.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("tile")
-    open_ = with_root.join(split, "tile", "left_semi")
+    open_ = join_hot(with_root, split, ["tile"], least=HOT_TILE)
     per_set = open_.groupBy("sid").agg(F.first("root").alias("root"), F.sort_array(F.collect_set("tile")).alias("tiles"))  # at most a prefix's tiles
     full = per_set.join(sets.select("sid", "n", "bits"), "sid").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.25)))).cast("int"))
     placed = cut(full.withColumn("tile", F.explode("tiles")), "placed")
-    sizes = placed.groupBy("tile", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = placed.join(sizes, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    above = sizes.select("tile", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
-    below = sizes.select("tile", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
-    own = own.join(above, ["tile", "band"], "left").join(below, ["tile", "band"], "left")
+    # large components of a band, and 0 for all others, with their blocks
+    per_root = placed.groupBy("tile", "band", "root").agg(F.count("*").alias("members"))
+    large = F.col("members") > BLOCK
+    kinds = per_root.groupBy("tile", "band", F.when(large, F.col("root")).alias("own")).agg(F.ceil(F.sum("members") / BLOCK).cast("int").alias("blocks"))
+    order = Window.partitionBy("tile", "band").orderBy(F.col("own").asc_nulls_first())  # a row for every BLOCK members at most
+    kinds = kinds.withColumn("stop", F.sum("blocks").over(order).cast("int")).withColumn("start", F.col("stop") - F.col("blocks"))
+    bands = kinds.groupBy("tile", "band").agg(F.max("stop").alias("total"), F.map_from_entries(F.collect_list(F.when(F.col("own").isNotNull(), F.struct("own", F.struct("start", "stop"))))).alias("own"), F.max(F.when(F.col("own").isNull(), F.col("stop"))).alias("rest"))
+    bands = cut(bands, "bands")
+
+    def shifted(by: int, name: str) -> DataFrame:
+        return bands.select("tile", (F.col("band") - by).alias("band"), F.col("total").alias(f"total_{name}"), F.col("own").alias(f"own_{name}"))
+
+    bands = bands.join(shifted(1, "above"), ["tile", "band"], "left").join(shifted(-1, "below"), ["tile", "band"], "left")
+    own = join_hot(placed, bands, ["tile", "band"], least=HOT_TILE)
+    own = own.withColumn("mine", F.col("own")[F.col("root")]).withColumn("mine_above", F.col("own_above")[F.col("root")]).withColumn("mine_below", F.col("own_below")[F.col("root")])
+    first, count = F.coalesce(F.col("mine.start"), F.lit(0)), F.coalesce(F.col("mine.stop") - F.col("mine.start"), F.col("rest"))
+    own = own.withColumn("block", (first + F.pmod(F.xxhash64("sid"), count)).cast("int"))
     keys = ["tile", "band", "block", "other_band", "other_block"]
     cols = ["sid", "n", "root", "bits", "tiles"]
 
-    def facing(shift: int, low: Column, high: Column) -> Column:
-        """(band, block) of the blocks that a member's block meets; none where there are none."""
+    def facing(shift: int, low: Column, high: Column, mine: str) -> Column:
+        """(band, block) of the blocks from low up to high that a member's block meets: all but those of its own large component."""
         none = F.array().cast("array<struct<band: int, block: int>>")
-        return F.when(high >= low, F.transform(F.sequence(low, F.greatest(high, low)), lambda k: F.struct((F.col("band") + shift).cast("int").alias("band"), k.cast("int").alias("block")))).otherwise(none)
+        every = F.when(high > low, F.sequence(low, F.greatest(high - 1, low))).otherwise(F.array().cast("array<int>"))
+        met = F.filter(every, lambda k: F.col("mine").isNull() | F.col(mine).isNull() | (k < F.col(f"{mine}.start")) | (k >= F.col(f"{mine}.stop")))
+        return F.coalesce(F.transform(met, lambda k: F.struct((F.col("band") + shift).cast("int").alias("band"), k.cast("int").alias("block"))), none)
 
-    right_of = F.concat(facing(0, F.col("block"), F.col("blocks") - 1), F.coalesce(facing(1, F.lit(0), F.col("blocks_above") - 1), F.array().cast("array<struct<band: int, block: int>>")))
-    left_of = F.concat(facing(0, F.lit(0), F.col("block")), F.coalesce(facing(-1, F.lit(0), F.col("blocks_below") - 1), F.array().cast("array<struct<band: int, block: int>>")))
+    right_of = F.concat(facing(0, F.col("block"), F.col("total"), "mine"), facing(1, F.lit(0), F.coalesce("total_above", F.lit(0)), "mine_above"))
+    left_of = F.concat(facing(0, F.lit(0), F.col("block") + 1, "mine"), facing(-1, F.lit(0), F.coalesce("total_below", F.lit(0)), "mine_below"))
     left = own.withColumn("o", F.explode(right_of)).select("tile", "band", "block", F.col("o.band").alias("other_band"), F.col("o.block").alias("other_block"), *cols)
     right = own.withColumn("o", F.explode(left_of)).select("tile", F.col("o.band").alias("band"), F.col("o.block").alias("block"), F.col("band").alias("other_band"), F.col("block").alias("other_block"), *cols)
 
@@ -461,23 +521,28 @@ def _near_classes(docs: DataFrame) -> DataFrame:
     buckets = 4 * partitions(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = cut(sets_and_counts(base, buckets), "counted")
-    ids = counted.filter(F.col("sid").isNotNull()).select("doc_id", "n", "sid")
+    ids = counted.filter(F.col("sid").isNotNull()).select("doc_id", "n", "sid", "other")
+    twice = shared_ids(ids)
+    if twice:
+        ids = ids.withColumn("sid", F.when(F.col("sid").isin(*twice), F.col("other")).otherwise(F.col("sid")))
+    ids = ids.drop("other")
     common = common_shingles(counted.filter(F.col("blob").isNotNull()))
-    tiled = cut(tiles(prefixes(base, common, buckets)), "tiles")
+    tiled = cut(tiles(prefixes(base, common, buckets, twice)), "tiles")
     pairs = cut(tiled.filter(F.col("b").isNotNull()).select("a", "b").distinct(), "pairs")
     members = tiled.filter(F.col("b").isNull()).select("tile", F.col("a").alias("sid"), "n", "place")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
-    sets = fetch_sets(base, ids.filter("n > 0"), wanted)
+    sets = fetch_sets(base, ids.filter("n > 0"), wanted, twice)
     links = cut(linked(cut(bounded(pairs, sets), "possible"), sets), "links")
     roots = components(links.toDF("u", "v"))
     more = cut(across(members, roots, sets), "across")
     if more.limit(1).count():
         links = links.unionByName(cut(linked(more, sets), "more_links"))
         roots = components(links.toDF("u", "v"))
-    rooted = ids.join(roots, ids["sid"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
+    n = ids.count()
+    rooted = cut(join_hot(ids, roots.toDF("sid", "root"), ["sid"], "left", rows=n).select("doc_id", "n", F.coalesce("root", "sid").alias("root")), "rooted")
     full = rooted.filter("n > 0")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = full.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    joined = join_hot(full, least, ["root"], rows=n).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rooted.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.unionByName(empty)
 
@@ -485,18 +550,22 @@ def _near_classes(docs: DataFrame) -> DataFrame:
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose doc_id is not among `ids`."""
     few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """Of each class of near duplicates the document with the least id, with its own columns.
 
-    Rows that share a doc_id are one document: one of them stays if any of them leads its class.
+    Rows that share a doc_id are one document: one of them stays if any of them leads its class, the one with the least
+    text (none before any), ties by a hash of all columns. Rows without an id all stay.
     """
     classes = near_classes(docs).filter(F.col("doc_id").isNotNull())
     per_id = cut(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays")), "per_id")
     kept = without(docs, per_id.filter("stays = 0 or n > 1").select("doc_id"))
     again = per_id.filter("stays = 1 and n > 1").select("doc_id")
     if again.limit(1).count():
-        kept = kept.unionByName(docs.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        row, order = F.struct(*names), F.struct(F.col("text").cast("string"), F.xxhash64(*names))
+        repeated = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("row"))
+        kept = kept.unionByName(repeated.select("row.*"))
     return kept
