@@ -116,59 +116,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_bytes: i
     return train([r["text"] for r in got], [int(r["label"] > 0) for r in got], good / max(sum(sizes.values()), 1))
 
 
-def evidence(self, texts) -> np.ndarray:
-        """Probability of good quality of each text, from the text alone."""
-        x = np.array([features(t) for t in texts]).reshape(-1, FEATURES)
-        z = _expand((x - self.mean) / self.spread) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-
-
-def _expand(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([x, np.minimum(x * x, 25)], 1)
-
-
-def train(texts: list[str | None], good: list[int], prior: float, ridge: float = 1e-3, rounds: int = 60) -> QualityModel:
-    """Ridge logistic regression by Newton steps; rows weigh so that the classes have the odds of `prior`."""
-    x = np.array([features(t) for t in texts]).reshape(-1, FEATURES)
-    y = np.asarray(good, float)
-    mean, spread = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
-    if len(set(good)) < 2:
-        return QualityModel(mean, spread, np.zeros(2 * FEATURES), 6.0 if not good or good[0] else -6.0)
-    z = np.concatenate([_expand((x - mean) / spread), np.ones((len(x), 1))], 1)
-    weight = np.where(y == 1, prior / y.sum(), (1 - prior) / (len(y) - y.sum()))
-    b = np.zeros(z.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        grad = z.T @ (weight * (p - y)) + ridge * b
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(b))
-        step = np.linalg.solve(hess, grad)
-        step *= min(1.0, 3.0 / max(np.abs(step).max(), 1e-9))
-        b -= step
-        if np.abs(step).max() < 1e-6:
-            break
-    return QualityModel(mean, spread, b[:-1], float(b[-1]))
-
-
-def known(labels: DataFrame) -> DataFrame:
-    """One row (doc_id, good) per labelled document outside the held-out fold; of several labels the lowest."""
-    rows = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    return rows.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("good"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> QualityModel:
-    """Learns from about `per_class` whole labelled documents of each class, chosen by a hash."""
-    rows = known(labels)
-    sizes = {r["good"]: r["n"] for r in rows.groupBy("good").agg(F.count("*").alias("n")).collect()}  # two rows
-    share = F.lit(0)
-    for value, n in sizes.items():
-        share = F.when(F.col("good") == value, int(min(1, per_class / n) * 1_000_000)).otherwise(share)
-    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)  # about 2 * per_class rows
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    good = sum(n for value, n in sizes.items() if value)
-    return train([r["text"] for r in got], [int(r["good"] > 0) for r in got], good / max(sum(sizes.values()), 1))
-
-
 def evidence(docs: DataFrame, model: QualityModel) -> Column:
     """The classifier's probability, as a column over `text`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -192,7 +139,7 @@ def with_labels(found: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def posteriors(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """host, path -> path_n, path_s (counts and sums), host_rate, path_strength, global_rate.
+    """host, path -> path_n, path_s, host_n, host_s (counts and sums), host_rate, host_strength, path_strength, global_rate.
 
     found: doc_id, host, path, evidence. Known labels weigh as a further observation of the document's site.
     """
@@ -220,16 +167,16 @@ def _posteriors(found: DataFrame) -> DataFrame:
         return float(min(max(rate * (1 - rate) / max(extra, 1e-6) - 1, 1), 10_000))
 
     host_strength = strength(hosts, "host_n", "host_s", F.lit(rate))
-    hosts = hosts.select("host", ((F.col("host_s") + host_strength * rate) / (F.col("host_n") + host_strength)).alias("host_rate"))
+    hosts = hosts.select("host", "host_n", "host_s", ((F.col("host_s") + host_strength * rate) / (F.col("host_n") + host_strength)).alias("host_rate"))
     sites = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
     path_strength = strength(sites, "path_n", "path_s", F.col("host_rate"))
-    return sites.withColumn("path_strength", F.lit(path_strength)).withColumn("global_rate", F.lit(rate))
+    return sites.withColumn("host_strength", F.lit(host_strength)).withColumn("path_strength", F.lit(path_strength)).withColumn("global_rate", F.lit(rate))
 
 
 def combine(docs: DataFrame, sites: DataFrame) -> DataFrame:
     """docs (with host, path, evidence and, if labels are known, good) plus host_rate, path_rate and score, the probability of good quality.
 
-    path_rate is the path's posterior without the document: neither its evidence nor its label counts in it.
+    host_rate and path_rate are posteriors without the document: neither its evidence nor its label counts in them.
     """
     nulls = [F.col(c).isNull().alias(f"no_{c}") for c in ("host", "path")]
     keyed = sites.select(*(c for c in sites.columns if c not in ("host", "path")), *nulls, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"key_{c}") for c in ("host", "path")))
@@ -238,12 +185,18 @@ def combine(docs: DataFrame, sites: DataFrame) -> DataFrame:
     small = sites.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     both = (left.join(F.broadcast(keyed), keys) if small else join_hot(left, keyed, keys)).drop(*keys)
     own, label = F.col("evidence"), F.col("good") if "good" in docs.columns else F.lit(None).cast("int")
-    rest_s = F.greatest(F.col("path_s") - own - F.coalesce(label, F.lit(0)), F.lit(0.0))
-    rest_n = F.greatest(F.col("path_n") - 1 - label.isNotNull().cast("int"), F.lit(0.0))
-    rate = (rest_s + F.col("path_strength") * F.col("host_rate")) / (rest_n + F.col("path_strength"))
-    both = both.withColumn("path_rate", F.least(F.greatest(rate, F.lit(1e-3)), F.lit(1 - 1e-3)))
+    own_n = F.lit(1) + label.isNotNull().cast("int")
+
+    def rest(level: str, centre: Column) -> Column:
+        """The level's posterior rate from all but this document."""
+        s = F.greatest(F.col(f"{level}_s") - own - F.coalesce(label, F.lit(0)), F.lit(0.0))
+        n = F.greatest(F.col(f"{level}_n") - own_n, F.lit(0.0))
+        return (s + F.col(f"{level}_strength") * centre) / (n + F.col(f"{level}_strength"))
+
+    both = both.withColumn("host_rate", rest("host", F.col("global_rate")))
+    both = both.withColumn("path_rate", F.least(F.greatest(rest("path", F.col("host_rate")), F.lit(1e-3)), F.lit(1 - 1e-3)))
     odds = _logit(own) + _logit(F.col("path_rate")) - _logit(F.col("global_rate"))
-    return both.withColumn("score", 1 / (1 + F.exp(-odds))).drop("path_n", "path_s", "path_strength", "global_rate", "good")
+    return both.withColumn("score", 1 / (1 + F.exp(-odds))).drop("path_n", "path_s", "path_strength", "host_n", "host_s", "host_strength", "global_rate", "good")
 
 
 def _found(docs: DataFrame, labels: DataFrame, host: Column, path: Column, model: QualityModel) -> DataFrame:
