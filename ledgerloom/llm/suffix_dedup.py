@@ -6,7 +6,8 @@ bucket takes its runs in batches of ascending doc_id. A batch gets a suffix arra
 the order of their bytes; this is merge-scanned against the levels that hold the strings of earlier batches, and what
 they lack becomes a level itself. Levels of equal size merge, so a bucket keeps a logarithmic number of them. With an
 index folder the levels are stored there, and later calls scan their documents against them and add to them. Strings
-are told apart by their bytes; hashes only deal runs to buckets and propose runs that may be equal.
+are told apart by their bytes; hashes only deal runs to buckets, propose runs that may be equal, and, where no later
+call will ask, leave strings out of the arrays that nothing in the bucket can equal.
 
 Copies of a run that a task meets together are settled there and sent once, so what a bucket gets of a passage grows
 with the number of tasks' batches, not with its copies. Texts and what was found of them meet in streams sorted by home.
@@ -271,10 +272,36 @@ class Levels:
         self.levels.append(level)
 
 
+def may_repeat(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each string of the runs (`size` strings from `at` on, run after run) is like another in bytes of four places.
+
+    A string that isn't equals no other, so it needs no place in a suffix array.
+    """
+    like = np.empty(size.sum(), np.uint64)
+    done = 0
+    for i in range(0, len(at), _BATCH_RUNS):
+        n = size[i : i + _BATCH_RUNS]
+        wide = n + DEPTH - 1
+        x = words8(text[spread(at[i : i + _BATCH_RUNS], wide)])
+        start = spread(np.cumsum(wide) - wide, n)
+        own = np.zeros(len(start), np.uint64)
+        for k, off in enumerate((0, 14, 28, DEPTH - 8)):
+            own = (own ^ x[start + off]) * _K[k]
+            own ^= own >> np.uint64(31)
+        like[done : done + len(own)] = own
+        done += len(own)
+    order = np.argsort(like)
+    like = like[order]
+    same = like[1:] == like[:-1]
+    out = np.zeros(len(like), bool)
+    out[order] = np.concatenate([[False], same])[: len(like)] | np.concatenate([same, [False]])[: len(like)]
+    return out
+
+
 def scan_bucket(blobs: list[bytes], index: Levels, alone: bool):
     """(doc, tag, first, last string) of every stretch of strings that an earlier document has too; index grows.
 
-    alone: nothing is asked of the index later, so strings whose minimiser one document has need no place in it.
+    alone: nothing is asked of the index later, so strings that can't repeat here have no place in it.
     """
     cols, n_contents = [], 0
     for blob in blobs:
@@ -285,35 +312,46 @@ def scan_bucket(blobs: list[bytes], index: Levels, alone: bool):
     del cols
     size = size.astype(np.int64)
     at = np.cumsum(size + DEPTH - 1) - (size + DEPTH - 1)
-    own = np.arange(len(doc))
-    if alone:
-        least, most = np.full(n_contents, _NEVER), np.full(n_contents, np.iinfo(np.int64).min)
-        np.minimum.at(least, content, doc)
-        np.maximum.at(most, content, doc)
+    least, most = np.full(n_contents, _NEVER), np.full(n_contents, np.iinfo(np.int64).min)
+    np.minimum.at(least, content, doc)
+    np.maximum.at(most, content, doc)
+    keep = np.ones(n_contents, bool)
+    if alone:  # minimisers that several documents have, then strings
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
         shared = np.minimum.reduceat(least[order], first) < np.maximum.reduceat(most[order], first)
-        live = np.empty(n_contents, bool)
-        live[order] = np.repeat(shared, np.diff(np.append(first, n_contents)))
-        own = own[live[content]]
+        keep[order] = np.repeat(shared, np.diff(np.append(first, n_contents)))
+    runs_kept = np.flatnonzero(keep)
+    begin_of = np.zeros(n_contents, np.int64)  # of a kept run's strings among those of all kept runs
+    begin_of[runs_kept] = np.cumsum(size[runs_kept]) - size[runs_kept]
+    if alone:
+        live = may_repeat(text, at[runs_kept], size[runs_kept]) | np.repeat((least < most)[runs_kept], size[runs_kept])
+        if len(live):
+            keep[runs_kept] = np.logical_or.reduceat(live, begin_of[runs_kept])
+    else:
+        live = np.ones(size[runs_kept].sum(), bool)
+    own = np.flatnonzero(keep[content])
     own = own[np.argsort(doc[own], kind="stable")]
     for i in range(0, len(own), _BATCH_RUNS):
         entry = own[i : i + _BATCH_RUNS]
         kinds, local = np.unique(content[entry], return_inverse=True)
         rep, same = same_runs(text, at[kinds], size[kinds] + DEPTH - 1, h[kinds])
+        n = size[kinds[rep]]
+        begin = np.cumsum(n) - n
+        alive = np.zeros(n.sum(), bool)
+        np.logical_or.at(alive, spread(begin[same], size[kinds]), live[spread(begin_of[kinds], size[kinds])])
         kinds, local = kinds[rep], same[local]
         early = np.full(len(kinds), _NEVER)
         np.minimum.at(early, local, doc[entry])
-        n = size[kinds]
         wide = n + DEPTH - 1
         body = text[spread(at[kinds], wide)]  # of this batch's runs only
-        level, some, place = suffix_array(body, spread(np.cumsum(wide) - wide, n), np.repeat(early, n))
+        level, some, place = suffix_array(body, spread(np.cumsum(wide) - wide, n)[alive], np.repeat(early, n)[alive])
         known = index.scan(some)
         fresh = np.flatnonzero(level.least < known)
         if len(fresh):
             index.add(_only(level, fresh, wide))
-        before = np.minimum(known, level.least)[place]  # of each string of each run
-        begin = np.cumsum(n) - n
+        before = np.full(n.sum(), _NEVER)  # of each string of each run
+        before[alive] = np.minimum(known, level.least)[place]
         count = n[local]
         dup = before[spread(begin[local], count)] < np.repeat(doc[entry], count)
         head = np.zeros(len(dup) + 1, bool)
