@@ -152,9 +152,9 @@ def session_seed(seed: Column, date: Column) -> Column:
 
 
 def hash_priority(key: Column, seed: int) -> Column:
-    """A number in [0, 1000003) that Spark and SQL engines compute alike; orders rows for reproducible sampling."""
-    mixed = F.pmod(key * F.lit(7919) + F.lit(seed) * F.lit(104_729), F.lit(1_000_003))
-    return F.pmod(mixed * mixed + F.lit(31) * mixed, F.lit(1_000_003))
+    """60 bits of the md5 of 'key:seed', which Spark and SQL engines compute alike; orders rows for reproducible sampling."""
+    digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 # --- checks ---

@@ -79,11 +79,15 @@ def futures(ticks: DataFrame, horizon: int = HORIZON, history: int = 1) -> DataF
 
 
 def histories(ticks: DataFrame, wanted: DataFrame, value: str, history: int = HISTORY) -> DataFrame:
-    """Arrays of the `history` values up to each wanted (session, anchor), gathered by an equi-join, not a range join."""
-    places = wanted.select("session", "anchor").distinct().select("session", "anchor", F.explode(F.sequence(F.col("anchor") - history + 1, F.col("anchor"))).alias("row_id"))
-    rows = places.join(ticks.filter(~F.col("brk")).select("session", "row_id", value), ["session", "row_id"])
-    got = rows.groupBy("session", "anchor").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", value))), lambda s: s[value]).alias("x"))
-    return got.filter(F.size("x") == history)
+    """`x`, the `history` values up to each wanted (session, anchor), from frames over blocks of runs, by an equi-join.
+
+    Fails the query on an anchor without a whole history in its run.
+    """
+    rows = blocks(ticks, history - 1, 0)
+    rows = rows.withColumn("x", F.collect_list(value).over(_order().rowsBetween(1 - history, 0))).filter("_own").select("session", F.col("row_id").alias("anchor"), "x")
+    got = wanted.select("session", "anchor").distinct().join(rows, ["session", "anchor"], "left")
+    refused = F.raise_error(F.format_string("session %s: no whole history at anchor %s", F.col("session").cast("string"), F.col("anchor").cast("string")))
+    return got.withColumn("x", F.when(F.size("x") == history, F.col("x")).otherwise(refused.cast("array<double>")))
 
 
 def step_returns(ticks: DataFrame) -> DataFrame:
@@ -92,6 +96,12 @@ def step_returns(ticks: DataFrame) -> DataFrame:
     return rows.select("session", "row_id", "run", F.when(F.col("_back").isNull(), 0.0).otherwise(F.log(F.col("mid") / F.col("_back"))).alias("step_return"))
 
 
+def step_gaps(ticks: DataFrame, ns: Column) -> DataFrame:
+    """Seconds since the row before in the same run; rows at a run's start have none."""
+    rows = blocks(ticks, 1, 0).withColumn("_ns", ns).withColumn("_back", F.lag("_ns").over(_order())).filter("_own")
+    return rows.filter(F.col("_back").isNotNull()).select("session", "row_id", "event_id", ((F.col("_ns") - F.col("_back")) / 1e9).alias("gap"))
+
+
 def future_spans(ticks: DataFrame, horizon: int, ns: Column) -> DataFrame:
     """Seconds until `horizon` rows later in the same run."""
     rows = blocks(ticks, 0, horizon).withColumn("_ns", ns).withColumn("_then", F.lead("_ns", horizon).over(_order()))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from ledgerloom.operators.audit import NAMES
+from ledgerloom.operators.seeded import SeededOrder
 from ledgerloom.plans.queries import _FILES, _LOGS
 
 K = "CAST(json_extract_string(props, '$.k') AS INT)"
@@ -23,7 +26,7 @@ later AS (
   FROM good WINDOW r AS (PARTITION BY session, run ORDER BY row_id)
 ),
 futures AS (SELECT session, run, row_id AS anchor, list_transform(l, lambda x: ln(x / mid)) AS y FROM later WHERE len(l) = 8 AND rn >= 16)"""
-MIX = "((({key} * 7919 + 17 * 104729) % 1000003) * (({key} * 7919 + 17 * 104729) % 1000003) + 31 * (({key} * 7919 + 17 * 104729) % 1000003)) % 1000003"
+MIX = "CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':17'), 1, 15) AS BIGINT)"
 SAMPLED = f""",
 sampled AS (
   SELECT session, anchor, {MIX.format(key="anchor")} AS priority FROM anchors
@@ -31,11 +34,36 @@ sampled AS (
 )"""
 PAIRS = """,
 chosen AS (SELECT a.session, a.anchor AS a, b.anchor AS b FROM sampled a JOIN sampled b ON a.session = b.session AND b.anchor - a.anchor >= 24)"""
-DISTANCES = """,
+#: Eligible pairs of the tables that come with this package (sf0.001, sf0.01): the seeded order depends on their number.
+TOTALS = (160_392, 30_437_580)
+
+
+def _drawn(n: int) -> str:
+    """The first n pairs of the seeded order, listed, with their episodes: anchors are numbered, and a pair id lies among those of one earlier anchor."""
+    listed = " UNION ALL ".join(f"SELECT {t} AS total, unnest(range({min(n, t)})) AS place, unnest({SeededOrder(t, 'events', 'all', 17).numbers(np.arange(min(n, t))).tolist()}) AS pair_id" for t in TOTALS)
+    return f""",
+numbered AS (
+  SELECT session, anchor, row_number() OVER (ORDER BY session, anchor) - 1 AS g,
+    count(*) OVER (PARTITION BY session ORDER BY anchor RANGE BETWEEN 24 FOLLOWING AND UNBOUNDED FOLLOWING) AS w FROM anchors
+),
+ended AS (SELECT *, max(g) OVER (PARTITION BY session) + 1 AS stop, count(*) OVER () AS n FROM numbered),
+items AS (SELECT *, 0 AS kind, w AS size FROM ended UNION ALL SELECT *, 1, n - stop FROM ended),
+starts AS (SELECT *, CAST(sum(size) OVER (ORDER BY session, kind, anchor ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM items),
+listed AS ({listed}),
+queue AS (SELECT place, pair_id FROM listed WHERE total = (SELECT sum(size) FROM items)),
+earlier AS (
+  SELECT q.place, q.pair_id, s.session AS s1, s.anchor AS a1, CASE WHEN kind = 0 THEN stop - w ELSE stop END + q.pair_id - s.start AS other
+  FROM queue q ASOF JOIN (SELECT * FROM starts WHERE size > 0) s ON q.pair_id >= s.start
+),
+drawn AS (SELECT e.place, e.pair_id, s1, a1, x.session AS s2, x.anchor AS a2 FROM earlier e JOIN ended x ON x.g = e.other)"""
+
+
+DISTANCES = _drawn(100_000) + """,
 d AS (
-  SELECT c.session AS s1, c.a AS a1, c.b AS a2, sqrt(list_sum(list_transform(range(1, 9), lambda i: (x.y[i] - z.y[i]) * (x.y[i] - z.y[i]))) / 8) AS d_raw
-  FROM chosen c JOIN futures x ON x.session = c.session AND x.anchor = c.a JOIN futures z ON z.session = c.session AND z.anchor = c.b
+  SELECT c.*, sqrt(list_sum(list_transform(range(1, 9), lambda i: (x.y[i] - z.y[i]) * (x.y[i] - z.y[i]))) / 8) AS d_raw, x.y[8] AS y1_last, z.y[8] AS y2_last
+  FROM drawn c JOIN futures x ON x.session = c.s1 AND x.anchor = c.a1 JOIN futures z ON z.session = c.s2 AND z.anchor = c.a2
 )"""
+BATCHES = _drawn(4096) + DISTANCES[DISTANCES.index(",\nd AS ("):]
 MBO = f"""
 mbo AS (
   SELECT user_id % 8 AS session, event_id AS source_row, {US} * 1000 AS ts,
@@ -132,8 +160,7 @@ SELECT session, covered AS gap_start, start AS gap_stop FROM c WHERE start > cov
 SELECT session, CASE WHEN start > b THEN 'gap' ELSE 'overlap' END AS problem, count(*) AS n FROM c WHERE b IS NOT NULL AND start <> b GROUP BY ALL""",
     "run_labels": """WITH c AS (SELECT user_id % 8 AS session, coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id % 8 ORDER BY event_id), false) AS c FROM events)
 SELECT session, CAST(sum(CAST(c AS INT)) AS BIGINT) AS last_run, count(*) AS rows FROM c GROUP BY 1""",
-    "read_rows": f"""WITH {TICKS}, a AS (SELECT session, row_id, event_id, mid FROM ticks WHERE (row_id * 7 + session) % 11 = 3)
-SELECT event_id AS place, session, row_id, mid FROM a UNION ALL SELECT event_id + 1000000, session, row_id, mid FROM a""",
+    "read_rows": f"WITH {TICKS} SELECT event_id AS place, session, row_id, mid FROM ticks UNION ALL SELECT -1 - event_id, session, row_id, mid FROM ticks",
     "read_ranges": f"""WITH {TICKS} SELECT t.session, count(*) AS n, round(sum(t.mid), 3) AS total FROM ticks t JOIN ranges r ON r.session = t.session AND t.row_id >= r.start - 15 AND t.row_id < r.stop GROUP BY 1""",
     "stop_scan": f"""WITH {MBO}, s AS (SELECT session, min(source_row) AS stop_row FROM mbo WHERE is_last AND ts >= (SELECT min(ts) FROM mbo) + 1800000000000 GROUP BY 1)
 SELECT session, count(*) AS n, max(source_row) AS last FROM mbo LEFT JOIN s USING (session) WHERE stop_row IS NULL OR source_row < stop_row GROUP BY 1""",
@@ -182,23 +209,27 @@ SELECT feature, n, round(CASE WHEN kept OR n = 0 THEN 0 ELSE a END, 5) AS mean,
     "gap_median": f"""WITH {TICKS}, g AS (SELECT (us - lag(us) OVER (PARTITION BY session, run ORDER BY row_id)) / 1e6 AS gap FROM good)
 SELECT round(median(gap), 6) AS median, count(*) AS n FROM g WHERE gap > 0""",
     "reservoir_median": f"""WITH {TICKS}, g AS (SELECT event_id, (us - lag(us) OVER (PARTITION BY session, run ORDER BY row_id)) / 1e6 AS gap FROM good),
-k AS (SELECT gap FROM g WHERE gap > 0 ORDER BY {MIX.format(key="event_id")}, event_id LIMIT 1000) SELECT round(median(gap), 6) AS median, count(*) AS n FROM k""",
+k AS (SELECT gap FROM g WHERE gap > 0 ORDER BY {MIX.format(key="event_id")}, event_id LIMIT 1000000) SELECT round(median(gap), 6) AS median, count(*) AS n FROM k""",
     "coverage_rows": f"""WITH {TICKS}, c AS (SELECT DISTINCT t.session, t.row_id FROM ticks t JOIN ranges r ON r.session = t.session AND t.row_id >= r.start - 15 AND t.row_id < r.stop),
 e AS (SELECT session, row_id, coalesce(row_id - lag(row_id) OVER (PARTITION BY session ORDER BY row_id) > 1, true) AS f FROM c)
 SELECT session, count(*) AS rows, count(*) FILTER (f) AS ranges FROM e GROUP BY 1""",
     "sampled_anchors": f"WITH {TICKS}{SAMPLED} SELECT * FROM sampled",
-    "histories": f"""WITH {TICKS}{SAMPLED} SELECT s.session, s.anchor, round(sum(t.mid), 4) AS total, round(arg_min(t.mid, t.row_id), 6) AS first, round(arg_max(t.mid, t.row_id), 6) AS last
-FROM sampled s JOIN good t ON t.session = s.session AND t.row_id BETWEEN s.anchor - 15 AND s.anchor GROUP BY ALL HAVING count(*) = 16""",
+    "histories": f"""WITH {TICKS} SELECT s.session, s.anchor, round(sum(t.mid), 4) AS total, round(arg_min(t.mid, t.row_id), 6) AS first, round(arg_max(t.mid, t.row_id), 6) AS last
+FROM anchors s JOIN good t ON t.session = s.session AND t.row_id BETWEEN s.anchor - 15 AND s.anchor GROUP BY ALL""",
     "eligible_pairs": f"WITH {TICKS}{SAMPLED}{PAIRS} SELECT * FROM chosen",
-    "pair_distances": f"WITH {TICKS}{FUTURES}{SAMPLED}{PAIRS}{DISTANCES} SELECT s1, a1, a2, round(d_raw, 6) AS d_raw FROM d",
-    "target_scale": f"""WITH {TICKS}{FUTURES}{SAMPLED}{PAIRS}{DISTANCES}, h AS (SELECT d_raw, ntile(2) OVER (ORDER BY s1, a1, a2) AS half FROM d)
+    "universe_pairs": f"WITH {TICKS}{_drawn(100_000)} SELECT * FROM drawn",
+    "pair_distances": f"WITH {TICKS}{FUTURES}{DISTANCES} SELECT pair_id, place, s1, a1, s2, a2, round(d_raw, 6) AS d_raw FROM d",
+    "target_scale": f"""WITH {TICKS}{FUTURES}{DISTANCES}, h AS (SELECT d_raw, ntile(2) OVER (ORDER BY place) AS half FROM d)
 SELECT round(median(d_raw) FILTER (d_raw > 0), 6) AS scale, count(*) AS pairs, round(avg(CAST(d_raw = 0 AS INT)), 6) AS zero_fraction, """
     + ", ".join(f"round(quantile_cont(d_raw, {q}), 6) AS q{int(100 * q):03d}" for q in (0.0, 0.25, 0.5, 0.75, 0.95, 1.0))
     + ", round(median(d_raw) FILTER (d_raw > 0 AND half = 1), 6) AS first_half, round(median(d_raw) FILTER (d_raw > 0 AND half = 2), 6) AS second_half FROM h",
-    "endpoint_counts": f"WITH {TICKS}{FUTURES}{SAMPLED}{PAIRS}{DISTANCES} SELECT s1 AS session, 2 * count(*) AS endpoints, count(*) AS same_session_pairs FROM d GROUP BY 1",
-    "pair_unrank": f"""WITH {TICKS}, w AS (SELECT session, count(*) OVER (PARTITION BY session ORDER BY anchor RANGE BETWEEN 24 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM anchors),
-s AS (SELECT session, count(*) AS k, sum(n) AS n FROM w GROUP BY 1), u AS (SELECT CAST(sum(n) + ((sum(k)) * (sum(k)) - sum(k * k)) / 2 AS BIGINT) AS total FROM s)
-SELECT unnest(range(0, total, 9973)) AS pair_id, unnest(range(0, total, 9973)) AS back, true AS eligible FROM u""",
+    "endpoint_counts": f"""WITH {TICKS}{_drawn(100_000)}, e AS (SELECT s1 AS session, CAST(s1 = s2 AS INT) AS own FROM drawn UNION ALL SELECT s2, 0 FROM drawn)
+SELECT session, count(*) AS endpoints, CAST(sum(own) AS BIGINT) AS same_session_pairs FROM e GROUP BY 1""",
+    "pair_unrank": f"WITH {TICKS}{_drawn(4096)} SELECT pair_id, s1, a1, s2, a2, pair_id AS back FROM drawn",
+    "pair_batches": f"""WITH {TICKS}{FUTURES}{BATCHES},
+h AS (SELECT a.session, a.anchor, round(sum(t.mid), 4) AS total FROM anchors a JOIN good t ON t.session = a.session AND t.row_id BETWEEN a.anchor - 15 AND a.anchor GROUP BY ALL)
+SELECT pair_id, place, place // 32 AS batch, s1, a1, s2, a2, h1.total AS x1_total, h2.total AS x2_total, round(y1_last, 6) AS y1_last, round(y2_last, 6) AS y2_last, round(d_raw, 6) AS d_raw
+FROM d JOIN h h1 ON h1.session = s1 AND h1.anchor = a1 JOIN h h2 ON h2.session = s2 AND h2.anchor = a2""",
     "latent_l2": f"WITH {CODES} SELECT vec_id, round(distance, 6) AS distance FROM dist WHERE label = code",
     "vq_codes": f"WITH {CODES} SELECT vec_id, code, round(distance, 6) AS distance FROM coded",
     "vq_stats": f"""WITH {CODES}, c AS (SELECT code, count(*) AS n FROM coded GROUP BY 1), a AS (SELECT sum(n) AS total FROM c),
@@ -220,9 +251,11 @@ s AS (SELECT session, count(*) AS k, sum(n) AS n, row_number() OVER (ORDER BY se
 SELECT CASE WHEN place < 5 THEN 'train' WHEN place < 6 THEN 'validation' ELSE 'test' END AS split, count(*) AS sessions, CAST(sum(k) AS BIGINT) AS anchors, CAST(sum(n) AS BIGINT) AS within_pairs FROM s GROUP BY 1""",
     "store_diff": """WITH c AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT 'left' AS side, CAST(sum(n - 1) AS BIGINT) AS n, CAST(sum((n - 1) * l_orderkey) AS BIGINT) AS keys FROM c WHERE n > 1 HAVING count(*) > 0""",
-    "split_overlap": "SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE user_id % 8 = 0 AND CAST(ts AS DATE) IN (SELECT CAST(ts AS DATE) FROM events WHERE user_id % 8 = 1)",
-    "reconcile": """WITH b AS (SELECT c_custkey, o FROM customer FULL JOIN (SELECT DISTINCT o_custkey AS o FROM orders) ON c_custkey = o)
-SELECT CASE WHEN o IS NULL THEN 'missing' ELSE 'unexpected' END AS problem, count(*) AS n FROM b WHERE o IS NULL OR c_custkey IS NULL GROUP BY 1""",
+    "split_overlap": """WITH d AS (SELECT DISTINCT user_id % 8 AS session, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events)
+SELECT a.session, a.day FROM d a JOIN d b ON b.session = a.session + 1 AND b.day = a.day""",
+    "reconcile": """WITH l AS (SELECT CAST(ts AS DATE) AS day, user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+f AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id, 1 AS m FROM events WHERE event_type = 'view')
+SELECT CASE WHEN m IS NULL THEN 'missing' WHEN n IS NULL THEN 'unexpected' ELSE 'duplicate' END AS problem, count(*) AS n FROM l FULL JOIN f USING (day, user_id) WHERE m IS NULL OR n IS NULL OR n > 1 GROUP BY 1""",
     "build_report": """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS rows FROM events GROUP BY 1), t AS (SELECT *, strftime(day, '%Y-%m') AS month, CAST(dayofweek(day) + 1 AS INT) AS weekday FROM d)
 SELECT coalesce(month, 'all') AS month, coalesce(weekday, 0) AS weekday, count(*) AS days, CAST(sum(rows) AS BIGINT) AS total, min(rows) AS least, max(rows) AS most, round(avg(rows), 4) AS mean,
   round(100 * sum(rows) / (SELECT sum(rows) FROM d), 4) AS share FROM t GROUP BY ROLLUP (month, weekday)""",

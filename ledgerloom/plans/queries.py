@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.operators import audit, book, fit, pairs, runs, states
+from ledgerloom.operators import audit, book, book_blocks, fit, pairs, runs, states
+from ledgerloom.operators.seeded import SeededOrder, stretch
 from ledgerloom.sources import store, views
 from ledgerloom.streaming.replay import PairStream
 
@@ -15,8 +16,8 @@ HISTORY, HORIZON = 16, 8
 GAP = HISTORY + HORIZON
 #: Anchors that the sampling queries take from each session, and their seed.
 SAMPLE, SEED = 24, 17
-#: Pairs of the seeded order that the distance scale is fitted on, as the reference's target_pairs.
-TARGET_PAIRS = 100_000
+#: Pairs of the seeded order that distances and their scale are taken from, and those of a queue.
+TARGET_PAIRS, QUEUE_PAIRS = 100_000, 4096
 
 
 def _ranges(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,7 +25,7 @@ def _ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _replayed(spark: SparkSession, sf: str) -> DataFrame:
-    return book.replay(views.mbo(spark, sf))
+    return book_blocks.replay(views.mbo(spark, sf))
 
 
 def _observed(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,13 +128,11 @@ def run_labels(spark, sf):
 # --- scans ---
 
 
-def _asked(spark, sf):
-    return views.ticks(spark, sf).select("session", "row_id", F.col("event_id").alias("place")).filter((F.col("row_id") * 7 + F.col("session")) % 11 == 3)
-
-
 def read_rows(spark, sf):
+    """Every row twice, by its event id."""
     rows = views.ticks(spark, sf)
-    twice = _asked(spark, sf).unionByName(_asked(spark, sf).select("session", "row_id", (F.col("place") + 1_000_000).alias("place")))
+    asked = rows.select("session", "row_id", F.col("event_id").alias("place"))
+    twice = asked.unionByName(asked.withColumn("place", -1 - F.col("place")))
     return store.read_rows(rows, twice, ["mid"]).select("place", "session", "row_id", "mid")
 
 
@@ -206,9 +205,7 @@ def audit_report(spark, sf):
 
 
 def _gaps(spark, sf):
-    rows = views.ticks(spark, sf).filter(~F.col("brk")).withColumn("ns", views.nanoseconds())
-    back = F.lag("ns").over(Window.partitionBy("session", "run").orderBy("row_id"))
-    return rows.select("event_id", ((F.col("ns") - back) / 1e9).alias("gap")).filter(F.col("gap").isNotNull())
+    return runs.step_gaps(views.ticks(spark, sf), views.nanoseconds())
 
 
 def gap_median(spark, sf):
@@ -216,7 +213,7 @@ def gap_median(spark, sf):
 
 
 def reservoir_median(spark, sf):
-    return fit.reservoir_median(_gaps(spark, sf), "gap", "event_id", SEED, 1000).select(F.round("median", 6).alias("median"), "n")
+    return fit.reservoir_median(_gaps(spark, sf), "gap", "event_id", SEED).select(F.round("median", 6).alias("median"), "n")
 
 
 def coverage_rows(spark, sf):
@@ -243,86 +240,65 @@ def sampled_anchors(spark, sf):
 
 
 def histories(spark, sf):
-    found = runs.histories(views.ticks(spark, sf), _sampled(spark, sf), "mid", HISTORY)
+    """Histories of every anchor."""
+    found = runs.histories(views.ticks(spark, sf), runs.anchors(_ranges(spark, sf)), "mid", HISTORY)
     return found.select("session", "anchor", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 4).alias("total"), F.round(F.col("x")[0], 6).alias("first"), F.round(F.col("x")[HISTORY - 1], 6).alias("last"))
 
 
 def eligible_pairs(spark, sf):
+    """All eligible pairs of each session's sampled anchors."""
     return pairs.eligible_pairs(_sampled(spark, sf), GAP)
 
 
-def _distances(spark, sf):
-    chosen = eligible_pairs(spark, sf).select(F.col("session").alias("s1"), F.col("a").alias("a1"), F.col("session").alias("s2"), F.col("b").alias("a2"))
-    episodes = runs.futures(views.ticks(spark, sf), HORIZON, HISTORY).select("session", "anchor", "y")
-    both = pairs.materialise(chosen, episodes)
-    return both.select("s1", "a1", "s2", "a2", S.future_path_rms(F.col("left"), F.col("right")).alias("d_raw"))
-
-
-def pair_distances(spark, sf):
-    return _distances(spark, sf).select("s1", "a1", "a2", F.round("d_raw", 6).alias("d_raw"))
-
-
-def target_scale(spark, sf):
-    found = fit.target_scale(_distances(spark, sf), "d_raw", F.struct("s1", "a1", "a2"))
-    return found.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in found.dtypes))
-
-
-def endpoint_counts(spark, sf):
-    return audit.endpoint_counts(_distances(spark, sf))
-
-
-def all_histories(spark, sf):
-    """Histories of every anchor."""
-    found = runs.histories(views.ticks(spark, sf), runs.anchors(_ranges(spark, sf)), "mid", HISTORY)
-    return found.select("session", "anchor", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 4).alias("total"), F.round(F.col("x")[0], 6).alias("first"), F.round(F.col("x")[HISTORY - 1], 6).alias("last"))
+def _order(index: pairs.PairIndex) -> SeededOrder:
+    return SeededOrder(index.total, "events", "all", SEED)
 
 
 def universe_pairs(spark, sf):
     """The first TARGET_PAIRS of the seeded order of all eligible pairs, within and across sessions."""
     index = pairs.PairIndex.of(_ranges(spark, sf), GAP)
-    order = pairs.Traversal(index.total, "events", "all", SEED)
-    queue = pairs.traverse(spark, order, 0, min(TARGET_PAIRS, index.total))
+    queue = stretch(spark, _order(index), 0, min(TARGET_PAIRS, index.total))
     return pairs.unrank_pairs(queue, index).join(queue, "pair_id")
 
 
-def _universe_distances(spark, sf):
+def _distances(spark, sf):
     episodes = runs.futures(views.ticks(spark, sf), HORIZON, HISTORY).select("session", "anchor", "y")
     both = pairs.materialise(universe_pairs(spark, sf), episodes)
     return both.select("pair_id", "place", "s1", "a1", "s2", "a2", S.future_path_rms(F.col("left"), F.col("right")).alias("d_raw"))
 
 
-def universe_distances(spark, sf):
-    return _universe_distances(spark, sf).withColumn("d_raw", F.round("d_raw", 6))
+def pair_distances(spark, sf):
+    return _distances(spark, sf).withColumn("d_raw", F.round("d_raw", 6))
 
 
-def universe_scale(spark, sf):
+def target_scale(spark, sf):
     """The scale over the whole universe; its halves are those of the seeded order."""
-    found = fit.target_scale(_universe_distances(spark, sf), "d_raw", "place")
+    found = fit.target_scale(_distances(spark, sf), "d_raw", "place")
     return found.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in found.dtypes))
 
 
-def universe_endpoints(spark, sf):
+def endpoint_counts(spark, sf):
     return audit.endpoint_counts(universe_pairs(spark, sf))
 
 
 def pair_unrank(spark, sf):
-    """Every 9973rd pair id to its episodes and back."""
+    """The first queue's pair ids to their episodes and back."""
     index = pairs.PairIndex.of(_ranges(spark, sf), GAP)
-    shared = spark.sparkContext.broadcast(index)
-    found = pairs.unrank_pairs(spark.range(0, index.total, 9973).withColumnRenamed("id", "pair_id"), index)
-    back = F.udf(lambda *a: shared.value.rank(*a), "bigint")
-    far = (F.col("s1") < F.col("s2")) | (F.col("a2") - F.col("a1") >= GAP)
-    return found.select("pair_id", back("s1", "a1", "s2", "a2").alias("back"), far.alias("eligible"))
+    found = pairs.unrank_pairs(stretch(spark, _order(index), 0, min(QUEUE_PAIRS, index.total)), index)
+    return pairs.rank_pairs(found, index).withColumnRenamed("rank", "back")
 
 
 def pair_batches(spark, sf):
-    """The first queue of the seeded order, with both futures and their distance."""
+    """The first queue of the seeded order, with both histories, both futures and their distance."""
     index = pairs.PairIndex.of(_ranges(spark, sf), GAP)
-    stream = PairStream(spark, pairs.Traversal(index.total, "events", "all", SEED), min(4096, index.total), 32)
-    queue = stream.next_queue()
-    chosen = pairs.unrank_pairs(queue, index).join(queue, "pair_id")
-    episodes = runs.futures(views.ticks(spark, sf), HORIZON, HISTORY).select("session", "anchor", "y")
-    return pairs.materialise(chosen, episodes).select("pair_id", "place", "batch", "s1", "a1", "s2", "a2", S.future_path_rms(F.col("left"), F.col("right")).alias("d_raw"))
+    stream = PairStream(spark, _order(index), min(QUEUE_PAIRS, index.total), 32)
+    found = stream.episodes(stream.next_queue(), index, views.ticks(spark, sf), "mid", HISTORY, HORIZON)
+    return found.select(
+        "pair_id", "place", "batch", "s1", "a1", "s2", "a2",
+        *(F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), 4).alias(f"{x}_total") for x in ("x1", "x2")),
+        *(F.round(F.col(y)[HORIZON - 1], 6).alias(f"{y}_last") for y in ("y1", "y2")),
+        F.round("d_raw", 6).alias("d_raw"),
+    )
 
 
 # --- states ---
@@ -396,16 +372,16 @@ def store_diff(spark, sf):
 
 
 def split_overlap(spark, sf):
-    """Days that appear in two adjacent sessions."""
-    rows = views.table(spark, sf, "events").select((F.col("user_id") % 8).alias("session"), F.to_date("ts").alias("day"))
-    return audit.split_overlap(rows.filter("session = 0").select("day"), rows.filter("session = 1").select("day")).select(F.col("day").cast("string").alias("day"))
+    """Days that appear in a session and in the next one."""
+    rows = views.table(spark, sf, "events").select((F.col("user_id") % 8).alias("session"), F.to_date("ts").cast("string").alias("day"))
+    return audit.split_overlap(rows, rows.withColumn("session", F.col("session") - 1))
 
 
 def reconcile(spark, sf):
-    """Customers with orders against listed customers."""
-    listed = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    found = views.table(spark, sf, "orders").select(F.col("o_custkey").alias("key")).distinct()
-    return audit.reconcile(listed, found, ["key"]).groupBy("problem").agg(F.count("*").alias("n"))
+    """Days and users of purchases, as listed, against those of views, as found; listed days may come more than once."""
+    rows = views.table(spark, sf, "events").select(F.to_date("ts").cast("string").alias("day"), F.col("user_id"), "event_type")
+    listed, found = (rows.filter(F.col("event_type") == kind).select("day", "user_id") for kind in ("purchase", "view"))
+    return audit.reconcile(listed, found, ["day", "user_id"]).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 def build_report(spark, sf):
@@ -432,7 +408,7 @@ QUERIES = {
         q_ticks, q_mbo, q_runs, anchor_ranges, anchor_batches, future_paths, pair_universe_counts, range_pair_counts, step_returns, future_span, zero_paths, tod_features,
         clock_regressions, interval_gaps, contiguous_ranges, run_labels, read_rows, read_ranges, stop_scan, job_discovery, session_seeds, action_counts, file_summary, book_asof,
         top_levels, book_summary, replay_events, feature_rows, audit_report, gap_median, reservoir_median, coverage_rows, feature_moments, standardised, sampled_anchors, histories,
-        eligible_pairs, pair_distances, target_scale, endpoint_counts, all_histories, universe_pairs, universe_distances, universe_scale, universe_endpoints, pair_unrank, pair_batches, latent_l2, vq_codes, vq_stats, state_futures, state_samples, forecast_eval,
+        eligible_pairs, pair_distances, target_scale, endpoint_counts, universe_pairs, pair_unrank, pair_batches, latent_l2, vq_codes, vq_stats, state_futures, state_samples, forecast_eval,
         kmeans_codebook, split_summary, store_diff, split_overlap, reconcile, build_report, preflight,
     )
 }

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerloom.operators import book
-from ledgerloom.operators.pairs import Traversal, traverse
+from ledgerloom.functions.scalars import future_path_rms
+from ledgerloom.operators import book, runs
+from ledgerloom.operators.pairs import PairIndex, endpoints, materialise, unrank_pairs
+from ledgerloom.operators.seeded import SeededOrder, stretch
 
 
 def replay_stream(events: DataFrame, depth: int = book.DEPTH) -> DataFrame:
@@ -35,30 +37,47 @@ def replay_stream(events: DataFrame, depth: int = book.DEPTH) -> DataFrame:
 class PairStream:
     """Queues of pair ids in a seeded order, with a state from which another process goes on.
 
-    The counter moves only when a queue has been delivered, so a failed batch skips no pair.
+    The counter moves only when a queue has been delivered, so a failed batch skips no pair. The last queue holds what is
+    left, later ones nothing.
     """
 
-    def __init__(self, spark: SparkSession, traversal: Traversal, queue_pairs: int = 16_384, batch_pairs: int = 32):
+    def __init__(self, spark: SparkSession, order: SeededOrder, queue_pairs: int = 16_384, batch_pairs: int = 32, counter: int = 0):
         if not 1 <= batch_pairs <= queue_pairs:
             raise ValueError("batch_pairs must lie in 1 .. queue_pairs")
-        self.spark, self.traversal, self.queue_pairs, self.batch_pairs = spark, traversal, queue_pairs, batch_pairs
+        if not 0 <= counter <= order.total:
+            raise ValueError("the counter must lie in 0 .. total")
+        self.spark, self.order, self.queue_pairs, self.batch_pairs, self.counter = spark, order, queue_pairs, batch_pairs, counter
+
+    @property
+    def _stop(self) -> int:
+        return min(self.counter + self.queue_pairs, self.order.total)
 
     def next_queue(self) -> DataFrame:
         """(place, pair_id, batch) of the next queue; call delivered() once it has been used."""
-        start = self.traversal.counter
-        stop = min(start + self.queue_pairs, self.traversal.total)
-        if start >= stop:
+        if self.counter >= self.order.total:
             raise StopIteration
-        return traverse(self.spark, self.traversal, start, stop).withColumn("batch", F.floor((F.col("place") - start) / self.batch_pairs))
+        return stretch(self.spark, self.order, self.counter, self._stop).withColumn("batch", F.floor((F.col("place") - self.counter) / self.batch_pairs))
+
+    def episodes(self, queue: DataFrame, index: PairIndex, ticks: DataFrame, value: str, history: int, horizon: int) -> DataFrame:
+        """The queue with both episodes of each pair: s1, a1, s2, a2, histories x1, x2, futures y1, y2, and d_raw."""
+        chosen = unrank_pairs(queue, index).join(queue, "pair_id")
+        futures = runs.futures(ticks, horizon, history).select("session", "anchor", "y")
+        both = runs.histories(ticks, endpoints(chosen), value, history).join(futures, ["session", "anchor"])
+        met = materialise(chosen, both.withColumn("episode", F.struct("x", "y")), "episode")
+        return met.select(
+            "pair_id", "place", "batch", "s1", "a1", "s2", "a2", F.col("left.x").alias("x1"), F.col("right.x").alias("x2"), F.col("left.y").alias("y1"), F.col("right.y").alias("y2"),
+            future_path_rms(F.col("left.y"), F.col("right.y")).alias("d_raw"),
+        )
 
     def delivered(self) -> None:
-        self.traversal.counter = min(self.traversal.counter + self.queue_pairs, self.traversal.total)
+        self.counter = self._stop
 
     def state(self) -> dict:
-        return self.traversal.state() | {"queue_pairs": self.queue_pairs, "batch_pairs": self.batch_pairs}
+        return self.order.state(self.counter) | {"queue_pairs": self.queue_pairs, "batch_pairs": self.batch_pairs}
 
     @classmethod
     def restore(cls, spark: SparkSession, state: dict, queue_pairs: int, batch_pairs: int, **expected) -> PairStream:
         if (state["queue_pairs"], state["batch_pairs"]) != (queue_pairs, batch_pairs):
             raise ValueError("queue and batch sizes must be those of the saved state")
-        return cls(spark, Traversal.restore(state, **expected), queue_pairs, batch_pairs)
+        order, counter = SeededOrder.restore(state, **expected)
+        return cls(spark, order, queue_pairs, batch_pairs, counter)

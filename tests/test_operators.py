@@ -3,12 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import schema
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import audit, book, fit, pairs, runs, states
+from ledgerloom.operators.seeded import SeededOrder
 from ledgerloom.sources import store, views
 from ledgerloom.streaming.replay import PairStream, replay_stream
 
@@ -78,35 +80,75 @@ def test_rank_and_unrank():
         index.unrank(index.total)
 
 
+def test_long_falling_stretches():
+    """Places of within pairs where float square roots alone would be off."""
+    index = pairs.PairIndex({0: [(0, 900_000_000)], 1: [(5, 9)]}, 384)
+    n = 900_000_000 - 384
+    assert index.total == n * (n + 1) // 2 + 4 * 900_000_000
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([rng.integers(0, index.total, 5000), np.arange(400), index.total - 1 - np.arange(400), n * (n + 1) // 2 - 1 - np.arange(400)])
+    s1, a1, s2, a2 = index.pairs(ids)
+    assert (index.ranks(s1, a1, s2, a2) == ids).all() and ((s1 < s2) | (a2 - a1 >= 384)).all()
+    with pytest.raises(ValueError):
+        index.ranks([0], [7], [0], [300])
+    with pytest.raises(ValueError):
+        index.ranks([0], [7], [1], [12])
+
+
+def test_pairs_by_session_are_those_of_the_index(spark):
+    rng = random.Random(12)
+    rows = [(s, k, 40 * k + rng.randint(0, 9), 40 * k + rng.randint(10, 35)) for s in (2, 3, 7, 9) for k in range(5)] + [(8, 0, 4, 5)]
+    ranges = spark.createDataFrame(rows, "session bigint, run bigint, start bigint, stop bigint")
+    index = pairs.PairIndex.of(ranges, 24)
+    ids = spark.range(0, index.total, 7).withColumnRenamed("id", "pair_id")
+    want = sorted(map(tuple, pairs.unrank_pairs(ids, index).collect()))
+    assert len(want) == -(-index.total // 7) and sorted(map(tuple, pairs.unrank_by_session(ids, ranges, 24).collect())) == want
+    ranked = pairs.rank_pairs(pairs.unrank_pairs(ids, index), index)
+    assert ranked.filter("rank <> pair_id").count() == 0
+
+
 @pytest.mark.parametrize("total", [1, 2, 3, 4, 5, 15, 16, 17, 31, 64, 65, 257, 1000])
 @pytest.mark.parametrize("seed", [0, 1, 79])
-def test_traversal_is_a_permutation(total, seed):
-    t = pairs.Traversal(total, "c", "train", seed)
-    assert sorted(t.at(i) for i in range(total)) == list(range(total))
-    half = t.take(total // 2)
-    again = pairs.Traversal.restore(t.state(), corpus="c", split="train", seed=seed)
-    assert half + again.take(total - total // 2) == [t.at(i) for i in range(total)]
-    with pytest.raises(ValueError):
-        again.take(1)
+def test_a_seeded_order_is_a_permutation(total, seed):
+    order = SeededOrder(total, "c", "train", seed)
+    every = order.numbers(np.arange(total))
+    assert sorted(every.tolist()) == list(range(total))
+    assert [int(order.numbers([i])[0]) for i in range(total)] == every.tolist()  # whatever the array holds besides
+    again, counter = SeededOrder.restore(order.state(total // 2), corpus="c", split="train", total=total)
+    assert counter == total // 2 and (again.numbers(np.arange(counter, total)) == every[counter:]).all()
+    with pytest.raises(IndexError):
+        order.numbers([total])
+    for wrong in ({"corpus": "other"}, {"split": "test"}, {"total": total + 1}, {"version": "other"}):
+        with pytest.raises(ValueError):
+            SeededOrder.restore(order.state(0), **wrong)
     with pytest.raises(ValueError):
-        pairs.Traversal.restore(t.state(), corpus="other")
+        SeededOrder(total, "c", "train", -1)
+
+
+def test_a_seeded_order_stays_as_it_was():
+    order = SeededOrder(3_009_889_063, "events", "all", 17)
+    found = order.numbers(np.arange(100_000))
+    assert len(np.unique(found)) == 100_000 and 0 <= found.min() and found.max() < order.total
+    assert abs(found.mean() / order.total - 0.5) < 0.01
+    assert found[:3].tolist() == [146703712, 651012135, 894327722]
 
 
 def test_pair_stream(spark):
-    t = pairs.Traversal(1000, "c", "train", 5)
-    stream = PairStream(spark, t, 300, 32)
+    order = SeededOrder(1000, "c", "train", 5)
+    stream = PairStream(spark, order, 300, 32)
     first = [r["pair_id"] for r in stream.next_queue().orderBy("place").collect()]
     assert first == [r["pair_id"] for r in stream.next_queue().orderBy("place").collect()]  # not delivered yet
     stream.delivered()
-    other = PairStream.restore(spark, stream.state(), 300, 32, corpus="c")
-    rest = []
+    other = PairStream.restore(spark, stream.state(), 300, 32, corpus="c", total=1000)
+    rest, sizes = [], []
     while True:
         try:
             rest += [r["pair_id"] for r in other.next_queue().orderBy("place").collect()]
         except StopIteration:
             break
+        sizes.append(other._stop - other.counter)
         other.delivered()
-    assert sorted(first + rest) == list(range(1000))
+    assert sorted(first + rest) == list(range(1000)) and sizes == [300, 300, 100]  # the last one has what is left
     with pytest.raises(ValueError):
         PairStream.restore(spark, stream.state(), 300, 16)
 
