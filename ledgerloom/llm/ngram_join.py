@@ -33,7 +33,7 @@ SHINGLE = 5
 SMALL = 32
 #: Members of a larger tile that meet others in one task, and entries of a tile from which it's dealt to cells.
 BLOCK, CELL = 512, 1024
-#: Members of a tile from which its members are joined apart from those of others.
+#: Rows of a tile, set or component from which they are joined apart from those of others.
 HOT_TILE = 1024
 #: In larger ones a member gets neighbours only by the first so many of its common shingles.
 LEADS = 3
@@ -539,10 +539,10 @@ def _near_classes(docs: DataFrame) -> DataFrame:
         links = links.unionByName(cut(linked(more, sets), "more_links"))
         roots = components(links.toDF("u", "v"))
     n = ids.count()
-    rooted = cut(join_hot(ids, roots.toDF("sid", "root"), ["sid"], "left", rows=n).select("doc_id", "n", F.coalesce("root", "sid").alias("root")), "rooted")
+    rooted = cut(join_hot(ids, roots.toDF("sid", "root"), ["sid"], "left", least=HOT_TILE, rows=n).select("doc_id", "n", F.coalesce("root", "sid").alias("root")), "rooted")
     full = rooted.filter("n > 0")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = join_hot(full, least, ["root"], rows=n).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    joined = join_hot(full, least, ["root"], least=HOT_TILE, rows=n).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rooted.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.unionByName(empty)
 
