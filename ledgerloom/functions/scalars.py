@@ -96,10 +96,9 @@ def prepared(x: Column, tau: float, depth: int = DEPTH) -> list[tuple[str, Colum
     out = []
     for i, name in enumerate(feature_names(depth)):
         value = x[i]
-        if name.endswith(("_quantity", "_orders")):
-            value = F.log1p(value)
-        elif name == "time_delta_seconds":
-            value = F.log1p(value / F.lit(tau))
+        if name.endswith(("_quantity", "_orders")) or name == "time_delta_seconds":
+            value = require(value >= 0, value, "double", f"{name} is negative")
+            value = F.log1p(value / F.lit(tau) if name == "time_delta_seconds" else value)
         side_level = i // 4 * 4 + 3
         valid = x[side_level] > 0 if i < 8 * depth and not name.endswith("_present") else F.lit(True)
         out.append((name, value, valid))
@@ -171,3 +170,15 @@ def finite_array(values: Column, size: int | None = None) -> Column:
 
 def require(ok: Column, value: Column, kind: str, message: str) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast(kind))
+
+
+def codes_in_range(code: Column, states: int) -> Column:
+    """The code, if it is a whole number in 0 .. states - 1; else the query fails."""
+    return require(code.isNotNull() & (code.cast("double") == F.floor(code.cast("double"))) & (code >= 0) & (code < states), code.cast("int"), "int", "a code out of range")
+
+
+def plain_count(value, name: str) -> int:
+    """A positive whole number that isn't a boolean; else a ValueError."""
+    if isinstance(value, bool) or not isinstance(value, int) or value < 1:
+        raise ValueError(f"{name} must be a positive whole number, not {value!r}")
+    return value

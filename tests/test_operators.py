@@ -326,7 +326,11 @@ def test_trainer_learns_a_projection(spark):
     pair = rng.integers(0, 200, (400, 2))
     pair = pair[pair[:, 0] != pair[:, 1]]
     target = np.abs(x[pair[:, 0], 0] - x[pair[:, 1], 0])
-    w, _, losses = states.train_projection(spark, x, pair, target, 1, steps=400, rate=0.02)
+    w, _, losses, state, curve = states.train_projection(spark, x, pair, target, 1, steps=400, rate=0.02, probe=(x, pair[:50], target[:50]), every=100)
+    assert [t for t, _ in curve] == [100, 200, 300, 400] and curve[-1][1] < curve[0][1]
+    half = states.train_projection(spark, x, pair, target, 1, steps=150, rate=0.02)[3]
+    rest = states.train_projection(spark, x, pair, target, 1, steps=250, rate=0.02, state=half)
+    assert np.allclose(rest[0], w) and rest[3]["step"] == state["step"] == 400
     assert losses[-1] < 0.2 * losses[0]
 
 
