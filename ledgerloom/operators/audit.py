@@ -7,18 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalars import seconds_since_midnight, time_of_day_pair
+from ledgerloom.operators import runs
+from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.schema import DEPTH, feature_names
+from ledgerloom.session import written
+from ledgerloom.sources.views import numbered
 
 
 #: What expectations() checks.
 NAMES = (
     "width", "not_finite", "mid_not_positive", "clock_runs_back", "initial_flag", "initial_feature", "time_delta", "mid_return", "presence_flag",
     "best_absent", "absent_not_zero", "present_empty", "orders_not_whole", "hole", "order_of_prices", "not_around_mid", "spread", "time_of_day",
+    "row_before", "source_row_order", "not_on_date",
 )
 
 
-def expectations(depth: int = DEPTH, tolerance: float = 1e-9) -> dict[str, Column]:
-    """name -> whether a row of observations (with x, before_ts, before_mid, initial) breaks the expectation."""
+def expectations(depth: int = DEPTH, tolerance: float = 1e-9, clock: str = "simulation", date: Column | None = None) -> dict[str, Column]:
+    """name -> whether a row of neighbours() breaks the expectation; date: the day on which a row's clock must lie."""
     x = {name: F.col("x")[i] for i, name in enumerate(feature_names(depth))}
     sides = ("bid", "ask")
     present = [x[f"{s}_{k}_present"] for s in sides for k in range(1, depth + 1)]
@@ -28,6 +34,8 @@ def expectations(depth: int = DEPTH, tolerance: float = 1e-9) -> dict[str, Colum
         return reduce(lambda a, b: a | b, conditions)
 
     first = F.col("before_ts").isNull()
+    sin, cos = time_of_day_pair(seconds_since_midnight(F.col("ts"), clock))
+    carried = F.col("before_ts").eqNullSafe(F.col("_ts")) & F.col("before_mid").eqNullSafe(F.col("_mid"))
     return {
         "width": F.size("x") != 8 * depth + 6,
         "not_finite": ~F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))),
@@ -49,15 +57,36 @@ def expectations(depth: int = DEPTH, tolerance: float = 1e-9) -> dict[str, Colum
         ),
         "not_around_mid": (x["bid_1_price_ticks"] > 0) | (x["ask_1_price_ticks"] < 0) | (F.abs(x["bid_1_price_ticks"] + x["ask_1_price_ticks"]) > tolerance),
         "spread": F.abs(x["spread_ticks"] - (x["ask_1_price_ticks"] - x["bid_1_price_ticks"])) > tolerance,
-        "time_of_day": F.abs(x["tod_sin"] * x["tod_sin"] + x["tod_cos"] * x["tod_cos"] - 1) > tolerance,
+        "time_of_day": (F.abs(x["tod_sin"] - sin) > tolerance) | (F.abs(x["tod_cos"] - cos) > tolerance),
+        "row_before": ~carried,
+        "source_row_order": F.col("source_row") <= F.col("_source_row"),
+        "not_on_date": F.lit(False) if date is None else F.to_date(F.timestamp_micros(F.call_function("div", F.col("ts"), F.lit(1000)))) != date,
     }
 
 
-def audit(observations: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """One row a session: rows, segments, clock range, source rows in order, and how many rows break each expectation."""
-    w = Window.partitionBy("session", "segment").orderBy("source_row")
-    rows = observations.drop("before_ts", "before_mid").withColumn("before_ts", F.lag("ts").over(w)).withColumn("before_mid", F.lag("mid").over(w))
-    broken = expectations(depth)
+#: Source rows of a session that are numbered in one task.
+SPAN = 1 << 18
+
+
+def as_ticks(observations: DataFrame) -> DataFrame:
+    """Observations as rows of runs: row_id from 0 in each session by source row, run (the segment), brk."""
+    rows = numbered(observations, "session", ["source_row"], F.call_function("div", F.col("source_row"), F.lit(SPAN)))
+    return rows.withColumn("run", F.col("segment")).withColumn("brk", F.lit(False))
+
+
+def neighbours(observations: DataFrame) -> DataFrame:
+    """Observations with `_ts`, `_mid` and `_source_row` of the row before in the segment, looked up in blocks of rows."""
+    w = Window.partitionBy("session", "run", "_block").orderBy("row_id")
+    return runs.blocks(as_ticks(observations), 1, 0).withColumns({f"_{c}": F.lag(c).over(w) for c in ("ts", "mid", "source_row")}).filter("_own")
+
+
+def audit(observations: DataFrame, depth: int = DEPTH, clock: str = "simulation", date: Column | None = None) -> DataFrame:
+    """One row a session: rows, segments, clock range, and how many rows break each expectation.
+
+    The row before, which each row carries, is checked against the rows themselves; what depends on it is checked with it.
+    """
+    rows = neighbours(observations)
+    broken = expectations(depth, clock=clock, date=date)
     return rows.groupBy("session").agg(
         F.count("*").alias("rows"),
         F.countDistinct("segment").alias("segments"),
@@ -67,6 +96,51 @@ def audit(observations: DataFrame, depth: int = DEPTH) -> DataFrame:
     )
 
 
+def audit_summary(observations: DataFrame, horizon: int, depth: int = DEPTH) -> DataFrame:
+    """One row a session: rows, segments, longest segment, futures, their seconds, unchanged share, absent levels, constant features."""
+    rows = written(as_ticks(observations), "ticks")
+    lengths = rows.groupBy("session", "run").agg(F.count("*").alias("n")).groupBy("session").agg(F.count("*").alias("segments"), F.max("n").alias("longest"), F.sum("n").alias("rows"))
+    spans = runs.future_spans(rows, horizon, F.col("ts")).groupBy("session").agg(F.count("*").alias("futures"), F.min("seconds").alias("least_seconds"), F.max("seconds").alias("most_seconds"))
+    zero = runs.zero_paths(rows, horizon).groupBy("session").agg(F.avg(F.col("unchanged").cast("int")).alias("unchanged"))
+    names = feature_names(depth)
+    present = [i for i, n in enumerate(names) if n.endswith("_present")]
+    ends = rows.groupBy("session").agg(
+        F.avg(1 - sum((F.col("x")[i] for i in present), F.lit(0.0)) / len(present)).alias("absent"),
+        *(f(F.col("x")[i]).alias(f"_{k}{i}") for i in range(len(names)) for k, f in (("lo", F.min), ("hi", F.max))),
+    )
+    constant = sum(((F.col(f"_lo{i}") == F.col(f"_hi{i}")).cast("int") for i in range(len(names))), F.lit(0))
+    out = lengths
+    for other in (spans, zero, ends.select("session", "absent", constant.cast("int").alias("constant"))):
+        out = out.join(other, "session", "left")
+    return out.withColumn("futures", F.coalesce("futures", F.lit(0)))
+
+
+def duration_quantiles(observations: DataFrame, horizon: int, marks: tuple[float, ...] = (0.0, 0.5, 0.95, 1.0)) -> DataFrame:
+    """what, q, value: exact quantiles of segment lengths (rows) and of future durations (seconds) over all sessions."""
+    rows = written(as_ticks(observations), "ticks")
+    lengths = rows.groupBy("session", "run").agg(F.count("*").alias("n"))
+    spans = runs.future_spans(rows, horizon, F.col("ts"))
+    found = [(what, q, v) for what, df, c in (("segment_rows", lengths, "n"), ("future_seconds", spans, "seconds")) for q, v in zip(marks, exact_quantiles(df, F.col(c), list(marks))[1], strict=True)]
+    return observations.sparkSession.createDataFrame(found, "what string, q double, value double")
+
+
+def corpus_problems(sessions: DataFrame, least: int = 7) -> DataFrame:
+    """problem, n: fewer than `least` sessions, a file digest or a seed that two sessions share, more than one configuration.
+
+    sessions: session, sha256, seed, config; one row a session.
+    """
+    counts = sessions.agg(
+        F.count("*").alias("sessions"), (F.count("*") - F.countDistinct("sha256")).alias("digests"), (F.count("*") - F.countDistinct("seed")).alias("seeds"), F.countDistinct("config").alias("configs")
+    )
+    problems = F.array(
+        F.when(F.col("sessions") < least, F.struct(F.lit("too few sessions").alias("problem"), F.col("sessions").alias("n"))),
+        F.when(F.col("digests") > 0, F.struct(F.lit("shared digests").alias("problem"), F.col("digests").alias("n"))),
+        F.when(F.col("seeds") > 0, F.struct(F.lit("shared seeds").alias("problem"), F.col("seeds").alias("n"))),
+        F.when(F.col("configs") > 1, F.struct(F.lit("several configurations").alias("problem"), F.col("configs").alias("n"))),
+    )
+    return counts.select(F.explode(F.array_compact(problems)).alias("p")).select("p.*")
+
+
 def refuse_broken(report: DataFrame, depth: int = DEPTH) -> None:
     """Raises if a session is empty or breaks an expectation."""
     names = NAMES
@@ -116,13 +190,16 @@ def reconcile(listed: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame
 
 
 def build_report(df: DataFrame, day: Column, rows: Column) -> DataFrame:
-    """By month and weekday (1 is Sunday): days, rows, extremes, share of all rows; month 'all' for every month."""
+    """By month and weekday (1 is Sunday): days, rows, extremes, median, share of all rows; month 'all' for every month.
+
+    ratio: a day's mean rows over those of all days, so that of weekday 1 says how Sundays compare.
+    """
     daily = df.groupBy(day.alias("day")).agg(F.sum(rows).alias("rows"))
     tagged = daily.withColumn("month", F.date_format("day", "yyyy-MM")).withColumn("weekday", F.dayofweek("day"))
-    cube = tagged.rollup("month", "weekday").agg(F.count("*").alias("days"), F.sum("rows").alias("total"), F.min("rows").alias("least"), F.max("rows").alias("most"), F.avg("rows").alias("mean"))
-    all_rows = tagged.agg(F.sum("rows").alias("all"))
+    cube = tagged.rollup("month", "weekday").agg(F.count("*").alias("days"), F.sum("rows").alias("total"), F.min("rows").alias("least"), F.max("rows").alias("most"), F.avg("rows").alias("mean"), F.median("rows").alias("median"))
+    all_rows = tagged.agg(F.sum("rows").alias("all"), F.avg("rows").alias("all_mean"))  # a row a day
     found = cube.crossJoin(all_rows)  # one row
-    return found.select(F.coalesce("month", F.lit("all")).alias("month"), F.coalesce("weekday", F.lit(0)).alias("weekday"), "days", "total", "least", "most", "mean", (100 * F.col("total") / F.col("all")).alias("share"))
+    return found.select(F.coalesce("month", F.lit("all")).alias("month"), F.coalesce("weekday", F.lit(0)).alias("weekday"), "days", "total", "least", "most", "mean", "median", (100 * F.col("total") / F.col("all")).alias("share"), (F.col("mean") / F.col("all_mean")).alias("ratio"))
 
 
 def file_summary(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,3 +217,15 @@ def endpoint_counts(pairs: DataFrame) -> DataFrame:
     own = (F.col("s1") == F.col("s2")).cast("int")
     both = pairs.select(F.col("s1").alias("session"), own.alias("own")).unionByName(pairs.select(F.col("s2").alias("session"), F.lit(0).alias("own")))
     return both.groupBy("session").agg(F.count("*").alias("endpoints"), F.sum("own").alias("same_session_pairs"))
+
+
+def stream_coverage(pairs: DataFrame, distance: str = "d_raw") -> DataFrame:
+    """One row: pairs, pairs within a session, sessions seen, least and most endpoints of a session, sum of distances."""
+    ends = endpoint_counts(pairs).agg(F.count("*").alias("sessions"), F.min("endpoints").alias("least_endpoints"), F.max("endpoints").alias("most_endpoints"))
+    total = pairs.agg(F.count("*").alias("pairs"), F.sum((F.col("s1") == F.col("s2")).cast("int")).alias("same_session_pairs"), F.sum(distance).alias("distance_sum"))
+    return total.crossJoin(ends)  # one row beside one row
+
+
+def totals(df: DataFrame, by: str, *amounts: str) -> DataFrame:
+    """by, n and the sums of amounts (costs, bytes) of each group and, with a null group, of all."""
+    return df.rollup(by).agg(F.count("*").alias("n"), *(F.sum(a).alias(a) for a in amounts))

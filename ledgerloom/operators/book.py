@@ -15,7 +15,7 @@ from ledgerloom.schema import DEPTH, LEVELS
 REPLAYED = f"session bigint, source_row bigint, ts bigint, segment bigint, initial boolean, mid double, bids {LEVELS}, asks {LEVELS}, n_bids int, n_asks int, before_mid double, before_ts bigint"
 MUTATING = ("A", "C", "M", "R")
 #: Rows between checks of the incremental levels against the orders.
-CHECK_EVERY = 69_420
+CHECK_EVERY = 1 << 16
 
 
 class ReplayError(ValueError):
@@ -31,11 +31,15 @@ class Side:
     def add(self, price: float, qty: float, orders: int) -> None:
         level = self.levels.get(price)
         if level is None:
+            if orders < 0:
+                raise ReplayError(f"an order leaves a level that isn't there: {price}")
             insort(self.prices, price)
             self.levels[price] = [qty, orders]
             return
         level[0] += qty
         level[1] += orders
+        if level[1] < 0 or level[1] > 0 and level[0] < -1e-9:
+            raise ReplayError(f"less than nothing is left at {price}")
         if level[1] == 0:
             del self.levels[price]
             self.prices.pop(bisect_left(self.prices, price))
@@ -56,8 +60,8 @@ class Timeline:
     nonpositive mid break the run. mode 'extract' emits the snapshot too. need_clear: the log must begin with a clear.
     """
 
-    def __init__(self, mode: str = "replay", need_clear: bool = False, stop_ns: int | None = None, depth: int = DEPTH):
-        self.mode, self.need_clear, self.stop_ns, self.depth = mode, need_clear, stop_ns, depth
+    def __init__(self, mode: str = "replay", need_clear: bool = False, stop_ns: int | None = None, depth: int = DEPTH, check_every: int = CHECK_EVERY):
+        self.mode, self.need_clear, self.stop_ns, self.depth, self.check_every = mode, need_clear, stop_ns, depth, check_every
         self.orders: dict[int, tuple[str, float, float]] = {}
         self.sides = {"BUY": Side(True), "SELL": Side(False)}
         self.segment, self.fresh, self.clock, self.rows, self.started, self.open, self.stopped = 0, True, None, 0, False, False, False
@@ -111,7 +115,7 @@ class Timeline:
         if not is_last:
             return None
         self.rows += 1
-        if self.rows % CHECK_EVERY == 0:
+        if self.rows % self.check_every == 0:
             self.check()
         if is_snapshot and self.mode == "replay":
             return None
@@ -222,6 +226,16 @@ def observations(replayed: DataFrame, tick: float = 0.25, clock: str = "simulati
     return replayed.withColumn("x", x)
 
 
+def replay_metrics(events: DataFrame, observed: DataFrame) -> DataFrame:
+    """One row a session: records, completed events, actions, emitted rows, segments, most levels of a side, clock range."""
+    action = [F.sum((F.col("action") == a).cast("int")).alias(f"n_{a.lower()}") for a in "ACMR"]
+    read = events.groupBy("session").agg(F.count("*").alias("records"), F.sum(F.col("is_last").cast("int")).alias("completed"), *action)
+    out = observed.groupBy("session").agg(
+        F.count("*").alias("rows"), F.countDistinct("segment").alias("segments"), F.max(F.greatest("n_bids", "n_asks")).alias("most_levels"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    return read.join(out, "session", "left").fillna(0, ["rows", "segments", "most_levels"])
+
+
 def dump(line: Timeline) -> bytes:
     return pickle.dumps(line)
 

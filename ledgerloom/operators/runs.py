@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import log_path
 from ledgerloom.schema import HISTORY, HORIZON
+from ledgerloom.sources.views import numbered
 
 RUN = ["session", "run"]
 #: Rows of a run that one task's window takes, besides those at its edges.
@@ -30,11 +31,19 @@ def _order():
     return Window.partitionBy(*RUN, "_block").orderBy("row_id")
 
 
-def run_ids(df: DataFrame, session: str, order: str, label: str) -> DataFrame:
-    """`run`: a number that changes wherever the label differs from the row before, even where it came up earlier."""
-    w = Window.partitionBy(session).orderBy(order)
-    change = (~F.col(label).eqNullSafe(F.lag(label).over(w))).cast("int")
-    return df.withColumn("_change", F.when(F.lag(F.lit(1)).over(w).isNull(), 0).otherwise(change)).withColumn("run", F.sum("_change").over(w)).drop("_change")
+def run_ids(df: DataFrame, session: str, order: str, label: str, bucket: Column) -> DataFrame:
+    """`run`: a number that changes wherever the label differs from the row before, even where it came up earlier.
+
+    bucket: ascends with the order; rows are ordered within a bucket, and what crosses buckets is one row of each.
+    """
+    own = Window.partitionBy(session, "_bucket").orderBy(order)
+    rows = df.withColumn("_bucket", bucket).withColumn("_here", F.struct(F.col(label).alias("label"))).withColumn("_back", F.lag("_here").over(own))
+    ends = rows.groupBy(session, "_bucket").agg(F.max_by("_here", order).alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(session).orderBy("_bucket"))).select(session, "_bucket", "_before")
+    rows = rows.join(ends, [session, "_bucket"]).withColumn("_back", F.coalesce("_back", "_before"))
+    rows = rows.withColumn("_change", F.when(F.col("_back").isNull(), 0).otherwise((~F.col("_here").eqNullSafe(F.col("_back"))).cast("int")))
+    found = numbered(rows, session, [order], F.col("_bucket"), run=F.col("_change"))
+    return found.select(*df.columns, "run")
 
 
 def runs(ticks: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ def futures(ticks: DataFrame, horizon: int = HORIZON, history: int = 1) -> DataF
     return rows.select(*RUN, F.col("row_id").alias("anchor"), log_path(F.col("later"), F.col("mid")).alias("y"))
 
 
-def histories(ticks: DataFrame, wanted: DataFrame, value: str, history: int = HISTORY) -> DataFrame:
+def histories(ticks: DataFrame, wanted: DataFrame, value: str, history: int = HISTORY, kind: str = "array<double>") -> DataFrame:
     """`x`, the `history` values up to each wanted (session, anchor), from frames over blocks of runs, by an equi-join.
 
     Fails the query on an anchor without a whole history in its run.
@@ -87,7 +96,7 @@ def histories(ticks: DataFrame, wanted: DataFrame, value: str, history: int = HI
     rows = rows.withColumn("x", F.collect_list(value).over(_order().rowsBetween(1 - history, 0))).filter("_own").select("session", F.col("row_id").alias("anchor"), "x")
     got = wanted.select("session", "anchor").distinct().join(rows, ["session", "anchor"], "left")
     refused = F.raise_error(F.format_string("session %s: no whole history at anchor %s", F.col("session").cast("string"), F.col("anchor").cast("string")))
-    return got.withColumn("x", F.when(F.size("x") == history, F.col("x")).otherwise(refused.cast("array<double>")))
+    return got.withColumn("x", F.when(F.size("x") == history, F.col("x")).otherwise(refused.cast(kind)))
 
 
 def step_returns(ticks: DataFrame) -> DataFrame:
@@ -116,10 +125,14 @@ def zero_paths(ticks: DataFrame, horizon: int) -> DataFrame:
     return rows.filter(F.col("_own") & F.col("unchanged").isNotNull()).select("session", "row_id", "unchanged")
 
 
-def clock_regressions(df: DataFrame, session: str, order: str, ns: str) -> DataFrame:
-    """Rows whose clock lies before that of the row before."""
-    back = F.lag(ns).over(Window.partitionBy(session).orderBy(order))
-    return df.withColumn("before_ns", back).filter(F.col(ns) < F.col("before_ns"))
+def clock_regressions(df: DataFrame, session: str, order: str, ns: str, bucket: Column) -> DataFrame:
+    """Rows whose clock lies before that of the row before; bucket: ascends with the order, as in run_ids."""
+    own = Window.partitionBy(session, "_bucket").orderBy(order)
+    rows = df.withColumn("_bucket", bucket).withColumn("_back", F.lag(ns).over(own))
+    ends = rows.groupBy(session, "_bucket").agg(F.max_by(ns, order).alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(session).orderBy("_bucket"))).select(session, "_bucket", "_before")
+    rows = rows.join(ends, [session, "_bucket"]).withColumn("before_ns", F.coalesce("_back", "_before"))
+    return rows.filter(F.col(ns) < F.col("before_ns")).select(*df.columns, "before_ns")
 
 
 def interval_gaps(df: DataFrame, start: str, stop: str, keys: list[str]) -> DataFrame:

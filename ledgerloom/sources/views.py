@@ -74,11 +74,18 @@ def mbo(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of a generated session that are summed in one task.
+SPAN = 1 << 16
+
+
 def generate_sessions(spark: SparkSession, sessions: int, rows: int, seed: int = 0) -> DataFrame:
-    """A deterministic stand-in for a market simulator: tick rows whose price is a hash-driven walk, any partitioning."""
-    base = spark.range(sessions * rows).select((F.col("id") / rows).cast("bigint").alias("session"), (F.col("id") % rows).alias("row_id"))
-    step = F.pmod(F.xxhash64("session", "row_id", F.lit(seed)), F.lit(3)) - 1
-    walk = F.sum(step).over(Window.partitionBy("session").orderBy("row_id"))
-    gap = F.pmod(F.xxhash64("row_id", "session", F.lit(seed + 1)), F.lit(1_000_000)) + 1
-    clock = F.sum(gap).over(Window.partitionBy("session").orderBy("row_id"))
-    return base.select("session", "row_id", clock.alias("ts"), (F.lit(10_000) + walk).cast("double").alias("mid"), F.lit(0).alias("segment"))
+    """A deterministic stand-in for a market simulator: tick rows whose price is a hash-driven walk, any partitioning.
+
+    Prices and clocks are running sums of hashes, made in spans of rows, so a long session isn't one task's.
+    """
+    at = F.col("id")
+    base = spark.range(sessions * rows).select(F.call_function("div", at, F.lit(rows)).alias("session"), (at % rows).alias("place"))
+    step = F.pmod(F.xxhash64("session", "place", F.lit(seed)), F.lit(3)) - 1
+    gap = F.pmod(F.xxhash64("place", "session", F.lit(seed + 1)), F.lit(1_000_000)) + 1
+    found = numbered(base, "session", ["place"], F.call_function("div", F.col("place"), F.lit(SPAN)), walk=step, ts=gap)
+    return found.select("session", "row_id", "ts", (F.lit(10_000) + F.col("walk")).cast("double").alias("mid"), F.lit(0).alias("segment"))

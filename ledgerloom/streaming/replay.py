@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerloom.functions.scalars import future_path_rms
+from ledgerloom.functions.scalars import future_path_rms, plain_count
 from ledgerloom.operators import book, runs
 from ledgerloom.operators.pairs import PairIndex, endpoints, materialise, unrank_pairs
 from ledgerloom.operators.seeded import SeededOrder, stretch
+from ledgerloom.sources.store import freeze
 
 
 def replay_stream(events: DataFrame, depth: int = book.DEPTH) -> DataFrame:
@@ -81,3 +83,10 @@ class PairStream:
             raise ValueError("queue and batch sizes must be those of the saved state")
         order, counter = SeededOrder.restore(state, **expected)
         return cls(spark, order, queue_pairs, batch_pairs, counter)
+
+
+def validation_sample(spark: SparkSession, order: SeededOrder, pairs: int, path: str) -> DataFrame:
+    """(place, pair_id) of the first pairs of a held-out split's order, frozen as a document; another one there is an error."""
+    ids = order.numbers(np.arange(min(plain_count(pairs, "pairs"), order.total)))
+    kept = freeze(spark, path, order.state(0) | {"pair_count": len(ids), "pair_ids": ids.tolist()})
+    return spark.createDataFrame(list(enumerate(kept["pair_ids"])), "place bigint, pair_id bigint")
