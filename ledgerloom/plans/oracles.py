@@ -104,6 +104,24 @@ obs AS (
     lag((bid + ask) / 2) OVER w AS before_mid, lag(ts) OVER w AS before_ts
   FROM marked WHERE ok WINDOW w AS (PARTITION BY session, segment ORDER BY ev)
 )"""
+FEATURES = """,
+ranked AS (SELECT l.*, row_number() OVER (PARTITION BY session, ev, side ORDER BY CASE WHEN side = 'BUY' THEN -price ELSE price END) AS k FROM level l),
+g AS (
+  SELECT o.session, o.source_row, CASE WHEN s.side = 'BUY' THEN 'bid_' ELSE 'ask_' END || n.k || '_' AS f, (r.price - o.mid) / 0.25::DOUBLE AS p, ln(1 + r.qty) AS q, ln(1 + CAST(r.orders AS DOUBLE)) AS c,
+    CASE WHEN r.price IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS here
+  FROM obs o CROSS JOIN (VALUES ('BUY'), ('SELL')) s(side) CROSS JOIN (SELECT unnest(range(1, 11)) AS k) n LEFT JOIN ranked r ON r.session = o.session AND r.ev = o.source_row AND r.side = s.side AND r.k = n.k
+),
+u AS (
+  SELECT session, source_row, f || 'price_ticks' AS feature, p AS v FROM g UNION ALL SELECT session, source_row, f || 'quantity', q FROM g UNION ALL SELECT session, source_row, f || 'orders', c FROM g
+  UNION ALL SELECT session, source_row, f || 'present', here FROM g UNION ALL SELECT session, source_row, 'spread_ticks', (ask - bid) / 0.25::DOUBLE FROM obs
+  UNION ALL SELECT session, source_row, 'time_delta_seconds', ln(1 + coalesce((ts - before_ts) / 1e9, 0)) FROM obs UNION ALL SELECT session, source_row, 'mid_return', coalesce(ln(mid / before_mid), 0) FROM obs
+  UNION ALL SELECT session, source_row, 'initial', CASE WHEN before_ts IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM obs
+  UNION ALL SELECT session, source_row, 'tod_sin', sin(2 * pi() * ((ts % 86400000000000) / 1e9) / 86400) FROM obs UNION ALL SELECT session, source_row, 'tod_cos', cos(2 * pi() * ((ts % 86400000000000) / 1e9) / 86400) FROM obs
+)"""
+KEPT = r"feature LIKE '%\_present' ESCAPE '\' OR feature = 'initial' OR feature LIKE 'tod%'"
+MOMENTS = f"""WITH {MBO}{BOOKS}{FEATURES},
+m AS (SELECT feature, count(v) AS n, avg(v) AS a, stddev_pop(v) AS sd, {KEPT} AS kept FROM u GROUP BY 1)
+SELECT feature, n, round(CASE WHEN kept OR n = 0 THEN 0 ELSE a END, 5) AS mean, round(CASE WHEN kept OR n = 0 OR coalesce(sd, 0) <= 1e-12 THEN 1 ELSE sd END, 5) AS scale, n = 0 OR coalesce(sd, 0) <= 1e-12 AS constant FROM m"""
 CODES = """
 parts AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
 book AS (SELECT label AS code, pos, avg(CAST(v AS DOUBLE)) AS p FROM parts GROUP BY ALL),
@@ -165,10 +183,11 @@ SELECT session, CAST(sum(CAST(c AS INT)) AS BIGINT) AS last_run, count(*) AS row
     "stop_scan": f"""WITH {MBO}, s AS (SELECT session, min(source_row) AS stop_row FROM mbo WHERE is_last AND ts >= (SELECT min(ts) FROM mbo) + 1800000000000 GROUP BY 1)
 SELECT session, count(*) AS n, max(source_row) AS last FROM mbo LEFT JOIN s USING (session) WHERE stop_row IS NULL OR source_row < stop_row GROUP BY 1""",
     "job_discovery": f"""WITH f(path) AS (VALUES {", ".join(f"('{x}')" for x in _FILES)}),
-n AS (SELECT path, regexp_extract(path, {_NAME}, 1) AS day, regexp_extract(path, {_NAME}, 2) AS kind, coalesce(try_cast(regexp_extract(path, {_NAME}, 4) AS INT), 0) AS part FROM f),
+n AS (SELECT path, regexp_extract(path, {_NAME}, 1) AS day, regexp_extract(path, {_NAME}, 2) AS kind, regexp_extract(path, {_NAME}, 3) AS instrument, coalesce(try_cast(regexp_extract(path, {_NAME}, 4) AS INT), 0) AS part FROM f),
+i AS (SELECT day, count(DISTINCT instrument) AS m FROM n WHERE kind IN ('mbo', 'definition') GROUP BY 1),
 l AS (SELECT day, string_agg(path, '|' ORDER BY part, path) AS parts FROM n WHERE day <> '' AND kind = 'mbo' GROUP BY 1),
 d AS (SELECT day, min(path) AS definition, count(*) AS k FROM n WHERE day <> '' AND kind = 'definition' GROUP BY 1)
-SELECT day, parts, definition, CASE WHEN parts IS NULL THEN 'no log' WHEN definition IS NULL THEN 'no definition' WHEN k > 1 THEN 'several definitions' END AS problem FROM l FULL JOIN d USING (day)""",
+SELECT day, parts, definition, CASE WHEN parts IS NULL THEN 'no log' WHEN definition IS NULL THEN 'no definition' WHEN k > 1 THEN 'several definitions' WHEN m > 1 THEN 'several instruments' END AS problem FROM l FULL JOIN d USING (day) LEFT JOIN i USING (day)""",
     "session_seeds": """WITH d AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS date FROM events)
 SELECT date, CAST(('0x' || substr(sha256('17:' || date), 1, 8)) AS BIGINT) % 4294967295 AS seed FROM d""",
     "action_counts": f"WITH {MBO} SELECT action, count(*) AS n FROM mbo GROUP BY 1",
@@ -191,20 +210,58 @@ SELECT o.session, o.source_row, 86 AS width, round((bid - mid) / 0.25, 6) AS bid
   round(coalesce((ts - before_ts) / 1e9, 0), 6) AS time_delta_seconds, round(coalesce(ln(mid / before_mid), 0), 6) AS mid_return, CASE WHEN before_ts IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS initial,
   round(total + (ask - bid) / 0.25, 4) AS total
 FROM obs o JOIN top USING (session, source_row)""",
-    "feature_moments": f"""WITH {MBO}{BOOKS},
-ranked AS (SELECT l.*, row_number() OVER (PARTITION BY session, ev, side ORDER BY CASE WHEN side = 'BUY' THEN -price ELSE price END) AS k FROM level l),
-g AS (
-  SELECT CASE WHEN s.side = 'BUY' THEN 'bid_' ELSE 'ask_' END || n.k || '_' AS f, (r.price - o.mid) / 0.25::DOUBLE AS p, ln(1 + r.qty) AS q, ln(1 + CAST(r.orders AS DOUBLE)) AS c, CASE WHEN r.price IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS here
-  FROM obs o CROSS JOIN (VALUES ('BUY'), ('SELL')) s(side) CROSS JOIN (SELECT unnest(range(1, 11)) AS k) n LEFT JOIN ranked r ON r.session = o.session AND r.ev = o.source_row AND r.side = s.side AND r.k = n.k
-),
-u AS (
-  SELECT f || 'price_ticks' AS feature, p AS v FROM g UNION ALL SELECT f || 'quantity', q FROM g UNION ALL SELECT f || 'orders', c FROM g UNION ALL SELECT f || 'present', here FROM g
-  UNION ALL SELECT 'spread_ticks', (ask - bid) / 0.25::DOUBLE FROM obs UNION ALL SELECT 'time_delta_seconds', ln(1 + coalesce((ts - before_ts) / 1e9, 0)) FROM obs
-  UNION ALL SELECT 'mid_return', coalesce(ln(mid / before_mid), 0) FROM obs UNION ALL SELECT 'initial', CASE WHEN before_ts IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM obs
-  UNION ALL SELECT 'tod_sin', sin(2 * pi() * ((ts % 86400000000000) / 1e9) / 86400) FROM obs UNION ALL SELECT 'tod_cos', cos(2 * pi() * ((ts % 86400000000000) / 1e9) / 86400) FROM obs
-),
-m AS (SELECT feature, count(v) AS n, avg(v) AS a, stddev_pop(v) AS sd, feature LIKE '%\\_present' ESCAPE '\\' OR feature = 'initial' OR feature LIKE 'tod%' AS kept FROM u GROUP BY 1)
-SELECT feature, n, round(CASE WHEN kept OR n = 0 THEN 0 ELSE a END, 5) AS mean, round(CASE WHEN kept OR n = 0 OR coalesce(sd, 0) <= 1e-12 THEN 1 ELSE sd END, 5) AS scale, n = 0 OR coalesce(sd, 0) <= 1e-12 AS constant FROM m""",
+    "feature_moments": MOMENTS,
+    "resumed_moments": MOMENTS,
+    "standardised": f"""WITH {MBO}{BOOKS}{FEATURES},
+m AS (SELECT feature, count(v) AS n, avg(v) AS a, stddev_pop(v) AS sd, {KEPT} AS kept FROM u WHERE session < 5 GROUP BY 1),
+s AS (SELECT feature, CASE WHEN kept OR n = 0 THEN 0 ELSE a END AS mean, CASE WHEN kept OR n = 0 OR coalesce(sd, 0) <= 1e-12 THEN 1 ELSE sd END AS scale FROM m),
+z AS (SELECT session, source_row, feature, coalesce((v - mean) / scale, 0) AS z FROM u JOIN s USING (feature))
+SELECT session, source_row, round(sum(z), 3) AS z_total, """
+    + ", ".join(f"round(max(z) FILTER (feature = '{n}'), 5) AS z_{n}" for n in ("bid_1_quantity", "ask_1_price_ticks", "spread_ticks", "mid_return"))
+    + " FROM z GROUP BY ALL",
+    "audit_summary": f"""WITH {MBO}{BOOKS}{FEATURES},
+l AS (SELECT session, segment, count(*) AS n FROM obs GROUP BY ALL), a AS (SELECT session, count(*) AS segments, max(n) AS longest, CAST(sum(n) AS BIGINT) AS rows FROM l GROUP BY 1),
+later AS (SELECT session, (lead(ts, 8) OVER w - ts) / 1e9 AS sec, mid, list(mid) OVER (w ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS l FROM obs WINDOW w AS (PARTITION BY session, segment ORDER BY source_row)),
+futures_of AS (SELECT session, count(sec) AS futures, min(sec) AS least_seconds, max(sec) AS most_seconds, avg(CASE WHEN len(list_filter(l, lambda x: x <> mid)) = 0 THEN 1.0 ELSE 0.0 END) AS unchanged FROM later WHERE sec IS NOT NULL GROUP BY 1),
+p AS (SELECT session, avg(1 - (least(n_bids, 10) + least(n_asks, 10)) / 20) AS absent FROM obs GROUP BY 1),
+r AS (SELECT session, feature, min(coalesce(v, 0)) AS lo, max(coalesce(v, 0)) AS hi FROM u GROUP BY ALL), c AS (SELECT session, CAST(count(*) FILTER (lo = hi) AS INT) AS constant FROM r GROUP BY 1)
+SELECT session, segments, longest, rows, coalesce(futures, 0) AS futures, round(least_seconds, 6) AS least_seconds, round(most_seconds, 6) AS most_seconds, round(unchanged, 6) AS unchanged, round(absent, 6) AS absent, constant
+FROM a LEFT JOIN futures_of USING (session) JOIN p USING (session) JOIN c USING (session)""",
+    "duration_quantiles": f"""WITH {MBO}{BOOKS}, l AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM obs GROUP BY session, segment),
+f AS (SELECT (lead(ts, 8) OVER (PARTITION BY session, segment ORDER BY source_row) - ts) / 1e9 AS v FROM obs)
+"""
+    + " UNION ALL ".join(f"SELECT '{what}' AS what, {q}::DOUBLE AS q, round(quantile_cont(v, {q}), 6) AS value FROM {t}" for what, t in (("segment_rows", "l"), ("future_seconds", "f")) for q in (0.0, 0.5, 0.95, 1.0)),
+    "replay_metrics": f"""WITH {MBO}{BOOKS}, r AS (SELECT session, count(*) AS records, CAST(sum(CAST(is_last AS INT)) AS BIGINT) AS completed, """
+    + ", ".join(f"CAST(sum(CAST(action = '{x}' AS INT)) AS BIGINT) AS n_{x.lower()}" for x in "ACMR")
+    + """ FROM mbo GROUP BY 1),
+o AS (SELECT session, count(*) AS rows, count(DISTINCT segment) AS segments, CAST(max(greatest(n_bids, n_asks)) AS INT) AS most_levels FROM obs GROUP BY 1)
+SELECT r.*, coalesce(rows, 0) AS rows, coalesce(segments, 0) AS segments, coalesce(most_levels, 0) AS most_levels FROM r LEFT JOIN o USING (session)""",
+    "stored_ticks": f"WITH {TICKS} SELECT session, run AS segment, count(*) AS n, round(sum(mid), 4) AS total FROM ticks GROUP BY ALL",
+    "archived_returns": f"""WITH {TICKS}, p AS (SELECT session, mid, row_number() OVER (PARTITION BY session ORDER BY row_id) - 1 AS row_id FROM ticks WHERE mid > 0)
+SELECT session, row_id, round(coalesce(ln(mid / lag(mid) OVER (PARTITION BY session ORDER BY row_id)), 0), 6) AS y FROM p""",
+    "merged_records": f"""WITH {MBO}, d0 AS (SELECT session, source_row AS sequence, size FROM mbo WHERE action IN ('A', 'C', 'M') AND source_row % 10 <> 3),
+d AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE sequence % 20 = 5 UNION ALL SELECT session, source_row, size FROM mbo WHERE action = 'N' AND source_row % 4 = 0),
+o AS (SELECT session, sequence, count(*) AS n, any_value(size) AS size FROM d GROUP BY ALL),
+b AS (SELECT m.session, o.size, CASE WHEN n > 1 THEN 'repeated' WHEN action = 'N' AND n IS NOT NULL THEN 'unexpected delta' WHEN action <> 'N' AND n IS NULL THEN 'no delta' END AS problem FROM mbo m LEFT JOIN o ON o.session = m.session AND o.sequence = m.source_row)
+SELECT session, problem, count(*) AS n, round(sum(size), 3) AS size FROM b GROUP BY ALL""",
+    "corpus_problems": """WITH s AS (SELECT CAST(ts AS DATE) AS day, min(user_id) AS seed, min(event_id) AS e, month(CAST(ts AS DATE)) AS config FROM events GROUP BY 1),
+c AS (SELECT count(*) AS sessions, count(*) - count(DISTINCT e) AS digests, count(*) - count(DISTINCT seed) AS seeds, count(DISTINCT config) AS configs FROM s)
+SELECT 'too few sessions' AS problem, sessions AS n FROM c WHERE sessions < 7 UNION ALL SELECT 'shared digests', digests FROM c WHERE digests > 0
+UNION ALL SELECT 'shared seeds', seeds FROM c WHERE seeds > 0 UNION ALL SELECT 'several configurations', configs FROM c WHERE configs > 1""",
+    "byte_totals": "SELECT event_type, count(*) AS n, CAST(sum(strlen(props)) AS BIGINT) AS bytes, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ROLLUP (event_type)",
+    "distinct_endpoints": f"WITH {TICKS}{_drawn(100_000)} SELECT s1 AS session, a1 AS anchor FROM drawn UNION SELECT s2, a2 FROM drawn",
+    "stream_coverage": f"""WITH {TICKS}{FUTURES}{DISTANCES}, e AS (SELECT s, count(*) AS n FROM (SELECT s1 AS s FROM drawn UNION ALL SELECT s2 FROM drawn) GROUP BY 1)
+SELECT count(*) AS pairs, count(*) FILTER (s1 = s2) AS same_session_pairs, round(sum(d_raw), 3) AS distance_sum, (SELECT count(*) FROM e) AS sessions, (SELECT min(n) FROM e) AS least_endpoints, (SELECT max(n) FROM e) AS most_endpoints FROM d""",
+    "valid_anchors": f"""WITH {TICKS}, p AS (SELECT *, CASE WHEN row_id < 500 THEN 'first' ELSE 'rest' END AS part FROM good),
+r AS (SELECT session, run, part, min(row_id) + 15 AS start, max(row_id) - 7 AS stop FROM p GROUP BY ALL)
+SELECT session, run, unnest(range(start, stop)) AS anchor, part FROM r WHERE stop > start""",
+    "lloyd_step": f"""WITH {CODES}, m AS (SELECT c.code, p.pos, count(*) AS n, avg(CAST(p.v AS DOUBLE)) AS v FROM coded c JOIN parts p USING (vec_id) GROUP BY ALL)
+SELECT b.code, coalesce(m.n, 0) AS n, CAST(b.pos - 1 AS INT) AS at, round(coalesce(m.v, b.p), 6) AS v FROM book b LEFT JOIN m USING (code, pos)""",
+    "library_neighbours": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT q.vec_id AS query, l.vec_id AS nearest, sqrt(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - l.v[i]) * (q.v[i] - l.v[i])))) AS distance FROM e q JOIN e l ON q.vec_id % 20 = 0 AND l.vec_id % 20 <> 0)
+SELECT query, nearest, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, nearest) = 1""",
+    "distance_errors": f"""WITH {CODES}, e AS (SELECT c.distance AS p, t.distance AS t FROM coded c JOIN dist t ON t.vec_id = c.vec_id AND t.label = t.code)
+SELECT count(*) AS pairs, round(avg((p - t) * (p - t)), 6) AS mse, round(sqrt(avg((p - t) * (p - t))), 6) AS rmse, round(avg(abs(p - t)), 6) AS mae, round(avg(p), 6) AS mean_predicted, round(avg(t), 6) AS mean_target FROM e""",
     "audit_report": f"WITH {MBO}{BOOKS} SELECT session, count(*) AS rows, count(DISTINCT segment) AS segments, min(ts) AS first_ts, max(ts) AS last_ts, " + ", ".join(f"0::BIGINT AS {n}" for n in NAMES) + " FROM obs GROUP BY 1",
     "gap_median": f"""WITH {TICKS}, g AS (SELECT (us - lag(us) OVER (PARTITION BY session, run ORDER BY row_id)) / 1e6 AS gap FROM good)
 SELECT round(median(gap), 6) AS median, count(*) AS n FROM g WHERE gap > 0""",
@@ -257,8 +314,8 @@ SELECT a.session, a.day FROM d a JOIN d b ON b.session = a.session + 1 AND b.day
 f AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id, 1 AS m FROM events WHERE event_type = 'view')
 SELECT CASE WHEN m IS NULL THEN 'missing' WHEN n IS NULL THEN 'unexpected' ELSE 'duplicate' END AS problem, count(*) AS n FROM l FULL JOIN f USING (day, user_id) WHERE m IS NULL OR n IS NULL OR n > 1 GROUP BY 1""",
     "build_report": """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS rows FROM events GROUP BY 1), t AS (SELECT *, strftime(day, '%Y-%m') AS month, CAST(dayofweek(day) + 1 AS INT) AS weekday FROM d)
-SELECT coalesce(month, 'all') AS month, coalesce(weekday, 0) AS weekday, count(*) AS days, CAST(sum(rows) AS BIGINT) AS total, min(rows) AS least, max(rows) AS most, round(avg(rows), 4) AS mean,
-  round(100 * sum(rows) / (SELECT sum(rows) FROM d), 4) AS share FROM t GROUP BY ROLLUP (month, weekday)""",
+SELECT coalesce(month, 'all') AS month, coalesce(weekday, 0) AS weekday, count(*) AS days, CAST(sum(rows) AS BIGINT) AS total, min(rows) AS least, max(rows) AS most, round(avg(rows), 4) AS mean, round(median(rows), 4) AS median,
+  round(100 * sum(rows) / (SELECT sum(rows) FROM d), 4) AS share, round(avg(rows) / (SELECT avg(rows) FROM d), 4) AS ratio FROM t GROUP BY ROLLUP (month, weekday)""",
     "preflight": f"""WITH l(session, source_row, action, is_snapshot, is_last) AS (VALUES {_values((s, r[0], f"'{r[1]}'", r[2], r[3]) for s, log in _LOGS.items() for r in log)}),
 f AS (SELECT session, arg_min(action, source_row) AS first, arg_min(is_snapshot, source_row) AS first_snapshot, min(source_row) FILTER (is_snapshot AND is_last) AS done, min(source_row) FILTER (action IN ('A', 'M', 'C') AND NOT is_snapshot) AS live FROM l GROUP BY 1)
 SELECT session, first = 'R' AND (first_snapshot OR (done IS NOT NULL AND (live IS NULL OR done < live))) AS ok FROM f""",

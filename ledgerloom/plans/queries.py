@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import audit, book, book_blocks, fit, pairs, runs, states
 from ledgerloom.operators.seeded import SeededOrder, stretch
+from ledgerloom.session import shared_folder, written
 from ledgerloom.sources import store, views
 from ledgerloom.streaming.replay import PairStream
 
@@ -103,7 +106,7 @@ def tod_features(spark, sf):
 
 def clock_regressions(spark, sf):
     rows = views.table(spark, sf, "events").select((F.col("user_id") % 8).alias("session"), "event_id", views.nanoseconds().alias("ns"), F.struct("value", "event_id").alias("by_value"))
-    return runs.clock_regressions(rows, "session", "by_value", "ns").groupBy("session").agg(F.count("*").alias("n"))
+    return runs.clock_regressions(rows, "session", "by_value", "ns", F.floor("by_value.value")).groupBy("session").agg(F.count("*").alias("n"))
 
 
 def interval_gaps(spark, sf):
@@ -121,7 +124,7 @@ def contiguous_ranges(spark, sf):
 def run_labels(spark, sf):
     """Runs of equal event types in each session."""
     rows = views.table(spark, sf, "events").select((F.col("user_id") % 8).alias("session"), "event_id", "event_type")
-    found = runs.run_ids(rows, "session", "event_id", "event_type")
+    found = runs.run_ids(rows, "session", "event_id", "event_type", F.call_function("div", F.col("event_id"), F.lit(4096)))
     return found.groupBy("session").agg(F.max("run").alias("last_run"), F.count("*").alias("rows"))
 
 
@@ -151,6 +154,7 @@ _FILES = [
     "x/glbx-20250102.mbo.ES.10.dbn.zst", "x/glbx-20250102.mbo.ES.2.dbn.zst", "x/glbx-20250102.definition.ES.dbn.zst",
     "x/glbx-20250103.mbo.ES.dbn.zst", "x/glbx-20250104.definition.ES.dbn.zst", "x/glbx-20250105.mbo.ES.dbn.zst",
     "x/glbx-20250105.definition.ES.1.dbn.zst", "x/glbx-20250105.definition.ES.2.dbn.zst", "x/notes.txt",
+    "x/glbx-20250106.mbo.ES.dbn.zst", "x/glbx-20250106.definition.NQ.dbn.zst",
 ]
 
 
@@ -225,10 +229,21 @@ def feature_moments(spark, sf):
     return fit.feature_moments(_observed(spark, sf), 1.0).select("feature", "n", F.round("mean", 5).alias("mean"), F.round("scale", 5).alias("scale"), "constant")
 
 
+def resumed_moments(spark, sf):
+    """feature_moments() by a fit over half the sessions that another call goes on with."""
+    rows, folder = written(_observed(spark, sf).select("session", "x"), "observed"), f"{shared_folder(spark)}/ledgerloom/fit-{uuid.uuid4().hex}"
+    fit.resumable_moments(rows.filter("session < 4"), 1.0, "session", folder, {"table": "events"})
+    found = fit.resumable_moments(rows, 1.0, "session", folder, {"table": "events"}, at_once=2)
+    return found.select("feature", "n", F.round("mean", 5).alias("mean"), F.round("scale", 5).alias("scale"), "constant")
+
+
 def standardised(spark, sf):
-    rows = _observed(spark, sf)
+    """The sum of each row's standardised features, and some of them, by moments of the training sessions."""
+    rows = written(_observed(spark, sf).select("session", "source_row", "x"), "observed")
     moments = fit.feature_moments(rows.filter(_split("session") == "train"), 1.0)
-    return fit.standardise(rows, moments, 1.0).select("session", "source_row", F.transform("z", lambda v: F.round(v, 6)).alias("z"))
+    names = {"z_bid_1_quantity": 1, "z_ask_1_price_ticks": 40, "z_spread_ticks": 80, "z_mid_return": 82}
+    total = F.aggregate("z", F.lit(0.0), lambda s, v: s + v)
+    return fit.standardise(rows, moments, 1.0).select("session", "source_row", F.round(total, 3).alias("z_total"), *(F.round(F.col("z")[i], 5).alias(n) for n, i in names.items()))
 
 
 def _sampled(spark, sf):
@@ -281,6 +296,21 @@ def endpoint_counts(spark, sf):
     return audit.endpoint_counts(universe_pairs(spark, sf))
 
 
+def distinct_endpoints(spark, sf):
+    return pairs.endpoints(universe_pairs(spark, sf))
+
+
+def stream_coverage(spark, sf):
+    return audit.stream_coverage(_distances(spark, sf)).withColumn("distance_sum", F.round("distance_sum", 3))
+
+
+def valid_anchors(spark, sf):
+    """Anchors whose episodes lie in the first 500 rows of their session, and in the others."""
+    rows = views.ticks(spark, sf)
+    first, rest = runs.valid_anchors(rows, HISTORY, HORIZON, 0, 500), runs.valid_anchors(rows, HISTORY, HORIZON, 500)
+    return first.withColumn("part", F.lit("first")).unionByName(rest.withColumn("part", F.lit("rest")))
+
+
 def pair_unrank(spark, sf):
     """The first queue's pair ids to their episodes and back."""
     index = pairs.PairIndex.of(_ranges(spark, sf), GAP)
@@ -353,8 +383,29 @@ def forecast_eval(spark, sf):
 
 
 def kmeans_codebook(spark, sf):
+    """Ten prototypes by mini-batches, frozen."""
     rows = views.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return states.fit_codebook(rows, "embedding", 10, SEED, 2, "vec_id")
+    return states.MiniBatchCodebook(10, 256, seed=SEED).fit(rows, "embedding", "vec_id").freeze(spark)
+
+
+def lloyd_step(spark, sf):
+    found = states.lloyd_step(views.table(spark, sf, "embeddings"), _codebook(spark, sf), "embedding")
+    return found.select("code", "n", F.posexplode("prototype").alias("at", "v")).withColumn("v", F.round("v", 6))
+
+
+def library_neighbours(spark, sf):
+    """Of every twentieth vector the nearest one among the others."""
+    rows = views.table(spark, sf, "embeddings")
+    found = states.nearest_in_library(rows.filter("vec_id % 20 = 0"), rows.filter("vec_id % 20 <> 0"), "vec_id", "embedding")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+def distance_errors(spark, sf):
+    """The nearest prototype's distance as a prediction of that to the own group's."""
+    own = states.decode(views.table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("code"), "embedding"), _codebook(spark, sf))
+    target = own.select("vec_id", S.latent_l2(F.col("embedding"), F.col("prototype")).alias("target"))
+    found = states.distance_errors(_coded(spark, sf).join(target, "vec_id"), "distance", "target")
+    return found.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in found.dtypes))
 
 
 # --- governance ---
@@ -386,7 +437,58 @@ def reconcile(spark, sf):
 
 def build_report(spark, sf):
     found = audit.build_report(views.table(spark, sf, "events"), F.to_date("ts"), F.lit(1))
-    return found.select("month", "weekday", "days", "total", "least", "most", F.round("mean", 4).alias("mean"), F.round("share", 4).alias("share"))
+    return found.select("month", "weekday", "days", "total", "least", "most", *(F.round(c, 4).alias(c) for c in ("mean", "median", "share", "ratio")))
+
+
+def byte_totals(spark, sf):
+    rows = views.table(spark, sf, "events").select("event_type", F.octet_length("props").alias("bytes"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    return audit.totals(rows, "event_type", "bytes", "cents")
+
+
+def audit_summary(spark, sf):
+    found = audit.audit_summary(_observed(spark, sf), HORIZON)
+    return found.select(*(F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in found.dtypes))
+
+
+def duration_quantiles(spark, sf):
+    return audit.duration_quantiles(_observed(spark, sf), HORIZON).withColumn("value", F.round("value", 6))
+
+
+def replay_metrics(spark, sf):
+    return book.replay_metrics(views.mbo(spark, sf), _replayed(spark, sf)).drop("first_ts", "last_ts")
+
+
+def stored_ticks(spark, sf):
+    """The ticks' store, opened with every digest verified, by session and segment."""
+    path = f"{shared_folder(spark)}/ledgerloom/store-{uuid.uuid4().hex}"
+    store.write_store(views.ticks(spark, sf).select("session", "row_id", F.col("run").alias("segment"), "mid"), path, 4096)
+    return store.open_store(spark, path, ["session", "segment", "mid"], verify=True).groupBy("session", "segment").agg(F.count("*").alias("n"), F.round(F.sum("mid"), 4).alias("total"))
+
+
+def archived_returns(spark, sf):
+    path = f"{shared_folder(spark)}/ledgerloom/archive-{uuid.uuid4().hex}"
+    store.write_archive(views.ticks(spark, sf).filter("mid > 0").drop("run", "brk").transform(_dense).select("session", "row_id", F.lit(0).alias("segment"), "mid"), path)
+    return store.read_archive(spark, path, ["session", "row_id", "y"]).withColumn("y", F.round("y", 6))
+
+
+def _dense(rows):
+    """Row ids without gaps."""
+    return views.numbered(rows.withColumnRenamed("row_id", "place"), "session", ["place"], F.call_function("div", F.col("place"), F.lit(4096)))
+
+
+def merged_records(spark, sf):
+    """Records against deltas that lack one in ten, repeat one in twenty and have some of fills."""
+    raw = views.mbo(spark, sf).withColumnRenamed("source_row", "sequence")
+    deltas = raw.filter(F.col("action").isin("A", "C", "M") & (F.col("sequence") % 10 != 3)).select("session", "sequence", "price", "size")
+    more = deltas.filter("sequence % 20 = 5").unionByName(raw.filter("action = 'N' and sequence % 4 = 0").select("session", "sequence", "price", "size"))
+    found = store.merge_records(raw.select("session", "sequence", "action", "order_id"), deltas.unionByName(more))
+    return found.groupBy("session", "problem").agg(F.count("*").alias("n"), F.round(F.sum("delta.size"), 3).alias("size"))
+
+
+def corpus_problems(spark, sf):
+    """Sessions as files: a digest and a seed each, which two share if their days' first values are alike."""
+    rows = views.table(spark, sf, "events").groupBy(F.to_date("ts").alias("session")).agg(F.min("user_id").alias("seed"), F.sha2(F.min(F.col("event_id")).cast("string").cast("binary"), 256).alias("sha256"))
+    return audit.corpus_problems(rows.withColumn("config", F.month("session")))
 
 
 def preflight(spark, sf):
@@ -407,8 +509,8 @@ QUERIES = {
     for f in (
         q_ticks, q_mbo, q_runs, anchor_ranges, anchor_batches, future_paths, pair_universe_counts, range_pair_counts, step_returns, future_span, zero_paths, tod_features,
         clock_regressions, interval_gaps, contiguous_ranges, run_labels, read_rows, read_ranges, stop_scan, job_discovery, session_seeds, action_counts, file_summary, book_asof,
-        top_levels, book_summary, replay_events, feature_rows, audit_report, gap_median, reservoir_median, coverage_rows, feature_moments, standardised, sampled_anchors, histories,
-        eligible_pairs, pair_distances, target_scale, endpoint_counts, universe_pairs, pair_unrank, pair_batches, latent_l2, vq_codes, vq_stats, state_futures, state_samples, forecast_eval,
-        kmeans_codebook, split_summary, store_diff, split_overlap, reconcile, build_report, preflight,
+        top_levels, book_summary, replay_events, feature_rows, audit_report, gap_median, reservoir_median, coverage_rows, feature_moments, resumed_moments, standardised, sampled_anchors, histories,
+        eligible_pairs, pair_distances, target_scale, endpoint_counts, universe_pairs, distinct_endpoints, stream_coverage, valid_anchors, pair_unrank, pair_batches, latent_l2, vq_codes, vq_stats, state_futures, state_samples, forecast_eval,
+        kmeans_codebook, lloyd_step, library_neighbours, distance_errors, split_summary, store_diff, split_overlap, reconcile, build_report, byte_totals, audit_summary, duration_quantiles, replay_metrics, stored_ticks, archived_returns, merged_records, corpus_problems, preflight,
     )
 }
