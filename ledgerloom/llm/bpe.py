@@ -6,7 +6,7 @@ on the pattern, which looks at nothing before its match, splits both alike. The
 are put together in order. A text in which some overlap has no common boundary (a run of one character class longer
 than the overlap) is encoded as one piece.
 
-Nulls: a null text is empty (no tokens); a null doc_id is kept. Repeated rows give repeated rows.
+Nulls: a null text is empty (no tokens); a null doc_id is kept. Repeated rows give repeated rows, an empty table none.
 """
 
 from __future__ import annotations
@@ -40,11 +40,6 @@ def codec(path: str, pattern: str):
     return _codecs[path, pattern]
 
 
-def boundaries(pattern, text: str, lo: int, hi: int) -> list[int]:
-    """Starts of pre-tokens in [lo, hi)."""
-    return [m.start() for m in pattern.finditer(text) if lo <= m.start() < hi]
-
-
 def digests(ids, raw: bytes) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
