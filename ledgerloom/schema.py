@@ -22,6 +22,7 @@ STATE_FUTURE_SCHEMA = "code int, step int, n bigint, mean double, var double"
 
 def feature_names(depth: int = DEPTH) -> list[str]:
     """8 * depth + 6 names: levels of either side, then what describes the whole book and its clock."""
+    # Names and their order are the data model's.
     fields = ("price_ticks", "quantity", "orders", "present")
     levels = [f"{side}_{level}_{field}" for side in ("bid", "ask") for level in range(1, depth + 1) for field in fields]
     return [*levels, "spread_ticks", "time_delta_seconds", "mid_return", "initial", "tod_sin", "tod_cos"]
