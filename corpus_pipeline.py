@@ -1,6 +1,9 @@
 """A training corpus from raw documents, stage by stage; each stage works on all that the one before kept.
 
-Stages but the last return the columns of `documents`. A row with a null doc_id goes through the filters like any other.
+Stages but the last return the columns of `documents`, and extra columns as they are. A row with a null doc_id goes through
+the filters like any other. A null or empty text has no language and goes first; very long texts are judged whole. Repeated
+rows stay together until near_duplicates, which keeps one row of a doc_id, the one with the least text. An empty table gives
+an empty one in every stage.
 """
 
 from __future__ import annotations
