@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,53 +18,77 @@ from ledgerloom.session import written
 from ledgerloom.sources.views import numbered
 
 
-#: What expectations() checks.
-NAMES = (
+_NARROW = ["session", "source_row", "segment", "ts", "mid"]
+#: What flags() says of each row, and what audit() checks: these, and the row before that each row carries.
+FLAGS = (
     "width", "not_finite", "mid_not_positive", "clock_runs_back", "initial_flag", "initial_feature", "time_delta", "mid_return", "presence_flag",
-    "best_absent", "absent_not_zero", "present_empty", "orders_not_whole", "hole", "order_of_prices", "not_around_mid", "spread", "time_of_day",
-    "row_before", "source_row_order", "not_on_date",
+    "best_absent", "absent_not_zero", "present_empty", "orders_not_whole", "hole", "order_of_prices", "not_around_mid", "spread", "time_of_day", "not_on_date",
 )
+NAMES = (*FLAGS, "row_before", "source_row_order")
 
 
-def expectations(depth: int = DEPTH, tolerance: float = 1e-9, clock: str = "simulation", date: Column | None = None) -> dict[str, Column]:
-    """name -> whether a row of neighbours() breaks the expectation; date: the day on which a row's clock must lie."""
-    x = {name: F.col("x")[i] for i, name in enumerate(feature_names(depth))}
-    sides = ("bid", "ask")
-    present = [x[f"{s}_{k}_present"] for s in sides for k in range(1, depth + 1)]
-    levels = [(s, k) for s in sides for k in range(1, depth + 1)]
+def _broken(x: np.ndarray, mid: np.ndarray, first: np.ndarray, seconds: np.ndarray, moved: np.ndarray, tod: np.ndarray, depth: int, tolerance: float) -> dict[str, np.ndarray]:
+    """name -> which rows (of the right width) break the expectation; seconds, moved: since the row before, 0 at a first row."""
+    levels = x[:, : 8 * depth].reshape(len(x), 2, depth, 4)  # bids and asks: price in ticks, quantity, orders, presence
+    price, quantity, orders, present = (levels[..., k] for k in range(4))
+    here, best = present == 1, price[:, :, 0]
+    spread, delta, back, initial, sin, cos = x[:, 8 * depth :].T
+    rising = price[:, :, 1:] - price[:, :, :-1]
+    return {
+        "not_finite": ~np.isfinite(x).all(1),
+        "mid_not_positive": ~(mid > 0),
+        "clock_runs_back": seconds < 0,
+        "initial_feature": initial != first,
+        "time_delta": np.abs(delta - seconds) > tolerance,
+        "mid_return": np.abs(back - moved) > tolerance,
+        "presence_flag": ~np.isin(present, (0, 1)).all((1, 2)),
+        "best_absent": ~here[:, :, 0].all(1),
+        "absent_not_zero": ((present == 0) & ((price != 0) | (quantity != 0) | (orders != 0))).any((1, 2)),
+        "present_empty": (here & ((quantity <= 0) | (orders <= 0))).any((1, 2)),
+        "orders_not_whole": (orders != np.floor(orders)).any((1, 2)),
+        "hole": ((present[:, :, :-1] == 0) & here[:, :, 1:]).any((1, 2)),
+        "order_of_prices": (here[:, 0, 1:] & (rising[:, 0] >= 0)).any(1) | (here[:, 1, 1:] & (rising[:, 1] <= 0)).any(1),
+        "not_around_mid": (best[:, 0] > 0) | (best[:, 1] < 0) | (np.abs(best[:, 0] + best[:, 1]) > tolerance),
+        "spread": np.abs(spread - (best[:, 1] - best[:, 0])) > tolerance,
+        "time_of_day": (np.abs(sin - tod[:, 0]) > tolerance) | (np.abs(cos - tod[:, 1]) > tolerance),
+    }
 
-    def some(conditions: list[Column]) -> Column:
-        return reduce(lambda a, b: a | b, conditions)
 
-    first = F.col("before_ts").isNull()
+def flags(observations: DataFrame, depth: int = DEPTH, tolerance: float = 1e-9, clock: str = "simulation", date: Column | None = None) -> DataFrame:
+    """session, source_row, segment, ts, mid, before_ts, before_mid and, for each name of FLAGS, whether the row breaks it.
+
+    Rows are judged by what they say of themselves and of the row before, which they carry, a batch at a time. A row of
+    another width breaks that alone. date: the day on which clocks must lie.
+    """
+    width = 8 * depth + 6
     sin, cos = time_of_day_pair(seconds_since_midnight(F.col("ts"), clock))
-    carried = F.col("before_ts").eqNullSafe(F.col("_ts")) & F.col("before_mid").eqNullSafe(F.col("_mid"))
-    return {
-        "width": F.size("x") != 8 * depth + 6,
-        "not_finite": ~F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))),
-        "mid_not_positive": F.col("mid") <= 0,
-        "clock_runs_back": F.col("ts") < F.col("before_ts"),
-        "initial_flag": F.col("initial") != first,
-        "initial_feature": x["initial"] != first.cast("double"),
-        "time_delta": F.abs(x["time_delta_seconds"] - F.when(first, 0.0).otherwise((F.col("ts") - F.col("before_ts")) / 1e9)) > tolerance,
-        "mid_return": F.abs(x["mid_return"] - F.when(first, 0.0).otherwise(F.log(F.col("mid") / F.col("before_mid")))) > tolerance,
-        "presence_flag": some([(p != 0) & (p != 1) for p in present]),
-        "best_absent": some([x[f"{s}_1_present"] != 1 for s in sides]),
-        "absent_not_zero": some([(x[f"{s}_{k}_present"] == 0) & ((x[f"{s}_{k}_price_ticks"] != 0) | (x[f"{s}_{k}_quantity"] != 0) | (x[f"{s}_{k}_orders"] != 0)) for s, k in levels]),
-        "present_empty": some([(x[f"{s}_{k}_present"] == 1) & ((x[f"{s}_{k}_quantity"] <= 0) | (x[f"{s}_{k}_orders"] <= 0)) for s, k in levels]),
-        "orders_not_whole": some([x[f"{s}_{k}_orders"] != F.floor(x[f"{s}_{k}_orders"]) for s, k in levels]),
-        "hole": some([(x[f"{s}_{k}_present"] == 0) & (x[f"{s}_{k + 1}_present"] == 1) for s in sides for k in range(1, depth)]),
-        "order_of_prices": some(
-            [(x[f"bid_{k + 1}_present"] == 1) & (x[f"bid_{k + 1}_price_ticks"] >= x[f"bid_{k}_price_ticks"]) for k in range(1, depth)]
-            + [(x[f"ask_{k + 1}_present"] == 1) & (x[f"ask_{k + 1}_price_ticks"] <= x[f"ask_{k}_price_ticks"]) for k in range(1, depth)]
-        ),
-        "not_around_mid": (x["bid_1_price_ticks"] > 0) | (x["ask_1_price_ticks"] < 0) | (F.abs(x["bid_1_price_ticks"] + x["ask_1_price_ticks"]) > tolerance),
-        "spread": F.abs(x["spread_ticks"] - (x["ask_1_price_ticks"] - x["bid_1_price_ticks"])) > tolerance,
-        "time_of_day": (F.abs(x["tod_sin"] - sin) > tolerance) | (F.abs(x["tod_cos"] - cos) > tolerance),
-        "row_before": ~carried,
-        "source_row_order": F.col("source_row") <= F.col("_source_row"),
-        "not_on_date": F.lit(False) if date is None else F.to_date(F.timestamp_micros(F.call_function("div", F.col("ts"), F.lit(1000)))) != date,
-    }
+    first = F.col("before_ts").isNull()
+    off = F.lit(False) if date is None else F.coalesce(F.to_date(F.timestamp_micros(F.call_function("div", F.col("ts"), F.lit(1000)))) != date, F.lit(True))
+    wide = observations.select(
+        *_NARROW, "before_ts", "before_mid", "x", first.alias("first"), (F.col("initial") != first).alias("initial_flag"), off.alias("not_on_date"), F.array(sin, cos).alias("tod"),
+        F.when(first, 0.0).otherwise((F.col("ts") - F.col("before_ts")) / 1e9).alias("seconds"), F.when(first, 0.0).otherwise(F.log(F.col("mid") / F.col("before_mid"))).alias("moved"),
+    )
+    kinds = dict(observations.dtypes)
+    kept = [*_NARROW, "before_ts", "before_mid"]
+
+    def judge(batches):
+        for batch in batches:
+            arrays = batch["x"]
+            right = pa.compute.equal(pa.compute.list_value_length(arrays), width).fill_null(False).to_numpy(zero_copy_only=False)
+            found = {name: np.zeros(len(batch), bool) for name in FLAGS}
+            found["width"] = ~right
+            for name in ("initial_flag", "not_on_date"):
+                found[name] = batch[name].to_numpy(zero_copy_only=False).astype(bool)
+            some = batch.filter(pa.array(right))
+            if len(some):
+                x = some["x"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+                tod = some["tod"].flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+                cols = (some[c].to_numpy(zero_copy_only=False).astype(float) for c in ("mid", "first", "seconds", "moved"))
+                for name, bad in _broken(x, *cols, tod, depth, tolerance).items():
+                    found[name][right] = bad
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *(pa.array(found[name]) for name in FLAGS)], names=[*kept, *FLAGS])
+
+    return wide.mapInArrow(judge, ", ".join([*(f"{c} {kinds[c]}" for c in kept), *(f"{n} boolean" for n in FLAGS)]))
 
 
 #: Source rows of a session that are numbered in one task.
@@ -69,7 +96,10 @@ SPAN = 1 << 18
 
 
 def as_ticks(observations: DataFrame) -> DataFrame:
-    """Observations as rows of runs: row_id from 0 in each session by source row, run (the segment), brk."""
+    """Observations as rows of runs: row_id from 0 in each session by source row, run (the segment), brk.
+
+    They are read twice, so what is dear to make (a replay) should be written before.
+    """
     rows = numbered(observations, "session", ["source_row"], F.call_function("div", F.col("source_row"), F.lit(SPAN)))
     return rows.withColumn("run", F.col("segment")).withColumn("brk", F.lit(False))
 
@@ -83,28 +113,30 @@ def neighbours(observations: DataFrame) -> DataFrame:
 def audit(observations: DataFrame, depth: int = DEPTH, clock: str = "simulation", date: Column | None = None) -> DataFrame:
     """One row a session: rows, segments, clock range, and how many rows break each expectation.
 
-    The row before, which each row carries, is checked against the rows themselves; what depends on it is checked with it.
+    What a row says of itself and of the row before, which it carries, is judged row by row and written as flags; then the
+    carried clock and mid are checked against the rows themselves, on narrow columns.
     """
-    rows = neighbours(observations)
-    broken = expectations(depth, clock=clock, date=date)
-    return rows.groupBy("session").agg(
-        F.count("*").alias("rows"),
-        F.countDistinct("segment").alias("segments"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        *(F.sum(F.coalesce(bad, F.lit(False)).cast("int")).alias(name) for name, bad in broken.items()),
+    rows = written(flags(observations, depth, clock=clock, date=date), "flags")
+    own = rows.groupBy("session").agg(
+        F.count("*").alias("rows"), F.countDistinct("segment").alias("segments"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *(F.sum(F.col(name).cast("int")).alias(name) for name in FLAGS)
     )
+    met = neighbours(rows.select(*_NARROW, "before_ts", "before_mid"))
+    carried = F.col("before_ts").eqNullSafe(F.col("_ts")) & F.col("before_mid").eqNullSafe(F.col("_mid"))
+    back = F.coalesce(F.col("source_row") <= F.col("_source_row"), F.lit(False))
+    near = met.groupBy("session").agg(F.sum((~carried).cast("int")).alias("row_before"), F.sum(back.cast("int")).alias("source_row_order"))
+    return own.join(near, "session").select("session", "rows", "segments", "first_ts", "last_ts", *NAMES)
 
 
 def audit_summary(observations: DataFrame, horizon: int, depth: int = DEPTH) -> DataFrame:
     """One row a session: rows, segments, longest segment, futures, their seconds, unchanged share, absent levels, constant features."""
-    rows = written(as_ticks(observations), "ticks")
+    observed = written(observations.select(*_NARROW, "x"), "observed")
+    rows = written(as_ticks(observed.drop("x")), "ticks")
     lengths = rows.groupBy("session", "run").agg(F.count("*").alias("n")).groupBy("session").agg(F.count("*").alias("segments"), F.max("n").alias("longest"), F.sum("n").alias("rows"))
     spans = runs.future_spans(rows, horizon, F.col("ts")).groupBy("session").agg(F.count("*").alias("futures"), F.min("seconds").alias("least_seconds"), F.max("seconds").alias("most_seconds"))
     zero = runs.zero_paths(rows, horizon).groupBy("session").agg(F.avg(F.col("unchanged").cast("int")).alias("unchanged"))
     names = feature_names(depth)
     present = [i for i, n in enumerate(names) if n.endswith("_present")]
-    ends = rows.groupBy("session").agg(
+    ends = observed.groupBy("session").agg(
         F.avg(1 - sum((F.col("x")[i] for i in present), F.lit(0.0)) / len(present)).alias("absent"),
         *(f(F.col("x")[i]).alias(f"_{k}{i}") for i in range(len(names)) for k, f in (("lo", F.min), ("hi", F.max))),
     )
@@ -117,7 +149,7 @@ def audit_summary(observations: DataFrame, horizon: int, depth: int = DEPTH) ->
 
 def duration_quantiles(observations: DataFrame, horizon: int, marks: tuple[float, ...] = (0.0, 0.5, 0.95, 1.0)) -> DataFrame:
     """what, q, value: exact quantiles of segment lengths (rows) and of future durations (seconds) over all sessions."""
-    rows = written(as_ticks(observations), "ticks")
+    rows = written(as_ticks(written(observations.select(*_NARROW), "observed")), "ticks")
     lengths = rows.groupBy("session", "run").agg(F.count("*").alias("n"))
     spans = runs.future_spans(rows, horizon, F.col("ts"))
     found = [(what, q, v) for what, df, c in (("segment_rows", lengths, "n"), ("future_seconds", spans, "seconds")) for q, v in zip(marks, exact_quantiles(df, F.col(c), list(marks))[1], strict=True)]

@@ -34,7 +34,7 @@ def build_batch(observations: DataFrame, history: int, horizon: int, anchors: in
     split's first episode is forecast by the nearest sampled one.
     """
     spark = observations.sparkSession
-    rows = written(audit.as_ticks(observations), "rows")
+    rows = written(audit.as_ticks(written(observations, "observed")), "rows")
     if rows.select("session").distinct().count() != 1:
         raise ValueError("a batch is made of one session")
     n = rows.count()
