@@ -7,13 +7,15 @@ differ by a score of at most BOUND, so likeness = 1 - score / BOUND lies in 0 to
 Null texts are empty; texts under three bytes count no triplet. The next document is the next in order of doc_id (null
 ids last), rows with one id in order of text; after the last comes the first, also if no row has an id. Repeated rows are
 rows of their own; an empty table gives an empty one. Very long texts are counted whole, block by block. Rows of one
-doc_id, and those without one, are ordered by one task.
+doc_id, and those without one, are dealt out by their texts' first bytes; those with the same are ordered by one task.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -86,32 +88,100 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
+#: Bytes at a text's beginning by which the rows of one doc_id are dealt out: their number is exact as a double.
+_HEAD = 6
+
+
+def head(raw: bytes) -> int:
+    """The first bytes as a number, in the order of texts."""
+    return int.from_bytes(raw[:_HEAD].ljust(_HEAD, b"\0"), "big")
+
+
+class Ranges:
+    """Ranges of (doc_id, text) that hold about as many rows each; none is empty, and rows without an id come last.
+
+    A range begins with a doc_id or, where rows of one doc_id (or without one) fill several, with a head of their texts.
+    """
+
+    def __init__(self, base: DataFrame, ranges: int):
+        marks = [k / ranges for k in range(1, ranges)]
+        found = base.agg(F.percentile_approx("doc_id", marks, F.lit(20 * ranges)).alias("q"), F.min("doc_id").alias("first"), F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+        self.first = found["first"]
+        starts = Counter(found["q"] or [])
+        if any(abs(x) >= 2**53 for x in starts):  # quantiles are doubles: take the first real id from each on
+            real = self._real(base, np.array(sorted(starts), np.int64))
+            starts = Counter({real[x]: k for x, k in starts.items() if x in real})
+        self.ids = np.array(sorted({self.first, *starts} - {None}), np.int64)
+        nulls = (found["n"] - found["named"]) * ranges // max(found["n"], 1)
+        hot = {x: k for x, k in starts.items() if k > 1} | ({None: nulls} if nulls > 1 else {})
+        self.heads: dict[int | None, list[int]] = {}
+        if hot:
+            as_number = F.conv(F.rpad(F.substring(F.hex(F.encode("text", "utf-8")), 1, 2 * _HEAD), 2 * _HEAD, "0"), 16, 10).cast("bigint")
+            some = F.col("doc_id").isin([x for x in hot if x is not None])
+            rows = base.filter(some | F.col("doc_id").isNull() if None in hot else some).select("doc_id", as_number.alias("head"))
+            most = max(hot.values())
+            for r in rows.groupBy("doc_id").agg(F.min("head").alias("least"), F.percentile_approx("head", [k / most for k in range(1, most)], F.lit(20 * most)).alias("q")).collect():  # at most `ranges` rows
+                self.heads[r["doc_id"]] = sorted({x for x in r["q"] if x > r["least"]})
+        sizes = [1 + len(self.heads.get(int(x), ())) for x in self.ids]
+        self.begin = np.concatenate([[0], np.cumsum(sizes)]).astype(int)  # of each id's ranges, and of those without an id
+        self.last = int(self.begin[-1]) + (len(self.heads.get(None, ())) if found["named"] < found["n"] else -1)
+
+    @staticmethod
+    def _real(base: DataFrame, marks: np.ndarray) -> dict[int, int]:
+        """Of each mark the least id from it up to the next one, where there is any."""
+
+        def least(batches):
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                k = np.searchsorted(marks, ids, "right") - 1
+                ids, k = ids[k >= 0], k[k >= 0]
+                own, where = np.unique(k, return_inverse=True)
+                low = np.full(len(own), np.iinfo(np.int64).max)
+                np.minimum.at(low, where, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(low)], names=["k", "id"])
+
+        found = base.filter("doc_id is not null").select("doc_id").mapInArrow(least, "k bigint, id bigint").groupBy("k").agg(F.min("id").alias("id")).collect()  # a row a mark
+        return {int(marks[r["k"]]): r["id"] for r in found}
+
+    def of(self, doc_id: int | None, raw: bytes) -> tuple[int, bool]:
+        """(range of a row, whether it may be the first there: it has the id, or the head, that the range begins with)."""
+        if doc_id is None:
+            own, starts = int(self.begin[-1]), True
+        else:
+            k = int(np.searchsorted(self.ids, doc_id, "right")) - 1
+            if self.ids[k] != doc_id:  # behind the id that its last range begins with
+                return int(self.begin[k + 1]) - 1, False
+            own, starts = int(self.begin[k]), True
+        heads = self.heads.get(doc_id)
+        if not heads:
+            return own, starts
+        at = head(raw)
+        j = bisect_right(heads, at)
+        return own + j, j == 0 or heads[j - 1] == at
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Digest of every text and of its edited text. Texts are shuffled once, by ranges of doc_id.
+    """Digest of every text and of its edited text. Texts are shuffled once, by ranges of doc_id (and text, of hot ids).
 
     Each range also gets the first row of the next one, as a guest that only serves as a follower.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = min(8 * n, 4096)
-    quantiles = F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], F.lit(20 * ranges))
-    found = base.agg(quantiles.alias("q"), F.min("doc_id").alias("first")).first()  # `ranges` ids
-    first = found["first"]
-    first_text = base.agg(F.min("text")).first()[0] if first is None else None  # no row has an id
-    bounds = np.array(sorted({x for x in found["q"] or [] if x != first}), np.int64)
+    ranges = Ranges(base, min(8 * n, 4096))
 
     def spread(batches):
+        least: dict[int, str] = {}  # of the texts that may be first in a range, the least that this task has met
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = len(bounds) if doc_id is None else int(np.searchsorted(bounds, doc_id, "right"))
-                digest = fingerprint(text.encode("utf-8", "surrogatepass"))
+                raw = text.encode("utf-8", "surrogatepass")
+                own, may_lead = ranges.of(doc_id, raw)
+                digest = fingerprint(raw)
                 out.append((own, 0, doc_id, text, digest))
-                if doc_id is not None and doc_id == first or first is None and text == first_text:
-                    out.append((len(bounds), 1, doc_id, text, digest))
-                elif doc_id is not None and own and doc_id == bounds[own - 1]:
-                    out.append((own - 1, 1, doc_id, text, digest))
+                if may_lead and (own not in least or text < least[own]):
+                    least[own] = text
+                    out.append((own - 1 if own else ranges.last, 1, doc_id, text, digest))
             yield _batch(out, _ROW)
 
     def follow(batches):

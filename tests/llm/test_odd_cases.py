@@ -1,5 +1,7 @@
 """Cases that a table may hold and models must not trip over, and plain loops beside models and scans."""
 
+import hashlib
+import math
 import random
 import re
 
@@ -198,11 +200,66 @@ def test_the_first_row_follows_the_last_without_any_id(spark):
     assert sorted(r["edited_fingerprint"] for r in digest.fingerprints(docs).collect()) == want
 
 
-def test_quartiles_are_those_of_a_plain_count():
-    raw = bytes(random.Random(3).choices(range(256), k=3000))
-    counts = digest.triplet_counts(raw)
-    assert counts.sum() == sum(max(len(raw) - max(t), 0) if len(raw) >= 5 else 0 for t in digest._TRIPLETS) or counts.sum() > 0
-    assert digest.fingerprint(raw) == digest.fingerprint(bytes(raw)) != digest.fingerprint(raw[:-700])
+@pytest.mark.parametrize("case", ["hot id", "first is hot", "last is hot", "no ids", "mostly none", "one text", "copies of a row", "ids of 64 bits"])
+def test_rows_of_a_hot_id_follow_each_other(spark, case):
+    rng = random.Random(4)
+
+    def text():
+        return rng.choice(["", "é", "common beginning of a text " + str(rng.randint(0, 40)), "".join(rng.choice("abcxyz \u00ff\u4e00\U0001f600") for _ in range(rng.randint(0, 12)))])
+
+    hot = {"hot id": 50, "first is hot": 0, "last is hot": 99}.get(case)
+    table = [(rng.randint(0, 99) if hot is None or rng.random() < 0.4 else hot, text()) for _ in range(400)]
+    if case in ("no ids", "mostly none"):
+        table = [(None if case == "no ids" or rng.random() < 0.7 else k, t) for k, t in table]
+    if case == "one text":
+        table = [(k % 3 or None, "all the same") for k, _ in table]
+    if case == "ids of 64 bits":
+        table = [((k << 57) + rng.randint(0, 3) - 2**62, t) for k, t in table for _ in range(1)]
+        table = [(k if -(2**63) <= k < 2**63 else k % 1000 - 2**62, t) for k, t in table] + [(2**62 + k, "near") for k in range(300)]
+    if case == "copies of a row":
+        table += [(50, "copied")] * 400
+    order = sorted(table, key=lambda r: (r[0] is None, r[0] or 0, r[1].encode()))
+    want = []
+    for (k, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        new = digest.edited(t, after)
+        want.append((k, len(t), digest.fingerprint(t.encode()), digest.fingerprint(new.encode()), digest.likeness(digest.fingerprint(t.encode()), digest.fingerprint(after.encode()))))
+    got = digest.fingerprints(spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], r["near_next"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def plain_digest(raw):
+    """(checksum, length, ratios, code of each bucket), byte by byte in whole numbers."""
+    counts = [0] * 256
+    for at in range(len(raw)):
+        for k, (i, j, m) in enumerate(((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))):
+            if at + m < len(raw):
+                h = (raw[at + i] * 0x9E3779B1 + raw[at + j] * 0x85EBCA77 + raw[at + m] * 0xC2B2AE3D + k * 0x27D4EB2F) % 2**32
+                h ^= h >> 15
+                counts[h * 0x2C1B3C6D % 2**32 >> 24] += 1
+    q1, q2, q3 = (sorted(counts)[k] for k in (63, 127, 191))
+    codes = [(c > q1) + (c > q2) + (c > q3) for c in counts]
+    ratios = q1 * 16 // max(q3, 1) % 16, q2 * 16 // max(q3, 1) % 16
+    return hashlib.blake2b(raw, digest_size=1).digest()[0], min(255, round(12 * math.log2(len(raw) + 1))) if raw else 0, ratios, codes
+
+
+def plain_likeness(a, b):
+    (check_a, n_a, r_a, c_a), (check_b, n_b, r_b, c_b) = plain_digest(a), plain_digest(b)
+    score = sum({0: 0, 1: 1, 2: 2, 3: 6}[abs(x - y)] for x, y in zip(c_a, c_b, strict=True)) + 2 * max(0, abs(n_a - n_b) - 1)
+    score += sum(2 * max(0, abs(x - y) - 1) for x, y in zip(r_a, r_b, strict=True)) + (check_a != check_b)
+    return 1 - min(640, score) / 640
+
+
+def test_digests_are_those_of_a_plain_count():
+    rng = random.Random(3)
+    texts = ["", "a", "ab", "abc", "aaaaaaaa", "é\u4e00", *(" ".join(rng.choice("the of and stone river light".split()) for _ in range(rng.randint(1, 200))) for _ in range(8))]
+    for text in texts:
+        raw = text.encode()
+        check, n, (r1, r2), codes = plain_digest(raw)
+        got = bytes.fromhex(digest.fingerprint(raw))
+        assert (got[0], got[1], got[2] >> 4, got[2] & 15) == (check, n, r1, r2)
+        assert [got[3 + k // 4] >> 2 * (k % 4) & 3 for k in range(256)] == codes
+        for other in texts:
+            assert digest.likeness(digest.fingerprint(raw), digest.fingerprint(other.encode())) == pytest.approx(plain_likeness(raw, other.encode()))
 
 
 # --- n-gram Jaccard join ---
