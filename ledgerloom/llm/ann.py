@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .base import cut
 
 TREES, BITS, SEED = 64, 48, 20240611
-SHARD_ROWS, QUERIES = 8192, 1024
+SHARD_ROWS, QUERIES = 8192, 4096
 SAMPLE, PROBES, TARGET = 8192, 128, 0.95
 SHARES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.6, 1.0)
 
