@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerloom.workers import share_code
 
 #: Most rows and bytes of an Arrow batch: what a Python worker and the JVM's buffers hold at once.
-BATCH_ROWS, BATCH_BYTES = 256, "4m"
+BATCH_ROWS, BATCH_BYTES = 256, "1m"
 
 
 def tune(spark: SparkSession) -> SparkSession:

@@ -43,7 +43,7 @@ COMMON, MOST_COMMON = 32, 1_000_000
 MOST_BROADCAST = 1_000_000
 #: Bits of a set's id, and sets at most whose ids collide.
 ID_BITS, MOST_TWICE = 64, 100_000
-_GATHER = 8_000_000
+_GATHER = 4_000_000
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
