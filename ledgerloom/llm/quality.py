@@ -124,7 +124,8 @@ def evidence(docs: DataFrame, model: QualityModel) -> Column:
     def rate(text: pd.Series) -> pd.Series:
         return pd.Series(shared.value.evidence(text))
 
-    return rate(F.col("text").cast("string"))
+    # said to be nondeterministic, so that no plan makes it twice for a row
+    return rate.asNondeterministic()(F.col("text").cast("string"))
 
 
 def _logit(p: Column) -> Column:
