@@ -8,13 +8,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import HOT_ROWS, Cut, join_hot
+from .base import HOT_ROWS, MOST_HOT, Cut, join_hot
+
+#: Edges of a node from which they stay where they are.
+HOT_EDGES = 128
+
+
+def _hot(both: DataFrame, rows: int) -> DataFrame | None:
+    """u of the nodes that more than HOT_EDGES of the rows meet, and more than the MOST_HOT-th part: MOST_HOT at most."""
+    limit = max(HOT_EDGES, rows // MOST_HOT)
+    if rows <= limit:
+        return None
+    found = both.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("u").toArrow()
+    return both.sparkSession.createDataFrame(found) if len(found) else None  # by Arrow, so no Python worker is started for it
 
 
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return join_hot(both, least, ["u"], rows=2 * rows).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hot = _hot(both, 2 * rows)
+    parts = [(both, False)] if hot is None else [(both.join(F.broadcast(hot), "u", "left_anti"), False), (both.join(F.broadcast(hot), "u", "left_semi"), True)]
+    out = None
+    for part, few in parts:
+        least = part.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        moved = part.join(F.broadcast(least) if few else least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = moved if out is None else out.unionByName(moved)
+    return out
 
 
 def _small_star(edges: DataFrame, rows: int) -> DataFrame:
