@@ -9,8 +9,8 @@ index folder the levels are stored there, and later calls scan their documents a
 are told apart by their bytes; hashes only deal runs to buckets, propose runs that may be equal, and, where no later
 call will ask, leave strings out of the arrays that nothing in the bucket can equal.
 
-Copies of a run that a task meets together are settled there and sent once, so what a bucket gets of a passage grows
-with the number of tasks' batches, not with its copies. Texts and what was found of them meet in streams sorted by home.
+Copies of a run that a task meets together are settled there and sent once, and those of runs that many documents have
+only for ids below all before, so what a bucket gets of a passage grows with the number of tasks, not with its copies. Texts and what was found of them meet in streams sorted by home.
 
 Strings are judged on the input. Nulls: a null text is empty; a document with a null doc_id neither loses bytes nor
 makes others lose any. Rows that share a doc_id don't make each other lose bytes, and each row loses its own text's
@@ -43,6 +43,8 @@ _SEEDS = DEPTH - SEED_BYTES + 1
 _BLOCK, _PLACE = 1 << 18, 20
 #: Bytes of text that a task gathers before it sends its runs, and runs of an index batch.
 _FLUSH, _BATCH_RUNS = 4_000_000, 1 << 14
+#: Documents of one gathering from which a run is remembered for the next ones, and runs that are, at most.
+_MANY, _MOST_SEEN = 8, 100_000
 #: Repeated doc_ids at most that are joined by broadcast; beyond, by a shuffled join.
 MOST_BROADCAST = 1_000_000
 DEDUPED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -148,11 +150,12 @@ _ENTRY = (np.int64, np.int64, np.int32, np.int32, np.uint32, np.uint8, np.uint8)
 _STRETCH = (np.int64, np.int64, np.int32, np.int32)
 
 
-def send(docs: list[tuple[int, int, bytes]], buckets: int):
+def send(docs: list[tuple[int, int, bytes]], buckets: int, seen: dict[bytes, int] | None = None):
     """(bucket, kind, blob) rows for a task's gathered documents (doc_id, tag, bytes).
 
     Equal runs are sent with one text and for the least doc_id alone; as every later document has them from that one,
-    their strings are found here.
+    their strings are found here. seen: the least doc_id of runs that many documents had which the task gathered before;
+    what isn't less isn't sent again.
     """
     docs = sorted(docs)
     raw = b"".join(t for _, _, t in docs)
@@ -168,6 +171,14 @@ def send(docs: list[tuple[int, int, bytes]], buckets: int):
     rep, content = same_runs(text, at, n + DEPTH - 1, h)
     least = np.full(len(rep), _NEVER)
     np.minimum.at(least, content, ids[own])
+    if seen is not None:
+        for c in np.flatnonzero(np.bincount(content) >= _MANY).tolist():
+            key = raw[at[rep[c]] : at[rep[c]] + n[rep[c]] + DEPTH - 1]
+            before = seen.get(key, _NEVER)
+            if len(seen) >= _MOST_SEEN:
+                seen.clear()
+            seen[key] = min(before, int(least[c]))
+            least[c] = seen[key]
     lo = at - starts[own]
     late = np.flatnonzero(ids[own] > least[content])
     if len(late):
@@ -448,15 +459,15 @@ def repeated(docs: DataFrame, homes: int, index: str | None = None) -> DataFrame
         buckets, gen = row[0] or buckets, (row[1] or 0) + 1
 
     def out(batches):
-        held, size = [], 0
+        held, size, seen = [], 0, {}
         for batch in batches:
             for doc, text, tag in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 held.append((doc, tag, text.encode("utf-8", "surrogatepass")))
                 size += len(held[-1][2])
             if size >= _FLUSH:
-                yield from _rows(_SENT, ((k, kind, 0, blob) for k, kind, blob in send(held, buckets)))
+                yield from _rows(_SENT, ((k, kind, 0, blob) for k, kind, blob in send(held, buckets, seen)))
                 held, size = [], 0
-        yield from _rows(_SENT, ((k, kind, 0, blob) for k, kind, blob in send(held, buckets)))
+        yield from _rows(_SENT, ((k, kind, 0, blob) for k, kind, blob in send(held, buckets, seen)))
 
     def scan(batches):
         """One row a home and task, as a shuffle has one block: no more rows than the cluster has pairs of tasks."""

@@ -282,6 +282,23 @@ def test_columns_of_any_name(spark):
     assert suffix_dedup.cut_repeats(wide.limit(0)).count() == 0
 
 
+def test_runs_of_many_documents_are_sent_for_smaller_ids_only(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_FLUSH", 2_000)
+    monkeypatch.setattr(suffix_dedup, "_MANY", 2)
+    rng = random.Random(2)
+    passage = " ".join(f"w{rng.randint(0, 99)}" for _ in range(40))
+    table = [(k, f"{rng.randint(0, 10**6)} {passage[rng.randint(0, 3) :]} {rng.randint(0, 10**6)}") for k in range(300)]
+    rng.shuffle(table)
+    for most in (100_000, 5):
+        monkeypatch.setattr(suffix_dedup, "_MOST_SEEN", most)
+        got = suffix_dedup.deduplicate(spark.createDataFrame(table, "doc_id bigint, text string").repartition(2)).collect()
+        assert sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got), key=str) == removed(table)
+    docs, seen = [(d, 0, t.encode()) for d, t in table], {}
+    rows = [sum(kind == suffix_dedup._RUNS for _, kind, _ in suffix_dedup.send(docs[i : i + 30], 1, seen)) for i in range(0, 300, 30)]
+    sent = [len(suffix_dedup._unpack(blob, suffix_dedup._ENTRY)[0]) for _ in (0,) for i in (0,) for _, kind, blob in suffix_dedup.send([(10**6 + k, 0, passage.encode()) for k in range(9)], 1, seen) if kind == suffix_dedup._RUNS]
+    assert all(r <= 1 for r in rows) and sum(sent) < 9 * 5
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(6)
     long = " ".join(str(rng.randint(0, 10**9)) for _ in range(60_000))  # over two blocks of strings
