@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -23,9 +24,17 @@ def positive_median(df: DataFrame, column: str, few: int = FEW) -> DataFrame:
 
 
 def bottom_k(df: DataFrame, key: str, seed: int, k: int, by: list[str] | None = None) -> DataFrame:
-    """The k rows (of each group) with the least hash priority, ties to the smaller key: a sample that no partitioning changes."""
+    """The k rows (of each group) with the least hash priority, ties to the smaller key: a sample that no partitioning changes.
+
+    Without groups, rows beyond a priority that about k rows lie below, with a wide margin, are left out first, so that
+    the final sort gets little more than k rows however many tasks there are.
+    """
     ranked = df.withColumn("priority", hash_priority(F.col(key), seed))
     if not by:
+        n = df.count()
+        if n > 4 * k:
+            low = ranked.filter(F.col("priority") < F.lit(int((k + 10 * math.sqrt(k) + 100) / n * 2**60)))
+            ranked = low if low.count() >= k else ranked
         return ranked.orderBy("priority", key).limit(k)
     w = Window.partitionBy(*by).orderBy("priority", key)
     return ranked.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k).drop("_place")

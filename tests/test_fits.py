@@ -106,6 +106,15 @@ def test_priorities_are_spread(spark):
     assert spark.range(1).select(S.hash_priority(F.lit(2**62), 1)).first()[0] >= 0
 
 
+def test_a_small_sample_of_many_rows(spark):
+    rows = spark.range(20_000)
+    every = sorted((r["priority"], r["id"]) for r in rows.select("id", S.hash_priority(F.col("id"), 9).alias("priority")).collect())
+    for k in (1, 7, 300):
+        got = fit.bottom_k(rows.repartition(6), "id", 9, k).collect()
+        assert [(r["priority"], r["id"]) for r in got] == every[:k]
+    assert fit.bottom_k(rows.limit(5), "id", 9, 7).count() == 5
+
+
 # --- codebooks ---
 
 
