@@ -47,7 +47,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     kept = Cut(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before, rows = None, kept.df.count()
     for _ in range(most_rounds):
-        large = _large_star(kept.df, rows)
+        large = _large_star(kept.df, rows).distinct()  # a node's neighbours in one star say the same
         if rows > HOT_ROWS:  # it is read more than once
             large = Cut(large, "large").df
         step = Cut(_small_star(large, rows).distinct(), "star")
