@@ -26,7 +26,7 @@ from .base import cut, drawn, held_out, join_hot, whole_texts
 _NOISE = ("###", "%%%", "&&&", "***", "$$$", "!!", " | ")
 FEATURES = 8 + len(_NOISE)
 #: Sites and labelled documents at most that are joined by broadcast; beyond, by a shuffled join.
-MOST_BROADCAST, MOST_LABELS = 100_000, 1_000_000
+MOST_BROADCAST, MOST_LABELS = 100_000, 100_000
 
 
 def features(text: str | None) -> list[float]:
