@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .base import HOT_ROWS, MOST_HOT, Cut, join_hot
 
 #: Edges of a node from which they stay where they are.
-HOT_EDGES = 128
+HOT_EDGES = 512
 
 
 def _hot(both: DataFrame, rows: int) -> DataFrame | None:

@@ -232,8 +232,8 @@ def common_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     least = COMMON
     while found.filter(F.col("times") > least).count() > MOST_COMMON:
         least *= 2
-    rows = sorted((r["token"], r["times"]) for r in found.filter(F.col("times") > least).collect())
-    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+    got = found.filter(F.col("times") > least).select("token", "times").toArrow().sort_by("token")  # as arrays, not as rows
+    return got["token"].to_numpy().astype(np.uint64), got["times"].to_numpy()
 
 
 def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int, twice: frozenset[int] = frozenset()) -> DataFrame:
